@@ -70,3 +70,23 @@ def split_words(texts):
         before = np.concatenate([[0], np.cumsum(full)])
         words, offsets = words.filter(pa.array(full)), before[offsets]
     return words, offsets
+
+
+def small_batches(batches, text_col: str, most: int = 4 << 20):
+    """Splits Arrow batches so that each holds about `most` bytes of text_col at most (a longer text stands alone), which bounds what a worker holds."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+        upto, start = np.cumsum(sizes), 0
+        while start < len(sizes):
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
+            rows = batch.slice(start, end - start)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in rows.columns], names=rows.schema.names)
+            start = end
+
+
+def texts_of(batch, text_col: str) -> list[str]:
+    return [x or "" for x in batch.column(text_col).to_pylist()]

@@ -3,8 +3,8 @@
 A document of source s gets the rate exp(l_s * x), x its size over its source's mean size, capped: the tilt of the
 unit rates that is closest to them in relative entropy while the source's tokens meet the target. l_s solves a convex
 dual in one unknown per source; each Newton iteration is a distributed aggregation over the histogram of sizes (rows of
-source, size and count, made once). Rates are then rounded into whole copies by systematic sampling in groups of a
-bounded number of documents, so no source lands in one task.
+source, size and count, made once). Rates are then rounded into whole copies, passing on the rounding error from each
+document to the next, in groups of about GROUP documents, so no source lands in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Sources beyond this are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 50_000
 #: Documents that are rounded together.
-GROUP = 4096
+GROUP = 1024
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -114,13 +114,21 @@ def _mixed(sizes: DataFrame, weights, share: float, limit: float) -> DataFrame:
     rated = sizes.join(_small(facts, n_sources), F.col("source").eqNullSafe(F.col("_s")))
     rate = F.when(F.col("size") > 0, _rate(F.col("size") / F.col("mean"), F.col("tilt"), limit)).otherwise(0.0)
     rated = rated.withColumn("rate", rate).withColumn("_g", F.pmod(F.xxhash64("_id", "_h"), F.ceil(F.col("_docs") / F.lit(GROUP))))
-    # by size, so that what one document gets too much its neighbour of nearly the same size gets too little
-    by_size = Window.partitionBy("source", "_g").orderBy(F.col("size").desc(), F.col("_id"), F.col("_h")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.col("rate") - F.floor("rate")).over(by_size)
-    start = F.pmod(F.xxhash64("source", "_g"), F.lit(1000)) / 1000.0
-    part = F.col("rate") - F.floor("rate")
-    extra = F.floor(F.round(F.col("_upto") + start, 9)) - F.floor(F.round(F.col("_upto") - part + start, 9))
-    return rated.withColumn("_upto", upto).withColumn("copies", F.least(F.floor("rate") + F.greatest(extra, F.lit(0)), F.lit(int(limit))).cast("long"))
+    # copies are dealt from the longest document to the shortest so that the words taken follow the sum of rates times sizes
+    doc = F.struct((-F.col("size")).alias("s"), F.col("_id").alias("i"), F.col("_h").alias("h"), F.col("rate").alias("r"), "source_size", "target")
+    groups = rated.groupBy("source", "_g").agg(F.array_sort(F.collect_list(doc)).alias("_docs"))
+    nothing = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<bigint>").alias("copies"))
+
+    def deal(state: Column, doc: Column) -> Column:
+        part = doc["r"] - F.floor(doc["r"])
+        more = (part > 0) & (state["owed"] - part * doc["s"] >= -doc["s"] / 2)  # s is negative
+        copies = F.least(F.floor(doc["r"]) + F.when(more, 1).otherwise(0), F.lit(int(limit))).cast("long")
+        return F.struct((state["owed"] - (doc["r"] - copies) * doc["s"]).alias("owed"), F.concat(state["copies"], F.array(copies)).alias("copies"))
+
+    dealt = groups.select("source", "_docs", F.aggregate("_docs", nothing, deal, lambda state: state["copies"]).alias("_copies"))
+    dealt = dealt.select("source", F.explode(F.arrays_zip("_docs", "_copies")).alias("z"))
+    d = "z._docs."
+    return dealt.select("source", F.col(d + "i").alias("_id"), F.col(d + "h").alias("_h"), (-F.col(d + "s")).alias("size"), F.col(d + "source_size").alias("source_size"), F.col(d + "target").alias("target"), F.col(d + "r").alias("rate"), F.col("z._copies").alias("copies"))
 
 
 def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:

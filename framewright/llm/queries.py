@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, langid, mixing, quality
 from .common import table
 
 
@@ -15,7 +15,20 @@ def op10_entropy_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op10_entropy_mix": op10_entropy_mix}
+def op2_quality_fm(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_profiles(spark, sf_dir):
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_quality_fm": op2_quality_fm,
+    "op5_language_profiles": op5_language_profiles,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op10_entropy_mix": op10_entropy_mix,
+}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
