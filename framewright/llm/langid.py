@@ -154,7 +154,7 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return identify(rows, profiles, "_text", ("_id", "held_out")).withColumnRenamed("_id", id_col)
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.05) -> DataFrame:
+def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.02) -> DataFrame:
     """docs without the rows whose text is in none of the learned languages: no letters, or a cosine below `least`. All columns stay."""
     profiles = learn_profiles(docs, text_col, lang_col)
     names = docs.columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, quality
+from . import exact_dedup, langid, mixing, packing, quality
 from .common import table
 
 
@@ -19,12 +19,17 @@ def op2_quality_fm(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_language_profiles(spark, sf_dir):
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_quality_fm": op2_quality_fm,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_profiles": op5_language_profiles,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_entropy_mix": op10_entropy_mix,
