@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, packing, quality
+from pyspark.sql import functions as F
+
+from . import exact_dedup, langid, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -10,6 +12,11 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_tiles(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_entropy_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -32,6 +39,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_profiles": op5_language_profiles,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_simhash_tiles": op9_simhash_tiles,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
