@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, simhash
+from . import exact_dedup, html_extract, langid, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op10_entropy_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op1_main_text(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_fm(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ def op5_language_profiles(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_quality_fm": op2_quality_fm,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_profiles": op5_language_profiles,
