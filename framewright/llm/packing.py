@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
-from .tokens import WordTokenizer, default_path
+from .tokens import default_path, shared_tokenizer
 
 CAPACITY = 2048
 END = 0
@@ -179,8 +179,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, seen, part = WordTokenizer(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for b in small_batches(batches, "text", 8 << 20):
+        words, seen, part = shared_tokenizer(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for b in small_batches(batches, "text", 3 << 20):
             ids, cuts = words.encode(b.column("text"), end)
             ids = ids.astype("<u4")
             sizes = np.diff(cuts)

@@ -1,17 +1,25 @@
 """Subword ids of whole texts with a public tokenizer file, several times faster than text by text.
 
 Of the tokenizers used here, white space is dropped and no id spans it, so each distinct white-space separated word is
-encoded once and its ids are copied to wherever it stands. The ids equal those of encoding the whole text.
+encoded once and its ids are copied to wherever it stands. A word of plain letters, with or without one mark behind,
+needs neither normaliser nor pre-tokenizer: its lower-case letters go straight to the byte-pair model. The ids equal
+those of encoding the whole text.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from functools import lru_cache
 
 from .common import split_words
 
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 200_000
+CHUNK = 8192
+#: Letters that no normal form changes and whose lower case is one character (ASCII and Latin-1), and marks that are a token of their own after letters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)\Z")
+_MARKS = ".,!?;:"
 
 
 def default_path() -> str:
@@ -20,50 +28,108 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write Latin-1 letters beyond ASCII: UTF-8 bytes as printable characters."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordTokenizer:
-    """path: a file of the tokenizers library whose pre-tokenizer drops white space."""
+    """path: a file of the tokenizers library: byte-level byte-pair encoding with word ends, lower case, white space dropped."""
 
     def __init__(self, path: str):
-        import numpy as np
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.whole.model)
+        self.letters = _byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._learn(list(_MARKS), False)
 
-    def _codes(self, unique: list[str]):
+    def _learn(self, words: list[str], plain: bool) -> None:
+        import numpy as np
+
+        ids, lengths = [self.ids], [self.lengths]
+        for at in range(0, len(words), CHUNK):
+            own = words[at : at + CHUNK]
+            if plain:
+                own = [w if w.isascii() else w.translate(self.letters) for w in own]
+            found = (self.bare if plain else self.whole).encode(own, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(own)))
+        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        at = len(self.known)
+        self.known.update(zip(words, range(at, at + len(words))))
+
+    def _look_up(self, unique: list[str]):
+        """For each word its code, and the code of the mark behind it or -1."""
         import numpy as np
 
         if len(self.known) > REMEMBER:
-            self.known, self.ids, self.starts, self.lengths = {}, self.ids[:0], self.starts[:0], self.lengths[:0]
-        new = [w for w in unique if w not in self.known]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))])
-            at = len(self.known)
-            self.known.update(zip(new, range(at, at + len(new))))
-        known = self.known
-        return np.fromiter((known[w] for w in unique), np.int64, len(unique))
+            self._forget()
+        known, base, mark, plain, odd = self.known, [], [], {}, {}
+        for w in unique:
+            if m := _PLAIN.match(w):
+                w, tail = m.groups()
+                w = w.lower()
+                if w not in known:
+                    plain[w] = None
+                mark.append(known[tail] if tail else -1)
+            else:
+                if w not in known:
+                    odd[w] = None
+                mark.append(-1)
+            base.append(w)
+        self._learn(list(plain), True)
+        self._learn(list(odd), False)
+        return np.fromiter((known[w] for w in base), np.int64, len(base)), np.array(mark, np.int64)
 
     def encode(self, texts, end: int | None = None):
         """ids of all texts of a pyarrow array one after another, and each text's offsets among them; `end` closes each text if given."""
         import numpy as np
 
         words, offsets = split_words(texts)
+        n = len(offsets) - 1
+        if not len(words):
+            return np.full(n if end is not None else 0, end or 0, np.uint32), np.arange(n + 1) * (end is not None)
         coded = words.dictionary_encode()
-        code = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        lengths = self.lengths[code]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.repeat(self.starts[code] - upto[:-1], lengths) + np.arange(upto[-1])]
+        base, mark = self._look_up(coded.dictionary.to_pylist())
+        flat, cuts = _copy(self.ids, self.starts, self.lengths, np.column_stack([base, mark]).ravel()[np.column_stack([base >= 0, mark >= 0]).ravel()])
+        cuts = cuts[np.concatenate([[0], np.cumsum(1 + (mark >= 0))])]
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        flat, upto = _copy(flat, cuts[:-1], np.diff(cuts), code)
         cuts = upto[offsets]
         if end is None:
             return flat, cuts
-        n = len(cuts) - 1
-        out = np.full(len(flat) + n, end, np.uint32)
-        out[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(cuts))] = flat
+        ends = cuts[1:] + np.arange(n)
+        out = np.empty(len(flat) + n, np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[ends] = False
+        out[inner], out[ends] = flat, end
         return out, cuts + np.arange(n + 1)
+
+
+@lru_cache(1)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a process: workers live through many tasks."""
+    return WordTokenizer(path)
+
+
+def _copy(ids, starts, lengths, codes):
+    """The ids of all codes one after another, and the offset of each code among them."""
+    import numpy as np
+
+    own = lengths[codes]
+    upto = np.concatenate([[0], np.cumsum(own)])
+    place = np.repeat((starts[codes] - upto[:-1]).astype(np.int32), own)  # batches are far below 2^31 ids
+    place += np.arange(upto[-1], dtype=np.int32)
+    return ids[place], upto
