@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, mixing, packing, quality, simhash
+from . import ann, exact_dedup, html_extract, langid, lm_score, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_attention_lm(spark, sf_dir):
+    return lm_score.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_tiles(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,6 +38,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_projection_forest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_language_profiles(spark, sf_dir):
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -42,8 +50,10 @@ QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_quality_fm": op2_quality_fm,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_projection_forest": op4_projection_forest,
     "op5_language_profiles": op5_language_profiles,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_attention_lm": op8_attention_lm,
     "op9_simhash_tiles": op9_simhash_tiles,
     "op10_entropy_mix": op10_entropy_mix,
 }
