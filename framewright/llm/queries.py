@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_extract, langid, lm_score, mixing, packing, quality, simhash
+from . import ann, exact_dedup, html_extract, langid, lm_score, mixing, packing, quality, simhash, substring
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_collinear_chaining(spark, sf_dir):
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_attention_lm(spark, sf_dir):
     return lm_score.score_corpus(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_projection_forest": op4_projection_forest,
     "op5_language_profiles": op5_language_profiles,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_collinear_chaining": op7_collinear_chaining,
     "op8_attention_lm": op8_attention_lm,
     "op9_simhash_tiles": op9_simhash_tiles,
     "op10_entropy_mix": op10_entropy_mix,
