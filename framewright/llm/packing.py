@@ -180,7 +180,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         from pyspark import TaskContext
 
         words, seen, part = shared_tokenizer(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for b in small_batches(batches, "text", 3 << 20):
+        for b in small_batches(batches, "text", 6 << 20):
             ids, cuts = words.encode(b.column("text"), end)
             ids = ids.astype("<u4")
             sizes = np.diff(cuts)

@@ -14,8 +14,8 @@ from functools import lru_cache
 
 from .common import split_words
 
-#: Distinct words whose ids a worker remembers.
-REMEMBER = 200_000
+#: Distinct words that a worker remembers, with and without marks behind, and letters alone.
+REMEMBER = 400_000
 CHUNK = 8192
 #: Letters that no normal form changes and whose lower case is one character (ASCII and Latin-1), and marks that are a token of their own after letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)\Z")
@@ -51,6 +51,7 @@ class WordTokenizer:
         import numpy as np
 
         self.known: dict[str, int] = {}
+        self.seen: dict[str, int] = {}  # of a word as it stands: 8 times the code of its letters, plus 1 more than the code of its mark
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._learn(list(_MARKS), False)
 
@@ -76,22 +77,28 @@ class WordTokenizer:
 
         if len(self.known) > REMEMBER:
             self._forget()
-        known, base, mark, plain, odd = self.known, [], [], {}, {}
-        for w in unique:
-            if m := _PLAIN.match(w):
+        if len(self.seen) > REMEMBER:
+            self.seen = {}
+        seen, known = self.seen, self.known
+        new = [w for w in unique if w not in seen]
+        plain, odd, parts = {}, {}, []
+        match = _PLAIN.match
+        for w in new:
+            if m := match(w):
                 w, tail = m.groups()
                 w = w.lower()
                 if w not in known:
                     plain[w] = None
-                mark.append(known[tail] if tail else -1)
+                parts.append((w, tail))
             else:
                 if w not in known:
                     odd[w] = None
-                mark.append(-1)
-            base.append(w)
+                parts.append((w, ""))
         self._learn(list(plain), True)
         self._learn(list(odd), False)
-        return np.fromiter((known[w] for w in base), np.int64, len(base)), np.array(mark, np.int64)
+        seen.update(zip(new, [known[w] * 8 + (known[tail] + 1 if tail else 0) for w, tail in parts]))
+        base, mark = np.divmod(np.array([seen[w] for w in unique], np.int64), 8)
+        return base, mark - 1
 
     def encode(self, texts, end: int | None = None):
         """ids of all texts of a pyarrow array one after another, and each text's offsets among them; `end` closes each text if given."""
