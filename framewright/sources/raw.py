@@ -131,6 +131,8 @@ class RawPcmReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes both formats known, and lets filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawVideoSource)
     spark.dataSource.register(RawPcmSource)
 
