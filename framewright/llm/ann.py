@@ -138,7 +138,9 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     index = classes.select("cid", "vec").mapInArrow(_routed(forest, dims, query_parts, vector_parts), "leaf long, cid long, vec binary")
     asked = classes.filter("query").select("cid", "vec").mapInArrow(_asked(forest, dims, probes, query_parts, vector_parts), "leaf long, cid long, vec binary")
     found = asked.groupBy("leaf").cogroup(index.groupBy("leaf")).applyInArrow(_rerank(dims, k + 1), "cid long, found array<struct<s: double, c: long>>")
-    best = found.groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
+    # a class comes from each tree at most once, with the same score: its copies are next to each other
+    ordered = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, trees * (k + 1))
+    best = found.groupBy("cid").agg(F.slice(F.array_distinct(ordered), 1, k + 1).alias("found"))
     best = materialize(best, "ann-found")
     # from classes to rows: s is the negated score, so that ascending order is the contract's
     each = best.select("cid", F.explode("found").alias("f")).select(F.col("cid").alias("q"), F.col("f.s").alias("s"), F.col("f.c").alias("cid"))
@@ -228,21 +230,19 @@ def _rerank(dims: int, most: int):
         if qid and len(cid):
             x = np.frombuffer(b"".join(index["vec"].to_pylist()), "<f8").reshape(-1, dims)
             q = np.frombuffer(b"".join(asked["vec"].to_pylist()), "<f8").reshape(-1, dims)
-            for at in range(0, len(q), 512):
-                own = q[at : at + 512]
-                s = own @ x.T
-                for i, scores in enumerate(s):
-                    if len(scores) > most + 4:
-                        low = np.partition(scores, len(scores) - most - 4)[len(scores) - most - 4]
-                        some = np.flatnonzero(scores >= low)
-                    else:
-                        some = np.arange(len(scores))
-                    exact = -(x[some] * own[i]).sum(1)  # the same for a pair wherever it is computed
-                    order = np.lexsort((cid[some], exact))[:most]
-                    out.append([{"s": float(a), "c": int(c)} for a, c in zip(exact[order], cid[some[order]])])
+            for at in range(0, len(q), 256):
+                own = q[at : at + 256]
+                some = np.arange(len(cid))[None].repeat(len(own), 0)
+                if len(cid) > most + 4:
+                    some = np.argpartition(-(own @ x.T), most + 3, axis=1)[:, : most + 4]
+                exact = -(x[some] * own[:, None]).sum(2)  # the same for a pair wherever it is computed
+                order = np.lexsort((cid[some], exact), axis=1)[:, :most]
+                out.append((np.take_along_axis(exact, order, 1).ravel(), cid[np.take_along_axis(some, order, 1)].ravel()))
         else:
             qid = []
-        kind = pa.list_(pa.struct([("s", pa.float64()), ("c", pa.int64())]))
-        return pa.table({"cid": pa.array(qid, pa.int64()), "found": pa.array(out, kind)})
+        s, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0), np.zeros(0, np.int64))
+        cuts = np.arange(len(qid) + 1) * (len(s) // max(1, len(qid)))
+        pairs = pa.StructArray.from_arrays([pa.array(s), pa.array(c)], names=["s", "c"])
+        return pa.table({"cid": pa.array(qid, pa.int64()), "found": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pairs)})
 
     return run
