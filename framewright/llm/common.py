@@ -48,6 +48,11 @@ def ascii_lower(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that whatever names they have meet no name of ours; unpack with select("name.*")."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32(id as text) mod `mod`; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod, F.lit(-1))
@@ -88,5 +93,38 @@ def small_batches(batches, text_col: str, most: int = 4 << 20):
             start = end
 
 
+#: Bytes of an Arrow batch that goes to Python, at most; the default of 64 MB is there several times over in JVM and worker.
+BATCH_BYTES = 8 << 20
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches, and memory that workers give back after each task, as they live through many."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+
+    def lean(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts_of(batch, text_col: str) -> list[str]:
     return [x or "" for x in batch.column(text_col).to_pylist()]

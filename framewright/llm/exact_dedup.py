@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without_white
+from .common import materialize, whole_row, without_white
 
 #: 2^27 positions: a broadcast of 32 MB at most.
 FILTER_BITS = 1 << 27
@@ -75,13 +75,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs without the rows that exact_duplicates() does not keep; all columns stay. Rows that the filter clears are never shuffled."""
-    names = docs.columns
-    keyed = docs.select(*names, text_key(F.col(text_col)).alias("text_sha256_"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"))
-    base = materialize(keyed.select(F.col(id_col).cast("long").alias("_id"), F.col("text_sha256_").alias("text_sha256"), "_n").withColumn("_row", F.monotonically_increasing_id()), "exact-hashes")
+    keyed = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"), text_key(F.col(text_col)).alias("text_sha256"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"))
+    base = materialize(keyed.select("_id", "text_sha256", "_n", F.monotonically_increasing_id().alias("_row")), "exact-hashes")
     words = materialize(repeated_words(base, filter_bits), "exact-filter")
     best = _groups(mark_repeated(base, words, filter_bits).filter("maybe"))
     stay = materialize(best.select(F.col("text_sha256").alias("k"), (-F.col("_best.i")).alias("i"), F.col("_best._n").alias("m")), "exact-stay")
-    marked = mark_repeated(keyed.withColumnRenamed("text_sha256_", "text_sha256"), words, filter_bits)
-    some = marked.filter("maybe").join(stay, F.col("text_sha256").eqNullSafe(F.col("k")) & F.col(id_col).cast("long").eqNullSafe(F.col("i")) & (F.col("_n") == F.col("m")), "left_semi")
-    some = some.dropDuplicates(["text_sha256", id_col, "_n"])
-    return marked.filter("not maybe").select(*names).unionByName(some.select(*names))
+    marked = mark_repeated(keyed, words, filter_bits)
+    some = marked.filter("maybe").join(stay, (F.col("text_sha256") == F.col("k")) & F.col("_id").eqNullSafe(F.col("i")) & (F.col("_n") == F.col("m")), "left_semi")
+    some = some.dropDuplicates(["text_sha256", "_id", "_n"])
+    return marked.filter("not maybe").select("_row").unionByName(some.select("_row")).select("_row.*")

@@ -16,8 +16,9 @@ from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, texts_of
+from .common import map_texts, small_batches, texts_of
 
 TRAIN_PAGES = 600
 TREES, DEPTH, BINS, RATE = 50, 4, 32, 0.25
@@ -420,7 +421,8 @@ def trained_model():
 def extract(pages: DataFrame, html_col: str = "html", pass_cols: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """pass_cols, text, n_chars, n_blocks (text runs found), n_kept (those kept) for every row. A null page, or one without main text, gives an empty text."""
     model = trained_model()
-    schema = ", ".join(f"`{c}` {t}" for c, t in pages.select(*pass_cols).dtypes) + ", text string, n_chars long, n_blocks long, n_kept long"
+    longs = [T.StructField(c, T.LongType()) for c in ("n_chars", "n_blocks", "n_kept")]
+    schema = T.StructType([*pages.select(*pass_cols).schema.fields, T.StructField("text", T.StringType()), *longs])
 
     def run(batches):
         import numpy as np
@@ -440,4 +442,4 @@ def extract(pages: DataFrame, html_col: str = "html", pass_cols: tuple[str, ...]
             made = [pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64()), pa.array(blocks, pa.int64()), pa.array(kept, pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in pass_cols] + made, names=[*pass_cols, "text", "n_chars", "n_blocks", "n_kept"])
 
-    return pages.select(*pass_cols, F.col(html_col).alias("__html")).mapInArrow(run, schema)
+    return map_texts(pages.select(*pass_cols, F.col(html_col).alias("__html")), run, schema)

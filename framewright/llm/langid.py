@@ -11,8 +11,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod, small_batches, texts_of
+from .common import crc_mod, map_texts, small_batches, texts_of, whole_row
 
 #: Symbol 0 is any run of characters that aren't letters, 1 to 26 are a to z, other letters share the rest.
 SYMBOLS = 40
@@ -100,7 +101,7 @@ def learn_profiles(rows: DataFrame, text_col: str = "text", lang_col: str = "lan
     import numpy as np
 
     schema = "lang string, part long, vec binary"
-    sums = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null").mapInArrow(_partial_profiles("text", "lang"), schema)
+    sums = map_texts(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null"), _partial_profiles("text", "lang"), schema)
     sums = sums.groupBy("lang", F.pmod("part", F.lit(fan_in))).applyInPandas(_sum_vectors, schema)
     found: dict = {}
     for r in sums.collect():
@@ -116,7 +117,7 @@ def identify(docs: DataFrame, profiles: dict, text_col: str = "text", pass_cols:
     learned. Equal cosines go to the first language by code point.
     """
     langs = list(profiles)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*pass_cols).dtypes) + ", lang_pred string, score double"
+    schema = T.StructType([*docs.select(*pass_cols).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         import numpy as np
@@ -141,7 +142,7 @@ def identify(docs: DataFrame, profiles: dict, text_col: str = "text", pass_cols:
                 score.append(float(min(1.0, max(0.0, cos[k]))))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in pass_cols] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*pass_cols, "lang_pred", "score"])
 
-    return docs.select(*pass_cols, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return map_texts(docs.select(*pass_cols, F.col(text_col).alias("__text")), run, schema)
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2) -> DataFrame:
@@ -157,6 +158,5 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.02) -> DataFrame:
     """docs without the rows whose text is in none of the learned languages: no letters, or a cosine below `least`. All columns stay."""
     profiles = learn_profiles(docs, text_col, lang_col)
-    names = docs.columns
-    rows = docs.select(*names, F.col(text_col).alias("_t"))
-    return identify(rows, profiles, "_t", tuple(names)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(text_col).alias("_t"))
+    return identify(rows, profiles, "_t", ("_row",)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Sources beyond this are joined by a shuffle instead of a broadcast.
@@ -133,13 +133,12 @@ def _mixed(sizes: DataFrame, weights, share: float, limit: float) -> DataFrame:
 
 def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """docs with each row as often as mix() takes it (0, 1 or 2 times under the default limit); all columns stay."""
-    names = docs.columns
     mixed = _mixed(_sizes(docs, id_col, text_col, source_col), params.get("weights", WEIGHTS), params.get("share", 1.5), params.get("limit", 2.0))
     # rows that agree in id and text are interchangeable: their copies are dealt out by number
     taken = mixed.groupBy(F.xxhash64("_id", "_h").alias("_k")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m")).filter("_c > 0")
     taken = materialize(taken, "mix-taken")
-    rows = docs.select(*names, F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("_k")).join(taken, "_k")
+    rows = docs.select(whole_row(docs).alias("_row"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("_k")).join(taken, "_k")
     once = rows.filter("_m = 1").withColumn("_j", F.lit(1))
     more = rows.filter("_m > 1").withColumn("_j", F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(0))))
     share = F.expr("cast(_c div _m as int) + if(_j <= _c % _m, 1, 0)")
-    return once.unionByName(more).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), share))).select(*names)
+    return once.unionByName(more).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), share))).select("_row.*")

@@ -12,7 +12,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import map_texts, materialize, small_batches
 from .tokens import default_path, shared_tokenizer
 
 CAPACITY = 2048
@@ -202,7 +202,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([first, cuts[-1:]]).astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, split_words, texts_of
+from .common import crc_mod, map_texts, small_batches, split_words, texts_of
 
 BUCKETS = 2048
 FACTORS = 8
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model, fitted on the driver to at most max_train_rows labelled rows, held-out rows excluded."""
     import numpy as np
 
-    rows = training_rows(docs, labels, id_col, text_col, label_col, mod, held, max_train_rows).mapInArrow(_training_inputs, "label int, x binary").toArrow()
+    rows = map_texts(training_rows(docs, labels, id_col, text_col, label_col, mod, held, max_train_rows), _training_inputs, "label int, x binary").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(rows.num_rows, -1).astype(np.float32)
     y = rows["label"].to_numpy().astype(np.float32)
     del rows
@@ -171,4 +171,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))], names=["id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("id"), (crc_mod(id_col, mod) == held).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

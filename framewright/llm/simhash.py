@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, texts_of
+from .common import map_texts, materialize, small_batches, texts_of, whole_row
 from .components import connected_components
 
 WORDS = 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "id long, h long, fp long")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), run, "id long, h long, fp long")
 
 
 def _quarters(x):
@@ -173,6 +173,6 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     found = near_duplicates(docs, id_col, text_col, words, radius)
     gone = found.filter(~(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))))
     gone = materialize(gone.select(F.xxhash64(F.col(id_col), "h").alias("_k")).distinct(), "simhash-gone")
-    rows = docs.select("*", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("_k"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("_k"))
     few = gone.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(gone) if few else gone, "_k", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, "_k", "left_anti").select("_row.*")
