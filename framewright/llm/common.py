@@ -100,7 +100,7 @@ BATCH_BYTES = 8 << 20
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) with small batches, and memory that workers give back after each task, as they live through many."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(key, "")
+    now = conf.get(key)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
         conf.set(key, f"{BATCH_BYTES}b")
 
