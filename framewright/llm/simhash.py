@@ -1,11 +1,16 @@
 """SimHash near-dedup: fingerprints of word shingles, compared exactly in tiles.
 
-Equal fingerprints are one row from the start. Distinct ones are dealt to tiles by their number of set bits (and by
-hash among tiles of the same number), TILE rows at most on average. Fingerprints within the radius differ by no more
-than the radius in their number of set bits, so only pairs of tiles that are this near are compared, each in a task of
-its own: a numpy exclusive-or and bit count of blocks, where blocks whose counts in the four quarters of the
-fingerprint differ beyond the radius in sum are skipped as well. Each task returns a spanning forest of the links it
-found, which connects what the links connect and never has more rows than it read.
+Equal fingerprints are one row from the start. Distinct ones are sorted into tiles of about `tile` rows by their number
+of set bits (a number with more rows than that is split by hash). Fingerprints within the radius differ by no more than
+the radius in their number of set bits, so only pairs of tiles that are this near are compared, each in a task of its
+own: a numpy exclusive-or and bit count of blocks, where blocks whose counts in the four quarters of the fingerprint
+differ beyond the radius in sum are skipped as well. Each task returns a spanning forest of the links it found, which
+connects what the links connect and never has more rows than it read.
+
+With a least similarity, a link also needs that Jaccard similarity of the shingles, which allows a wide radius: near
+copies that a narrow one misses are found, and unlike documents stay apart. A first comparison with ROUGH smallest
+shingle hashes of each document leaves the few that may be near another; these are compared again with FINE hashes,
+which is exact for documents of as many shingles and off by 0.01 or so for longer ones.
 """
 
 from __future__ import annotations
@@ -19,8 +24,12 @@ from .components import connected_components
 WORDS = 3
 RADIUS = 3
 SEED = 42
-TILE = 32768
+TILE = 16384
 BLOCK = 64
+ROUGH, FINE = 32, 1024
+#: How far a rough similarity may fall below the least one.
+SLACK = 0.25
+PAD = 0xFFFFFFFF
 #: Rows of two 64-bit numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -28,20 +37,24 @@ BROADCAST_ROWS = 1_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """Bit i is set if it is in over half of the XXH64 values of all shingles, repeats included; 0 without a word."""
+def shingle_hashes(text: str, words: int = WORDS):
+    """XXH64 of all shingles, repeats included; a text of fewer words is one shingle, one without a word has none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     own = text.encode("utf-8", "replace").translate(_FOLD).split()
-    if not own:
-        return 0
-    if len(own) <= words:
-        return xxh64_intdigest(b" ".join(own), SEED)
     joined = b" ".join(own)
+    if len(own) <= words:
+        return np.array([xxh64_intdigest(joined, SEED)] if own else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
     starts = np.concatenate([[0], ends[: -words] + 1])
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())), np.uint64, len(starts))
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())), np.uint64, len(starts))
+
+
+def fold(hashes) -> int:
+    """Bit i is set if it is in over half of the hashes; 0 without any."""
+    import numpy as np
+
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8")
@@ -49,19 +62,48 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, h, fp) of every row: h hashes the text, fp is the fingerprint as a signed number."""
+def sketch(hashes, size: int) -> bytes:
+    """The `size` smallest distinct hashes, cut to 32 bits, filled up with PAD."""
+    import numpy as np
+
+    own = np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:size]
+    return np.concatenate([own, np.full(size - len(own), PAD, np.uint32)]).astype("<u4").tobytes()
+
+
+def similarity_of(a, b):
+    """Jaccard similarity of pairs of sketches (rows of sorted numbers)."""
+    import numpy as np
+
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    real = both != PAD
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    nth = np.cumsum(real & ~twice, axis=1)
+    full = (a[:, -1] == PAD) & (b[:, -1] == PAD)
+    most = np.where(full, nth[:, -1], np.minimum(nth[:, -1], a.shape[1]))
+    return (twice & (nth <= most[:, None])).sum(1) / np.maximum(most, 1)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, size: int = 0) -> DataFrame:
+    """(id, h, fp) of every row, and a sketch of `size` hashes if that isn't 0: h hashes the text, fp is the fingerprint as a signed number."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in small_batches(batches, "text"):
-            fp = np.fromiter((fingerprint(t, words) for t in texts_of(b, "text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
+            fp, drawn = [], []
+            for t in texts_of(b, "text"):
+                hashes = shingle_hashes(t, words)
+                fp.append(fold(hashes))
+                if size:
+                    drawn.append(sketch(hashes, size))
+            more = [pa.array(drawn, pa.binary())] if size else []
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(np.array(fp, np.uint64).view(np.int64)), *more], names=["id", "h", "fp"] + ["sketch"] * bool(size))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), run, "id long, h long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return map_texts(own, run, "id long, h long, fp long" + ", sketch binary" * bool(size))
 
 
 def _quarters(x):
@@ -72,19 +114,25 @@ def _quarters(x):
 
 
 def _ordered(x):
+    """Positions of the distinct values, ordered by their quarters' bits."""
     import numpy as np
 
-    x = np.unique(x)
-    return x[np.lexsort(_quarters(x).T[::-1])]
+    x, first = np.unique(x, return_index=True)
+    return first[np.lexsort(_quarters(x).T[::-1])]
 
 
-def linked_forest(a, b, radius: int):
-    """(x, root) that connect what pairs of a and b (uint64, distinct values; b None: pairs within a) within the radius connect."""
+def linked_forest(a, b, radius: int, a_sketch=None, b_sketch=None, least: float = 0.0):
+    """(x, root) that connect what pairs of a and b (uint64; b None: pairs within a) within the radius, and as similar as `least` if there are sketches, connect."""
     import numpy as np
 
     own = b is None
-    a = _ordered(a)
-    b = a if own else _ordered(b)
+    order = _ordered(a)
+    a, a_sketch = a[order], a_sketch[order] if a_sketch is not None else None
+    if own:
+        b, b_sketch = a, a_sketch
+    else:
+        order = _ordered(b)
+        b, b_sketch = b[order], b_sketch[order] if b_sketch is not None else None
     if not len(a) or not len(b):
         return a[:0], a[:0]
     nodes = a if own else np.concatenate([a, b])
@@ -99,68 +147,104 @@ def linked_forest(a, b, radius: int):
         near = np.flatnonzero(gap <= radius)
         if own:
             near = near[near >= i]
-        cols = (starts_b[near][:, None] + np.arange(BLOCK)).ravel()
-        cols = cols[cols < len(b)]
-        if not len(cols):
-            continue
-        rows, hits = np.nonzero(np.bitwise_count(a[s : s + BLOCK, None] ^ b[None, cols]) <= radius)
-        u, v = rows + s, cols[hits] + at_b
-        while len(u):
-            lu, lv = label[u], label[v]
-            differ = lu != lv
-            if not differ.any():
-                break
-            u, v, lu, lv = u[differ], v[differ], lu[differ], lv[differ]
-            np.minimum.at(label, np.maximum(lu, lv), np.minimum(lu, lv))
-            while True:
-                up = label[label]
-                if np.array_equal(up, label):
-                    break
-                label = up
+        for part in np.array_split(near, max(1, len(near) // 256)):
+            cols = (starts_b[part][:, None] + np.arange(BLOCK)).ravel()
+            cols = cols[cols < len(b)]
+            if not len(cols):
+                continue
+            rows, hits = np.nonzero(np.bitwise_count(a[s : s + BLOCK, None] ^ b[None, cols]) <= radius)
+            u, v = rows + s, cols[hits] + at_b
+            if a_sketch is not None:
+                new = np.flatnonzero(label[u] != label[v])
+                alike = np.concatenate([similarity_of(a_sketch[u[k]], b_sketch[v[k] - at_b]) >= least for k in np.array_split(new, len(new) * a_sketch.shape[1] // (1 << 19) + 1)])
+                u, v = u[new[alike]], v[new[alike]]
+            label = _merged(label, u, v)
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (u, v) among the values of distinct.fp that connect exactly what all pairs within the radius connect."""
+def _merged(label, u, v):
+    """Labels after joining u and v pair by pair: the smallest place of each component, reached in one step."""
+    import numpy as np
+
+    while len(u):
+        lu, lv = label[u], label[v]
+        differ = lu != lv
+        if not differ.any():
+            break
+        u, v, lu, lv = u[differ], v[differ], lu[differ], lv[differ]
+        np.minimum.at(label, np.maximum(lu, lv), np.minimum(lu, lv))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+    return label
+
+
+def tile_plan(per: dict[int, int], radius: int, tile: int) -> list[tuple[int, int, int, int]]:
+    """For each number of set bits: its first tile, its tiles, and the first and last tile that its tiles are compared with.
+
+    Numbers in sequence share a tile while they fit; tiles are numbered in this order, so those within reach follow each other.
+    """
+    bands: list[list[int]] = []
+    for c in range(65):
+        if bands and sum(per.get(k, 0) for k in bands[-1]) + per.get(c, 0) <= tile:
+            bands[-1].append(c)
+        else:
+            bands.append([c])
+    tiles = [max(1, -(-sum(per.get(k, 0) for k in band) // tile)) for band in bands]
+    first = [sum(tiles[:i]) for i in range(len(bands))]
+    out = []
+    for i, band in enumerate(bands):
+        reach = [k for k, other in enumerate(bands) if other[0] - band[-1] <= radius and band[0] - other[-1] <= radius]
+        out += [(first[i], tiles[i], first[reach[0]], first[reach[-1]] + tiles[reach[-1]] - 1)] * len(band)
+    return out
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, least: float | None = None) -> DataFrame:
+    """Links (u, v) among the values of distinct.fp that connect exactly what all pairs within the radius (and of the least similarity of distinct.sketch, if given) connect."""
     bits = F.bit_count("fp").cast("int")
     per = {r["c"]: r["n"] for r in distinct.groupBy(bits.alias("c")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    tiles = "array(" + ", ".join(str(-(-per.get(c, 0) // tile)) for c in range(65 + radius)) + ")"
-    first = f"flatten(transform(sequence(0, {radius}), d -> transform(filter(sequence(0, greatest({tiles}[c + d] - 1, 0)), x -> x < {tiles}[c + d] and (d > 0 or x >= j)), x -> struct(c as a, j as b, c + d as e, x as f, 0 as side))))"
-    second = f"flatten(transform(sequence(0, least({radius}, c)), d -> transform(filter(sequence(0, greatest({tiles}[c - d] - 1, 0)), x -> x < {tiles}[c - d] and (d > 0 or x < j)), x -> struct(c - d as a, x as b, c as e, j as f, 1 as side))))"
-    rows = distinct.select("fp", bits.alias("c")).withColumn("j", F.expr(f"cast(pmod(xxhash64(fp), {tiles}[c]) as int)"))
-    rows = rows.select("fp", F.explode(F.concat(F.expr(first), F.expr(second))).alias("p")).select("fp", F.expr("((p.a * 1000000L + p.b) * 100 + p.e) * 1000000L + p.f").alias("pair"), "p.side")
+    first, tiles, low, high = ("array(" + ",".join(map(str, x)) + ")" for x in zip(*tile_plan(per, radius, tile)))
+    own = ["fp", *["sketch"] * (least is not None)]
+    rows = distinct.select(*own, bits.alias("c")).withColumn("t", F.expr(f"cast({first}[c] + pmod(xxhash64(fp), {tiles}[c]) as bigint)"))
+    rows = rows.withColumn("x", F.explode(F.expr(f"sequence(cast({low}[c] as bigint), cast({high}[c] as bigint))")))
+    rows = rows.select(*own, F.expr("least(t, x) * 4294967296L + greatest(t, x)").alias("pair"), F.expr("if(t > x, 1, 0)").alias("side"))
 
     def compare(rows):
-        import pyarrow as pa
-
         import numpy as np
+        import pyarrow as pa
 
         fp, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
-        other = fp[side == 1]
-        same = not len(other) and _one_tile(int(rows["pair"][0].as_py()))
-        x, y = linked_forest(fp[side == 0], None if same else other, radius)
+        drawn = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u4").reshape(rows.num_rows, -1) if least is not None else None
+        low, high = divmod(int(rows["pair"][0].as_py()), 1 << 32)
+        one, two = np.flatnonzero(side == 0), None if low == high else np.flatnonzero(side == 1)
+        pick = lambda x, at: x[at] if x is not None and at is not None else None
+        x, y = linked_forest(fp[one], pick(fp, two), radius, pick(drawn, one), pick(drawn, two), least or 0.0)
         return pa.table({"u": pa.array(x.view(np.int64)), "v": pa.array(y.view(np.int64))})
 
     return rows.groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
-def _one_tile(pair: int) -> bool:
-    """Whether the pair is a tile with itself."""
-    pair, f = divmod(pair, 1_000_000)
-    pair, e = divmod(pair, 100)
-    return divmod(pair, 1_000_000) == (e, f)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, tile: int = TILE, least: float | None = None) -> DataFrame:
     """One row per row of docs: id, h, fp, component (any number of the group), component_id (the smallest id in it), first_h (the smallest h of that id).
 
     Null counts as empty; texts without a word have fingerprint 0 and are linked like any other. Null ids never become
     a component_id unless a component has no other. An empty table gives an empty result.
     """
-    all_ = materialize(fingerprints(docs, id_col, text_col, words), "simhash-documents")
-    distinct = materialize(all_.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("i"), "id", "h")).alias("best")), "simhash-distinct")
-    labels = connected_components(materialize(near_links(distinct, radius), "simhash-links"))
+    all_ = materialize(fingerprints(docs, id_col, text_col, words, ROUGH if least is not None else 0), "simhash-documents")
+    drawn = [F.min("sketch").alias("sketch")] if least is not None else []
+    distinct = materialize(all_.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("i"), "id", "h")).alias("best"), *drawn), "simhash-distinct")
+    links = materialize(near_links(distinct, radius, tile, None if least is None else max(0.0, least - SLACK)), "simhash-links")
+    if least is not None:
+        near = links.select(F.col("u").alias("fp")).union(links.select("v")).distinct().join(distinct, "fp")
+        near = materialize(near.select(F.xxhash64("best.id", "best.h").alias("_k")), "simhash-near")
+        own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_k", F.xxhash64(F.col("_id").cast("long"), F.xxhash64(F.coalesce("_text", F.lit("")))))
+        own = own.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "_k", "left_semi")
+        fine = fingerprints(own, "_id", "_text", words, FINE).groupBy("fp").agg(F.min("sketch").alias("sketch"))
+        links = materialize(near_links(materialize(fine, "simhash-fine"), radius, max(1, tile // 8), least), "simhash-links")
+    labels = connected_components(links)
     parts = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "best", F.coalesce("label", "fp").alias("component"))
     parts = materialize(parts, "simhash-parts")
     best = materialize(parts.groupBy("component").agg(F.min("best").alias("first")), "simhash-first")
@@ -168,9 +252,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return all_.join(parts, "fp").select(F.col("id").alias(id_col), "h", "fp", "component", "component_id", "first_h")
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: that of the smallest id, of the smallest text hash if ids repeat. Rows of equal id and text count as one document. All columns stay."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 18, tile: int = 65536, least: float | None = 0.8) -> DataFrame:
+    """docs with one document of each component: that of the smallest id, of the smallest text hash if ids repeat.
+
+    By default near duplicates share 0.8 of their five-word shingles. Rows of equal id and text count as one document.
+    All columns stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, radius, tile, least)
     gone = found.filter(~(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))))
     gone = materialize(gone.select(F.xxhash64(F.col(id_col), "h").alias("_k")).distinct(), "simhash-gone")
     rows = docs.select(whole_row(docs).alias("_row"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("_k"))
