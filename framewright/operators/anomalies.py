@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.segments import Segments
+
 BACK, JUMP = -0.001, 2.0
 #: Stable codes; a label map may show them in any language.
 SEVERITY = {"missing_timestamp": "warning", "timestamp_back": "error", "timestamp_jump": "warning", "invalid_video_frame": "error", "audio_missing_pts": "warning"}
@@ -18,16 +20,19 @@ def missing_timestamps(packets: DataFrame) -> DataFrame:
     return first.select("media_id", "stream_index", "idx", "pts", "ts", F.lit("missing_timestamp").alias("type"))
 
 
-def steps(packets: DataFrame) -> DataFrame:
-    """Packets with a timestamp, and delta, the step from the last such packet of their stream."""
+def steps(packets: DataFrame, segment: int | None = None) -> DataFrame:
+    """Packets with a timestamp, and delta, the step from the last such packet of their stream. With segment, streams too long for a task are cut in pieces of that many arrivals."""
+    if segment:
+        rows = Segments(["media_id", "stream_index"], "idx", segment).last_value(packets.filter("ts is not null"), F.col("ts"), "prev_ts", before=True)
+        return rows.withColumn("delta", F.col("ts") - F.col("prev_ts"))
     w = Window.partitionBy("media_id", "stream_index").orderBy("idx")
     return packets.filter("ts is not null").withColumn("prev_ts", F.lag("ts").over(w)).withColumn("delta", F.col("ts") - F.col("prev_ts"))
 
 
-def back_and_jump(packets: DataFrame, back: float = BACK, jump: float = JUMP) -> DataFrame:
+def back_and_jump(packets: DataFrame, back: float = BACK, jump: float = JUMP, segment: int | None = None) -> DataFrame:
     """Steps back by more than 1 ms and forward by more than 2 s."""
     kind = F.when(F.col("delta") < back, "timestamp_back").when(F.col("delta") > jump, "timestamp_jump")
-    return steps(packets).withColumn("type", kind).filter("type is not null").select("media_id", "stream_index", "idx", "pts", "ts", "type", "delta")
+    return steps(packets, segment).withColumn("type", kind).filter("type is not null").select("media_id", "stream_index", "idx", "pts", "ts", "type", "delta")
 
 
 def audio_missing_pts(audio: DataFrame) -> DataFrame:

@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.segments import Segments
 
-def numbered(arrivals: DataFrame) -> DataFrame:
-    """Frames of a media numbered from 0 by arrival (fidx)."""
+
+def numbered(arrivals: DataFrame, segment: int | None = None) -> DataFrame:
+    """Frames of a media numbered from 0 by arrival (fidx). With segment, arrivals are cut in pieces of that many, for media too long for a task."""
+    if segment:
+        rows = Segments(["media_id"], "arrival", segment).running_sum(arrivals, F.lit(1).cast("long"), "fidx")
+        return rows.withColumn("fidx", F.col("fidx") - 1)
     number = F.row_number().over(Window.partitionBy("media_id").orderBy("arrival")) - 1
     return arrivals.withColumn("fidx", number.cast("long"))
 
 
-def assign_gops(frames: DataFrame) -> DataFrame:
+def assign_gops(frames: DataFrame, segment: int | None = None) -> DataFrame:
     """gop_index from 1 (the first frame opens group 1, key or not; any later key frame opens the next) and gop_position from 1."""
+    if segment:
+        cut = Segments(["media_id"], "fidx", segment)
+        opened = F.when(F.col("is_key") & (F.col("fidx") > 0), 1).otherwise(0).cast("long")
+        rows = cut.running_sum(frames, opened, "gop_index").withColumn("gop_index", F.col("gop_index") + 1)
+        rows = cut.last_value(rows, F.when((opened == 1) | (F.col("fidx") == 0), F.col("fidx")), "_first")
+        return rows.withColumn("gop_position", F.col("fidx") - F.col("_first") + 1).drop("_first")
     w = Window.partitionBy("media_id").orderBy("fidx")
     opens = F.when(F.col("is_key") & (F.col("fidx") > 0), 1).otherwise(0)
     gop = frames.withColumn("gop_index", (1 + F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.segments import Segments
 
-def pair(packets: DataFrame) -> DataFrame:
-    """Samples numbered from 0 in a media: audio_ts, video_ts, diff_ms = (audio - video) * 1000, and whether audio came last."""
+
+def pair(packets: DataFrame, segment: int | None = None) -> DataFrame:
+    """Samples numbered from 0 in a media: audio_ts, video_ts, diff_ms = (audio - video) * 1000, and whether audio came last. With segment, media too long for a task are cut in pieces of that many arrivals."""
+    if segment:
+        cut, kind = Segments(["media_id"], "idx", segment), F.col("stream_index")
+        rows = packets.filter(kind.isin(0, 1) & F.col("ts").isNotNull()).select("media_id", "idx", "stream_index", "ts")
+        rows = cut.last_value(cut.last_value(rows, F.when(kind == 1, F.col("ts")), "audio_ts"), F.when(kind == 0, F.col("ts")), "video_ts")
+        rows = cut.running_sum(rows.filter("audio_ts is not null and video_ts is not null"), F.lit(1).cast("long"), "sync_idx")
+        return rows.select("media_id", (F.col("sync_idx") - 1).alias("sync_idx"), "audio_ts", "video_ts", ((F.col("audio_ts") - F.col("video_ts")) * 1000).alias("diff_ms"), (kind == 1).alias("audio_anchor"))
     w = Window.partitionBy("media_id").orderBy("idx")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     s = F.col("stream_index")

@@ -125,3 +125,16 @@ def test_faces(spark):
     assert (r["left_eye"]["x"], r["left_eye"]["y"], r["right_mouth"]["x"]) == (40, 40, 75)
     with pytest.raises(NotImplementedError):
         images.detect_faces(boxes, None)
+
+
+@pytest.mark.parametrize("segment", [1, 7, 500])
+def test_segments_give_what_whole_windows_give(spark, data, segment):
+    p = adapter.packets(spark, data)
+    video = adapter.video_arrivals(p)
+    views = [
+        lambda n: sync.pair(p, n),
+        lambda n: anomalies.back_and_jump(p, segment=n),
+        lambda n: frames.assign_gops(frames.numbered(video, n), n).select("media_id", "fidx", "arrival", "gop_index", "gop_position"),
+    ]
+    for view in views:
+        assert sorted(map(str, view(None).collect())) == sorted(map(str, view(segment).collect()))
