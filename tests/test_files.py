@@ -93,3 +93,16 @@ def test_elementary_streams_keep_their_order(spark, tmp_path):
     tables.write_stream(p, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 50
     assert packets.annex_b(spark.sql("select unhex('0000000265AA') as data")).head()["data"] == bytearray(b"\0\0\0\1\x65\xaa")
+
+
+def test_media_report(spark):
+    from framewright.operators import metadata
+
+    box = spark.sql("select 1L media_id, 'a.mp4' name, 'mov' format, '' profile, 'isom' brand, 'iso2' compatible, 1572864L size, 61000L duration_ms, 128000L bit_rate, 25.0D fps, map('comment', 'hi') tags")
+    video = spark.sql("select 1L media_id, 0 stream_index, 'hevc' codec, 'HEVC' codec_name, 'Main 10' profile, 0L tag, 61000L duration_ms, 0L bit_rate, 1920 width, 1080 height, 0 sar_num, 1 sar_den, 25.0D fps, 1 `range`, 9 primaries, 16 transfer, 9 space, 1 field_order, 1 log2_w, 1 log2_h, false is_rgb, 10 depth, true has_mastering, 1000 max_cll, 0 max_fall")
+    sound = spark.sql("select 1L media_id, 1 stream_index, 'pcm_s16le' codec, 'PCM' codec_name, 0L tag, 61000L duration_ms, 0L bit_rate, 2 channels, 'stereo' layout, 48000 sample_rate, true is_default")
+    text = report.info_text(metadata.extractor(box).union(metadata.audio(sound)).union(metadata.video(video))).head()["report"]
+    got = {line[2:34].strip(): line[36:] for line in text.splitlines() if line.startswith("  ")}
+    assert got["Codec ID"] == "isom (iso2)" and got["Duration"] == "1 min 1 s" and got["File size"] == "1.5 MiB" and got["Description"] == "hi"
+    assert got["HDR format"] == "HDR10" and got["Display aspect ratio"] == "1.778" and got["Chroma subsampling"] == "4:2:0" and got["Color primaries"] == "BT.2020"
+    assert got["Bit rate"] == "1536 kb/s" and got["Sampling rate"] == "48.000000 kHz" and "Scan type" in got and "Maximum Frame-Average Light Level" not in got
