@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     import numpy as np
 
     rows = map_texts(training_rows(docs, labels, id_col, text_col, label_col, mod, held, max_train_rows), _training_inputs, "label int, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(rows.num_rows, -1).astype(np.float32)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(rows.num_rows, BUCKETS + STATS).astype(np.float32)
     y = rows["label"].to_numpy().astype(np.float32)
     del rows
     order = np.lexsort((x[:, BUCKETS + 7], x[:, BUCKETS + 9], y)) if len(y) else np.arange(0)  # the order in which rows arrive doesn't matter
