@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .common import map_texts, small_batches, texts_of
 
-TRAIN_PAGES = 600
-TREES, DEPTH, BINS, RATE = 50, 4, 32, 0.25
+TRAIN_PAGES = 1500
+TREES, DEPTH, BINS, RATE = 60, 4, 32, 0.25
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|aria-hidden|hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -160,7 +160,7 @@ def parse(html: str):
 
 
 N_ROLES = len(ROLES)
-FEATURES = len(TAGS) + 1 + 2 * N_ROLES + len(ABOVE) + 22
+FEATURES = len(TAGS) + 1 + 2 * N_ROLES + len(ABOVE) + 22 + 10
 
 
 def features(page):
@@ -179,8 +179,11 @@ def features(page):
     paras = np.fromiter((t == "p" for t in tag), np.float64, n)
     start = np.concatenate([[0], np.cumsum(chars)[:-1]])
     children, index = np.zeros(n), np.zeros(n)
+    before, after, newest = [0] * n, [0] * n, [0] * n  # neighbours among siblings; 0, the root, where there is none
     for i in range(1, n):
         p = parent[i]
+        before[i], newest[p] = newest[p], i
+        after[before[i]] = i
         depth[i] = depth[p] + 1
         above[i] = above[p] | _ABOVE_BIT.get(tag[p], 0)
         role_above[i] = role_above[p] | roles[p]
@@ -194,6 +197,14 @@ def features(page):
     up = np.maximum(par, 0)
     brothers = np.maximum(children[up], 1)
     mean_brother = (c[up] - c) / np.maximum(brothers - 1, 1)
+    after[0] = 0
+    block = np.where((chars > 0) & (brothers == 1), up, np.arange(n))  # a run that is all its element has counts as the element
+    prev, next_ = np.array(before)[block], np.array(after)[block]
+    heading = np.fromiter((t in ("h1", "h2", "h3", "h4") for t in tag), np.float64, n)
+    around = []
+    for near in (prev, next_):
+        there = near > 0
+        around += [np.where(there, np.log1p(c[near]), -1), np.where(there, lk[near] / np.maximum(c[near], 1), -1), there * paras[near], there * heading[near], np.where(there, c[near] / (tg[near] + 1), -1)]
     x = np.zeros((n, FEATURES), np.float32)
     numbers = np.fromiter((_TAG_NO.get(t, len(TAGS)) for t in tag), np.int64, n)
     x[np.arange(n), numbers] = 1
@@ -208,7 +219,7 @@ def features(page):
     one = np.maximum(c, 1)
     x[:, at:] = np.stack([
         np.log1p(c), lk / one, mk / np.maximum(wd, 1), np.log1p(wd), np.log1p(rn), np.log1p(tg), c / (tg + 1), c / np.maximum(rn, 1), it / np.maximum(tg, 1), pp / np.maximum(tg, 1), depth, children, index, index / brothers, brothers,
-        c / total, c / np.maximum(c[up], 1), np.log1p(mean_brother), lk[up] / np.maximum(c[up], 1), pp[up] / np.maximum(tg[up], 1), (start / total), c[up] / total,
+        c / total, c / np.maximum(c[up], 1), np.log1p(mean_brother), lk[up] / np.maximum(c[up], 1), pp[up] / np.maximum(tg[up], 1), (start / total), c[up] / total, *around,
     ], axis=1)
     return x
 
