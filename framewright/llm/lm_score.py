@@ -19,10 +19,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, small_batches
-from .tokens import default_path, shared_tokenizer
+from .common import crc_mod, map_texts, materialize, small_batches
+from .tokens import coded_words, default_path, shared_tokenizer, word_keys
 
-HEAD = 1 << 20
+HEAD = 1 << 19
 #: The most frequent ids are dealt to GROUPS groups of MEMBERS; the last members of the last group stand for bands of rare ids.
 GROUPS, MEMBERS = 32, 32
 CLASSES = GROUPS * MEMBERS
@@ -31,9 +31,13 @@ SINGLE = CLASSES - BANDS
 ROWS = 4096
 DIM = 32
 WINDOW, STRIDE = 24, 16
+#: Scores and logits end here, which spares looking for their maxima.
+TOP = 80.0
 START_TOKENS = 1_500_000
+#: Counts of words that a task holds before it hands them on.
+HELD_WORDS = 2_000_000
 START_DOCS = 3000
-TRAIN_RATE = 32
+TRAIN_RATE = 64
 END = 49407
 VOCABULARY = 49408
 
@@ -78,18 +82,17 @@ def windows(ids, cuts, row, end: int = END):
     blocks = -(-lengths // STRIDE)
     lead = WINDOW - STRIDE
     base = np.concatenate([[0], np.cumsum(lead + blocks * STRIDE)])
-    own = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(ids)) - cuts[own]
+    place = np.repeat((base[:-1] + lead - cuts[:-1]).astype(np.int32), lengths) + np.arange(len(ids), dtype=np.int32)
     inputs = np.full(base[-1], PAD_ROW, np.int32)
-    targets = np.full(base[-1], -1, np.int64)
-    place = base[own] + lead + at
-    before = np.concatenate([[end], ids[:-1]]) if len(ids) else ids
-    before = np.where(at == 0, end, before)
-    inputs[place], targets[place] = row[before], ids
+    targets = np.full(base[-1], -1, np.int32)
+    targets[place] = ids
+    rows = row[ids]
+    inputs[place[1:]] = rows[:-1]
+    inputs[(base[:-1] + lead)[lengths > 0]] = row[end]
     text = np.repeat(np.arange(len(lengths)), blocks)
     first = base[text] + (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STRIDE
     x = np.lib.stride_tricks.sliding_window_view(inputs, WINDOW)[first] if len(first) else np.zeros((0, WINDOW), np.int32)
-    t = np.lib.stride_tricks.sliding_window_view(targets, STRIDE)[first + lead] if len(first) else np.zeros((0, STRIDE), np.int64)
+    t = np.lib.stride_tricks.sliding_window_view(targets, STRIDE)[first + lead] if len(first) else np.zeros((0, STRIDE), np.int32)
     return x, t, text
 
 
@@ -108,29 +111,29 @@ def log_probabilities(tables: dict, x, t, cls, share, most: int = 2048):
     distance, later = _geometry()
     bias = tables["b"][distance]
     bias[later] = -1e9
-    out = np.zeros(t.shape, np.float32)
+    out, ones = np.zeros(t.shape, np.float32), np.ones(WINDOW, np.float32)
     for a in range(0, len(x), most):
         xb, tb = x[a : a + most], t[a : a + most]
         s = np.matmul(tables["q"][xb[:, WINDOW - STRIDE :]], tables["k"][xb].transpose(0, 2, 1))
         s += bias
-        s -= s.max(2, keepdims=True)
+        np.minimum(s, TOP, out=s)
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
         h = np.matmul(s, tables["v"][xb])
+        h /= (s @ ones)[..., None]
         h += tables["u"][xb[:, WINDOW - STRIDE :]]
         np.tanh(h, out=h)
-        real = tb.ravel() >= 0
-        aim = cls[tb.ravel()[real]]
-        group, member = np.divmod(aim, MEMBERS)
-        order = np.argsort(group, kind="stable")
-        h = h.reshape(-1, DIM)[real][order]
+        real = np.flatnonzero(tb.ravel() >= 0)
+        group, member = np.divmod(cls[tb.ravel()[real]], MEMBERS)
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        group, member = group[order], member[order]
+        h = h.reshape(-1, DIM)[real[order]]
         own = np.zeros(tb.size, np.float32)
-        lp = _log_softmax_at(h @ tables["g"] + tables["gb"], group[order])
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        lp = _log_softmax_at(h @ tables["g"] + tables["gb"], group)
+        edges = np.searchsorted(group, np.arange(GROUPS + 1))
         for k in np.flatnonzero(np.diff(edges)):
             z = slice(edges[k], edges[k + 1])
-            lp[z] += _log_softmax_at(h[z] @ tables["o"][k] + tables["c"][k], member[order[z]])
-        own[np.flatnonzero(real)[order]] = lp
+            lp[z] += _log_softmax_at(h[z] @ tables["o"][k] + tables["c"][k], member[z])
+        own[real[order]] = lp
         own[real] += share[tb.ravel()[real]]
         out[a : a + most] = own.reshape(tb.shape)
     return out
@@ -139,10 +142,10 @@ def log_probabilities(tables: dict, x, t, cls, share, most: int = 2048):
 def _log_softmax_at(z, at):
     import numpy as np
 
-    z -= z.max(1, keepdims=True)
+    np.minimum(z, TOP, out=z)
     mine = z[np.arange(len(at)), at]
     np.exp(z, out=z)
-    return mine - np.log(z.sum(1))
+    return mine - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
 def score_tables(w: dict) -> dict:
@@ -261,24 +264,39 @@ def _first_pass(path: str):
         import pyarrow as pa
 
         coder, seen = shared_tokenizer(path), np.zeros(VOCABULARY, np.int64)
-        for b in small_batches(batches, "text", 3 << 20):
+        held: list = []
+        for b in small_batches(batches, "text", 5 << 20):
             train = np.asarray(b.column("train").to_numpy(zero_copy_only=False), bool)
-            ids, cuts = coder.encode(b.column("text"), END)
+            unique, codes, offsets = coded_words(b.column("text"))
+            lower, h = word_keys(unique)
+            ids, cuts = coder.encode(b.column("text"), END, (unique, codes, offsets, lower, h))
             used = np.repeat(train, np.diff(cuts))
             seen += np.bincount(ids[used], minlength=VOCABULARY)
-            h, codes, offsets = hashed_words(b.column("text"))
-            n = np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(h))
+            held.append((h.view(np.int64), np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(unique))))
             raw = ids.astype("<u2")
             rows = [raw[a:z].tobytes() for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             yield _rows(kind=np.zeros(len(rows), np.int32), id=b.column("id"), row=b.column("row"), train=b.column("train"), text=b.column("text"), ids=pa.array(rows, pa.binary()))
-            some = np.flatnonzero(n)
-            yield _rows(kind=np.ones(len(some), np.int32), key=h[some], n=n[some])
+            if sum(len(h) for h, _ in held) > HELD_WORDS:
+                yield _counted(held)
+                held = []
+        if held:
+            yield _counted(held)
         some = np.flatnonzero(seen)
         yield _rows(kind=np.full(len(some), 2, np.int32), key=some, n=seen[some])
 
     return run
 
 
+def _counted(held):
+    import numpy as np
+
+    h, n = (np.concatenate(x) for x in zip(*held))
+    key, at = np.unique(h, return_inverse=True)
+    n = np.bincount(at, n, len(key)).astype(np.int64)
+    some = np.flatnonzero(n)
+    return _rows(kind=np.ones(len(some), np.int32), key=key[some], n=n[some])
+
+
 _KINDS = {"kind": "int32", "id": "int64", "row": "int64", "train": "bool_", "text": "string", "ids": "binary", "key": "int64", "n": "int64"}
 
 
@@ -291,21 +309,6 @@ def _rows(**columns):
     return pa.RecordBatch.from_arrays(arrays, names=list(_KINDS))
 
 
-def hashed_words(texts):
-    """Hashes of the distinct lower-cased words, each word's place among them, and the texts' offsets."""
-    import numpy as np
-    import pyarrow.compute as pc
-    from xxhash import xxh64_intdigest
-
-    from .common import split_words
-
-    words, offsets = split_words(texts)
-    coded = pc.ascii_lower(words).dictionary_encode()
-    unique = coded.dictionary.to_pylist()
-    h = np.fromiter((xxh64_intdigest(w) for w in unique), np.uint64, len(unique)).view(np.int64)
-    return h, coded.indices.to_numpy(zero_copy_only=False), offsets
-
-
 def _local_training(weights: dict, row, cls):
     def run(batches):
         import numpy as np
@@ -356,7 +359,7 @@ def learn_weights(documents: DataFrame, row, cls, rate: int = TRAIN_RATE, fan_in
         w = train(w, x, t, cls, 0.01, 1, epochs=2)
     schema = "part long, n long, data binary"
     own = documents.filter(F.pmod(F.xxhash64("row"), F.lit(rate)) == 0).select("ids")
-    sums = own.mapInArrow(_local_training(w, row, cls), schema)
+    sums = map_texts(own, _local_training(w, row, cls), schema)
     total, n = 0.0, 0
     for r in sums.groupBy(F.pmod("part", F.lit(fan_in))).applyInPandas(_add, schema).toLocalIterator():
         total, n = total + np.frombuffer(r["data"], "<f8"), n + r["n"]
@@ -370,12 +373,13 @@ def _second_pass(weights: dict, row, cls, share, head_h, head_n):
         import numpy as np
         import pyarrow as pa
 
-        for b in small_batches(batches, "text", 2 << 20):
+        for b in small_batches(batches, "text", 5 << 20):
             n = b.num_rows
             ids, cuts = joined_ids(b.column("ids"))
             x, t, text = windows(ids, cuts, row)
             score = np.bincount(text, log_probabilities(tables, x, t, cls, share).sum(1, dtype=np.float64), n) / np.log(10)
-            h, codes, offsets = hashed_words(b.column("text"))
+            unique, codes, offsets = coded_words(b.column("text"))
+            h = word_keys(unique)[1].view(np.int64)
             at = np.minimum(np.searchsorted(head_h, h), max(len(head_h) - 1, 0))
             known = head_h[at] == h if len(head_h) else np.zeros(len(h), bool)
             c = np.where(known, head_n[at], 0) if len(head_h) else np.zeros(len(h), np.int64)
@@ -383,11 +387,12 @@ def _second_pass(weights: dict, row, cls, share, head_h, head_n):
             mine = known[codes]
             logs = np.bincount(own[mine], np.log10(c + 0.1)[codes[mine]], n)
             n_known = np.bincount(own[mine], minlength=n)
-            pair, times = np.unique(own[~mine] * np.int64(max(1, len(h))) + codes[~mine], return_counts=True)
-            pair_cuts = np.searchsorted(pair, np.arange(n + 1) * np.int64(max(1, len(h))))
-            rest = pa.ListArray.from_arrays(pa.array(pair_cuts.astype(np.int32)), pa.array(h[pair % max(1, len(h))]))
+            key, same = np.unique(h, return_inverse=True)  # words that differ in A-Z only are one
+            pair, times = np.unique(own[~mine] * np.int64(max(1, len(key))) + same[codes[~mine]], return_counts=True)
+            pair_cuts = np.searchsorted(pair, np.arange(n + 1) * np.int64(max(1, len(key))))
+            rest = pa.ListArray.from_arrays(pa.array(pair_cuts.astype(np.int32)), pa.array(key[pair % max(1, len(key))]))
             counts = pa.ListArray.from_arrays(pa.array(pair_cuts.astype(np.int32)), pa.array(times.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("train"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(logs), pa.array(score), rest, counts], names=["id", "row", "train", "words", "known", "logs", "score", "rest", "times"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("train"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(logs.astype(float)), pa.array(score.astype(float)), rest, counts], names=["id", "row", "train", "words", "known", "logs", "score", "rest", "times"])
 
     return run
 
@@ -402,7 +407,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), (crc_mod(id_col, mod) != held).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "kind int, id long, row long, train boolean, text string, ids binary, key long, n long"
-    first = materialize(rows.mapInArrow(_first_pass(tokenizer or default_path()), schema), "lm-first")
+    first = materialize(map_texts(rows, _first_pass(tokenizer or default_path()), schema), "lm-first")
     documents = first.filter("kind = 0")
     counts = materialize(first.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     totals = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()
@@ -416,7 +421,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     top = counts.orderBy(F.desc("n"), "key").limit(head).toArrow()
     head_h, head_n = top["key"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(head_h)
-    second = documents.select("id", "row", "train", "text", "ids").mapInArrow(_second_pass(weights, row, cls, share, head_h[order], head_n[order]), "id long, row long, train boolean, words long, known long, logs double, score double, rest array<long>, times array<int>")
+    second = map_texts(documents.select("id", "row", "train", "text", "ids"), _second_pass(weights, row, cls, share, head_h[order], head_n[order]), "id long, row long, train boolean, words long, known long, logs double, score double, rest array<long>, times array<int>")
     second = materialize(second, "lm-second")
     if v_all - (ends > 0) > head:
         pairs = second.select("row", F.explode(F.arrays_zip("rest", "times")).alias("p")).select("row", F.col("p.rest").alias("key"), F.col("p.times").alias("times"))

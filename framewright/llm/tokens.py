@@ -2,8 +2,8 @@
 
 Of the tokenizers used here, white space is dropped and no id spans it, so each distinct white-space separated word is
 encoded once and its ids are copied to wherever it stands. A word of plain letters, with or without one mark behind,
-needs neither normaliser nor pre-tokenizer: its lower-case letters go straight to the byte-pair model. The ids equal
-those of encoding the whole text.
+needs neither normaliser nor pre-tokenizer: its lower-case letters go straight to the byte-pair model. What has been
+encoded is kept in a table of fixed size, addressed by the word's hash. The ids equal those of encoding whole texts.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from functools import lru_cache
 
 from .common import split_words
 
-#: Distinct words that a worker remembers, with and without marks behind, and letters alone.
-REMEMBER = 400_000
+#: Words that a worker remembers, at most; a new word takes the place of another of the same slot.
+SLOTS = 1 << 20
+#: Ids that it keeps for them before it starts anew.
+KEPT_IDS = 6_000_000
 CHUNK = 8192
 #: Letters that no normal form changes and whose lower case is one character (ASCII and Latin-1), and marks that are a token of their own after letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)\Z")
@@ -35,30 +37,44 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+def coded_words(texts):
+    """The distinct words of the texts as a pyarrow array, each word's place among them, and the texts' offsets among the words."""
+    words, offsets = split_words(texts)
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), offsets
+
+
+def word_keys(unique):
+    """The words of a pyarrow array with A-Z lower-cased, and their 64-bit hashes."""
+    import numpy as np
+    import pyarrow.compute as pc
+    from xxhash import xxh64_intdigest
+
+    lower = pc.ascii_lower(unique).to_pylist()
+    return lower, np.fromiter(map(xxh64_intdigest, lower), np.uint64, len(lower))
+
+
 class WordTokenizer:
     """path: a file of the tokenizers library: byte-level byte-pair encoding with word ends, lower case, white space dropped."""
 
     def __init__(self, path: str):
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.whole.model)
         self.letters = _byte_letters()
-        self._forget()
+        self.mark_ids, self.mark_lengths = self._encoded(list(_MARKS), False)
+        self.key, self.start, self.length = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.full(SLOTS, -1, np.int32)
+        self.ids = np.zeros(0, np.uint32)
 
-    def _forget(self) -> None:
+    def _encoded(self, words: list[str], plain: bool):
+        """The ids of all words one after another, and how many each has."""
         import numpy as np
 
-        self.known: dict[str, int] = {}
-        self.seen: dict[str, int] = {}  # of a word as it stands: 8 times the code of its letters, plus 1 more than the code of its mark
-        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._learn(list(_MARKS), False)
-
-    def _learn(self, words: list[str], plain: bool) -> None:
-        import numpy as np
-
-        ids, lengths = [self.ids], [self.lengths]
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), CHUNK):
             own = words[at : at + CHUNK]
             if plain:
@@ -66,54 +82,68 @@ class WordTokenizer:
             found = (self.bare if plain else self.whole).encode(own, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(found.ids, np.uint32))
             lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(own)))
-        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        at = len(self.known)
-        self.known.update(zip(words, range(at, at + len(words))))
+        return np.concatenate(ids), np.concatenate(lengths)
 
-    def _look_up(self, unique: list[str]):
-        """For each word its code, and the code of the mark behind it or -1."""
+    def _fresh(self, words: list[str]):
+        """As _encoded, for words of any kind."""
         import numpy as np
 
-        if len(self.known) > REMEMBER:
-            self._forget()
-        if len(self.seen) > REMEMBER:
-            self.seen = {}
-        seen, known = self.seen, self.known
-        new = [w for w in unique if w not in seen]
-        plain, odd, parts = {}, {}, []
-        match = _PLAIN.match
-        for w in new:
-            if m := match(w):
+        base, mark, plain, odd = [], [], {}, {}
+        for w in words:
+            if m := _PLAIN.match(w):
                 w, tail = m.groups()
-                w = w.lower()
-                if w not in known:
-                    plain[w] = None
-                parts.append((w, tail))
+                base.append(plain.setdefault(w.lower(), len(plain)))
+                mark.append(_MARKS.index(tail) if tail else -1)
             else:
-                if w not in known:
-                    odd[w] = None
-                parts.append((w, ""))
-        self._learn(list(plain), True)
-        self._learn(list(odd), False)
-        seen.update(zip(new, [known[w] * 8 + (known[tail] + 1 if tail else 0) for w, tail in parts]))
-        base, mark = np.divmod(np.array([seen[w] for w in unique], np.int64), 8)
-        return base, mark - 1
-
-    def encode(self, texts, end: int | None = None):
-        """ids of all texts of a pyarrow array one after another, and each text's offsets among them; `end` closes each text if given."""
+                base.append(-1 - odd.setdefault(w, len(odd)))
+                mark.append(-1)
+        pieces = [self._encoded(list(plain), True), self._encoded(list(odd), False), (self.mark_ids, self.mark_lengths)]
+        ids, lengths = (np.concatenate(x) for x in zip(*pieces))
+        base, mark = np.array(base, np.int64), np.array(mark, np.int64)
+        base = np.where(base >= 0, base, len(plain) - 1 - base)
+        both = np.column_stack([base, np.where(mark >= 0, mark + len(plain) + len(odd), -1)]).ravel()
+        flat, cuts = _copy(ids, np.cumsum(lengths) - lengths, lengths, both[both >= 0])
+        cuts = cuts[np.concatenate([[0], np.cumsum(1 + (mark >= 0))])]
+        return flat, np.diff(cuts)
+
+    def _look_up(self, unique, lower: list[str], keys):
+        """Where the ids of each word lie in self.ids, and how many there are."""
+        import numpy as np
+        import pyarrow.compute as pc
+        from xxhash import xxh64_intdigest
+
+        if len(self.ids) > KEPT_IDS:
+            self.ids = self.ids[:0]
+            self.length[:] = -1
+        # special ids are in lower case, and a letter may join a mark behind it in one case only: such words stand as they are
+        exact = pc.match_substring_regex(unique, r"<\||[^\x{0}-\x{2FF}]").to_numpy(zero_copy_only=False)
+        if exact.any():
+            lower, keys = list(lower), keys.copy()
+            for i in np.flatnonzero(exact):
+                lower[i] = unique[int(i)].as_py()
+                keys[i] = xxh64_intdigest(lower[i], seed=1)
+        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        start, length = self.start[slot], self.length[slot]
+        new = np.flatnonzero((self.key[slot] != keys) | (length < 0))
+        if len(new):
+            flat, own = self._fresh([lower[i] for i in new.tolist()])
+            start[new] = len(self.ids) + np.cumsum(own) - own
+            length[new] = own
+            self.ids = np.concatenate([self.ids, flat])
+            at = slot[new]
+            self.key[at], self.start[at], self.length[at] = keys[new], start[new], length[new]
+        return start, length
+
+    def encode(self, texts, end: int | None = None, coded=None):
+        """ids of all texts of a pyarrow array one after another, and each text's offsets among them; `end` closes each text if given. coded: what coded_words(texts) and word_keys of it gave, where the caller needs them too."""
         import numpy as np
 
-        words, offsets = split_words(texts)
+        unique, code, offsets, lower, keys = coded or ((c := coded_words(texts)) + word_keys(c[0]))
         n = len(offsets) - 1
-        if not len(words):
+        if not len(unique):
             return np.full(n if end is not None else 0, end or 0, np.uint32), np.arange(n + 1) * (end is not None)
-        coded = words.dictionary_encode()
-        base, mark = self._look_up(coded.dictionary.to_pylist())
-        flat, cuts = _copy(self.ids, self.starts, self.lengths, np.column_stack([base, mark]).ravel()[np.column_stack([base >= 0, mark >= 0]).ravel()])
-        cuts = cuts[np.concatenate([[0], np.cumsum(1 + (mark >= 0))])]
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        flat, upto = _copy(flat, cuts[:-1], np.diff(cuts), code)
+        start, length = self._look_up(unique, lower, keys)
+        flat, upto = _copy(self.ids, start, length, code)
         cuts = upto[offsets]
         if end is None:
             return flat, cuts
@@ -136,7 +166,7 @@ def _copy(ids, starts, lengths, codes):
     import numpy as np
 
     own = lengths[codes]
-    upto = np.concatenate([[0], np.cumsum(own)])
+    upto = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
     place = np.repeat((starts[codes] - upto[:-1]).astype(np.int32), own)  # batches are far below 2^31 ids
     place += np.arange(upto[-1], dtype=np.int32)
     return ids[place], upto
