@@ -1,7 +1,7 @@
 """SimHash near-dedup: fingerprints of word shingles, compared exactly in tiles.
 
-Equal fingerprints are one row from the start. Distinct ones are sorted into tiles of about `tile` rows by their number
-of set bits (a number with more rows than that is split by hash). Fingerprints within the radius differ by no more than
+Equal fingerprints are one row from the start. Distinct ones are sorted into tiles by their number of set bits (a number
+with more rows than a tile holds is split by hash). Fingerprints within the radius differ by no more than
 the radius in their number of set bits, so only pairs of tiles that are this near are compared, each in a task of its
 own: a numpy exclusive-or and bit count of blocks, where blocks whose counts in the four quarters of the fingerprint
 differ beyond the radius in sum are skipped as well. Each task returns a spanning forest of the links it found, which
@@ -9,8 +9,8 @@ connects what the links connect and never has more rows than it read.
 
 With a least similarity, a link also needs that Jaccard similarity of the shingles, which allows a wide radius: near
 copies that a narrow one misses are found, and unlike documents stay apart. A first comparison with ROUGH smallest
-shingle hashes of each document leaves the few that may be near another; these are compared again with FINE hashes,
-which is exact for documents of as many shingles and off by 0.01 or so for longer ones.
+shingle hashes of each document leaves the few that may be near another; these are compared again, each with those it
+may belong to, with FINE hashes: exact for documents of as many shingles, off by 0.01 or so for longer ones.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from .components import connected_components
 WORDS = 3
 RADIUS = 3
 SEED = 42
-TILE = 16384
+#: Rows of a tile at least, and its growth: TILE_GROWTH times the square root of all rows, so that neither the rows of a task nor how often a row is sent grow with the rows themselves.
+TILE, TILE_GROWTH = 8192, 160
 BLOCK = 64
 ROUGH, FINE = 32, 1024
 #: How far a rough similarity may fall below the least one.
@@ -202,32 +203,50 @@ def tile_plan(per: dict[int, int], radius: int, tile: int) -> list[tuple[int, in
     return out
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, least: float | None = None) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int | None = None, least: float | None = None) -> DataFrame:
     """Links (u, v) among the values of distinct.fp that connect exactly what all pairs within the radius (and of the least similarity of distinct.sketch, if given) connect."""
     bits = F.bit_count("fp").cast("int")
     per = {r["c"]: r["n"] for r in distinct.groupBy(bits.alias("c")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    tile = tile or max(TILE, int(TILE_GROWTH * sum(per.values()) ** 0.5))
     first, tiles, low, high = ("array(" + ",".join(map(str, x)) + ")" for x in zip(*tile_plan(per, radius, tile)))
     own = ["fp", *["sketch"] * (least is not None)]
     rows = distinct.select(*own, bits.alias("c")).withColumn("t", F.expr(f"cast({first}[c] + pmod(xxhash64(fp), {tiles}[c]) as bigint)"))
     rows = rows.withColumn("x", F.explode(F.expr(f"sequence(cast({low}[c] as bigint), cast({high}[c] as bigint))")))
-    rows = rows.select(*own, F.expr("least(t, x) * 4294967296L + greatest(t, x)").alias("pair"), F.expr("if(t > x, 1, 0)").alias("side"))
+    rows = rows.select(*own, F.expr("least(t, x) * 4294967296L + greatest(t, x)").alias("pair"), F.expr(_SIDE).alias("side"))
 
+    return rows.groupBy("pair").applyInArrow(_compared(radius, least), "u long, v long")
+
+
+def _compared(radius: int, least: float | None):
     def compare(rows):
         import numpy as np
         import pyarrow as pa
 
         fp, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
         drawn = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u4").reshape(rows.num_rows, -1) if least is not None else None
-        low, high = divmod(int(rows["pair"][0].as_py()), 1 << 32)
-        one, two = np.flatnonzero(side == 0), None if low == high else np.flatnonzero(side == 1)
+        one, two = np.flatnonzero(side < 1), None if side[0] < 0 else np.flatnonzero(side == 1)
         pick = lambda x, at: x[at] if x is not None and at is not None else None
         x, y = linked_forest(fp[one], pick(fp, two), radius, pick(drawn, one), pick(drawn, two), least or 0.0)
         return pa.table({"u": pa.array(x.view(np.int64)), "v": pa.array(y.view(np.int64))})
 
-    return rows.groupBy("pair").applyInArrow(compare, "u long, v long")
+    return compare
+
+
+#: Of the pair (t, x) of tiles: -1 for a tile with itself, 0 for the first, 1 for the second.
+_SIDE = "case when t = x then -1 when t > x then 1 else 0 end"
+
+
+def fine_links(rows: DataFrame, radius: int, least: float, most: int = 4096) -> DataFrame:
+    """Links among rows (fp, sketch, label) of equal label. Small labels are compared together, which links nothing more, as other labels have nothing near; large ones in pairs of tiles of `most` rows."""
+    sizes = rows.groupBy("label").agg(F.count("*").alias("m"))
+    total = rows.count()
+    rows = rows.join(F.broadcast(sizes) if total <= BROADCAST_ROWS else sizes, "label")
+    rows = rows.withColumn("parts", F.ceil(F.col("m") / most)).withColumn("t", F.expr("pmod(xxhash64(fp), parts)")).withColumn("x", F.explode(F.expr("sequence(0L, parts - 1)")))
+    pair = F.expr(f"if(parts = 1, pmod(xxhash64(label), {-(-total // most) or 1}), xxhash64(label, least(t, x), greatest(t, x)))")
+    return rows.select("fp", "sketch", pair.alias("pair"), F.expr(_SIDE).alias("side"), (F.col("parts") > 1).alias("large")).groupBy("large", "pair").applyInArrow(_compared(radius, least), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, tile: int = TILE, least: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, tile: int | None = None, least: float | None = None) -> DataFrame:
     """One row per row of docs: id, h, fp, component (any number of the group), component_id (the smallest id in it), first_h (the smallest h of that id).
 
     Null counts as empty; texts without a word have fingerprint 0 and are linked like any other. Null ids never become
@@ -238,12 +257,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(all_.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("i"), "id", "h")).alias("best"), *drawn), "simhash-distinct")
     links = materialize(near_links(distinct, radius, tile, None if least is None else max(0.0, least - SLACK)), "simhash-links")
     if least is not None:
-        near = links.select(F.col("u").alias("fp")).union(links.select("v")).distinct().join(distinct, "fp")
-        near = materialize(near.select(F.xxhash64("best.id", "best.h").alias("_k")), "simhash-near")
+        maybe = connected_components(links)
+        near = maybe.join(distinct, F.col("node") == F.col("fp")).select(F.xxhash64("best.id", "best.h").alias("_k"))
+        near = materialize(near, "simhash-near")
         own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_k", F.xxhash64(F.col("_id").cast("long"), F.xxhash64(F.coalesce("_text", F.lit("")))))
         own = own.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "_k", "left_semi")
         fine = fingerprints(own, "_id", "_text", words, FINE).groupBy("fp").agg(F.min("sketch").alias("sketch"))
-        links = materialize(near_links(materialize(fine, "simhash-fine"), radius, max(1, tile // 8), least), "simhash-links")
+        fine = materialize(fine.join(maybe.withColumnRenamed("node", "fp"), "fp"), "simhash-fine")
+        links = materialize(fine_links(fine, radius, least), "simhash-links")
     labels = connected_components(links)
     parts = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "best", F.coalesce("label", "fp").alias("component"))
     parts = materialize(parts, "simhash-parts")
@@ -252,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return all_.join(parts, "fp").select(F.col("id").alias(id_col), "h", "fp", "component", "component_id", "first_h")
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 18, tile: int = 65536, least: float | None = 0.8) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 18, tile: int | None = None, least: float | None = 0.8) -> DataFrame:
     """docs with one document of each component: that of the smallest id, of the smallest text hash if ids repeat.
 
     By default near duplicates share 0.8 of their five-word shingles. Rows of equal id and text count as one document.
