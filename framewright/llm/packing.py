@@ -17,6 +17,8 @@ from .tokens import default_path, shared_tokenizer
 
 CAPACITY = 2048
 END = 0
+#: Rows of length, partition and offset that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 class _Lengths:
@@ -217,6 +219,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     table = places(plan(totals, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = F.broadcast(base) if counts.count() <= BROADCAST_ROWS else base.hint("merge")
     ranked = cut.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     out = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids
     schema = ", ".join(f"{c} {dict(cut.dtypes).get(c, 'bigint')}" for c in out)
