@@ -21,7 +21,7 @@ from .common import materialize
 
 TREES = 3
 LEAF = 1024
-#: Rows that trees are fitted to and the search is tuned on, at most.
+#: Rows that trees are fitted to and the search is tuned on, all or about this many.
 SAMPLE = 50_000
 TUNING_QUERIES = 200
 #: Recall aimed at on the sample.
@@ -126,7 +126,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     members = _members(rows, classes, k + 1)
     total, n_queries = classes.agg(F.count("*"), F.count_if("query")).head()
 
-    picked = classes.select("vec", F.xxhash64("cid").alias("o")).orderBy("o").limit(sample).select("vec").toArrow()["vec"].combine_chunks()
+    share = int(1e9 * min(1.0, sample / max(1, total)))  # about `sample` vectors, without sorting any
+    picked = classes.filter(F.pmod(F.xxhash64("cid"), F.lit(10**9)) < share).select("cid", "vec").toArrow().sort_by("cid")["vec"].combine_chunks()
     fitted = picked.flatten().to_numpy().reshape(-1, dims)
     depth = max(0, int(np.ceil(np.log2(min(total / leaf, len(fitted) / 16)))) if total > leaf else 0)
     forest = Forest(fitted, depth, trees)
