@@ -345,11 +345,12 @@ def _add(rows):
     return pd.DataFrame({"part": [0], "n": [int(rows["n"].sum())], "data": [reduce(np.add, (np.frombuffer(x, "<f8") for x in rows["data"])).tobytes()]})
 
 
-def learn_weights(documents: DataFrame, row, cls, rate: int = TRAIN_RATE, fan_in: int = 16) -> dict:
+def learn_weights(documents: DataFrame, n_documents: int, row, cls, rate: int = TRAIN_RATE, fan_in: int = 16) -> dict:
     """Weights from (id, ids) of training documents: a start from a bounded sample on the driver, then the average of what partitions learn from one document in `rate`."""
     import numpy as np
 
-    picked = documents.select("ids", F.xxhash64("row", F.lit(3)).alias("_o")).orderBy("_o").limit(START_DOCS).select("ids").toArrow()
+    share = int(1e9 * min(1.0, START_DOCS / max(1, n_documents)))  # about START_DOCS documents, without sorting any
+    picked = documents.filter(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(10**9)) < share).select("row", "ids").toArrow().sort_by("row")
     ids, cuts = joined_ids(picked["ids"].combine_chunks())
     last = max(1, int(np.searchsorted(cuts, START_TOKENS, "right")) - 1)
     ids, cuts = ids[: cuts[last] if last < len(cuts) else None], cuts[: last + 1]
@@ -397,6 +398,18 @@ def _second_pass(weights: dict, row, cls, share, head_h, head_n):
     return run
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, `most` at most: a histogram of the counts' logarithms tells from which count on, so nothing is sorted."""
+    band = F.floor(F.log2("n") * 16)
+    cut, total = 1 << 20, 0
+    for r in sorted(counts.groupBy(band.alias("b")).agg(F.count("*").alias("m")).collect(), reverse=True):  # a thousand rows at most
+        total += r["m"]
+        if total > most:
+            break
+        cut = r["b"]
+    return counts.filter(band >= cut)
+
+
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, mod: int = 10, held: int = 0, head: int = HEAD) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -417,8 +430,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for r in first.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).collect():  # a row an id of the tokenizer at most
         ids[r["key"]] = r["n"]
     row, cls, share = vocabulary_tables(ids)
-    weights = learn_weights(documents.filter("train"), row, cls)
-    top = counts.orderBy(F.desc("n"), "key").limit(head).toArrow()
+    weights = learn_weights(documents.filter("train"), ends, row, cls)
+    top = most_frequent(counts, head).toArrow()
     head_h, head_n = top["key"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(head_h)
     second = map_texts(documents.select("id", "row", "train", "text", "ids"), _second_pass(weights, row, cls, share, head_h[order], head_n[order]), "id long, row long, train boolean, words long, known long, logs double, score double, rest array<long>, times array<int>")
