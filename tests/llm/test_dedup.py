@@ -203,3 +203,20 @@ def test_chaining_equals_the_quadratic_programme():
                     f[j] = max(f[j], f[i] + ln[j] - substring.GAP_COST * ((d[j] - d[i] - ln[i]) + (c[j] - c[i] - ln[i])))
         assert score(best) <= max(f) + 1e-9
         assert score(best) >= 0.9 * max(f) - 1e-9
+
+
+@pytest.mark.parametrize("sizes", [(60, 40, 40, 60), (500, 300, 300, 500), (60, 45, 70, 55), (80, 30, 90, 20)])
+def test_two_passages_of_a_pair(spark, sizes):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    one, left, right, two = map(fresh, sizes)
+    a, b = fresh(30) + one + left + two + fresh(30), fresh(17) + one + right + two + fresh(22)
+    got = substring.repeated_passages(docs(spark, [(1, " ".join(a)), (2, " ".join(b))])).collect()
+    own = [x for x in (one, two) if len(x) >= 50]
+    for i, t in ((1, a), (2, b)):
+        seen = [range(r["start_word"], r["end_word"]) if r["doc_id"] == i else range(r["ref_start"], r["ref_end"]) for r in got]
+        # brute force: every word that is in a common run of 50 words
+        for p in own:
+            at = next(k for k in range(len(t)) if t[k : k + len(p)] == p)
+            assert any(at in s and at + len(p) - 1 in s for s in seen)
+    assert all(r["identity"] >= 0.8 for r in got)
