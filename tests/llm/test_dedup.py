@@ -220,3 +220,20 @@ def test_two_passages_of_a_pair(spark, sizes):
             at = next(k for k in range(len(t)) if t[k : k + len(p)] == p)
             assert any(at in s and at + len(p) - 1 in s for s in seen)
     assert all(r["identity"] >= 0.8 for r in got)
+
+
+def test_passages_of_low_identity(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, even, pairs = [], [], []
+    for k in range(120):
+        n, every = rng.choice([60, 90]), (5, 6, 8, 10)[k % 4]
+        p = fresh(n)
+        at = range(every - 1, n, every) if k % 8 < 4 else rng.sample(range(1, n - 1), n // every)
+        q = ["zz%d" % rng.randint(0, 10**6) if i in at else w for i, w in enumerate(p)]
+        rows += [(2 * k, " ".join(fresh(40) + p + fresh(30))), (2 * k + 1, " ".join(fresh(20) + q + fresh(50)))]
+        pairs.append((every, k % 8 < 4))
+    found = {min(r["doc_id"], r["ref_doc_id"]) // 2 for r in substring.repeated_passages(docs(spark, rows)).collect()}
+    recall = {key: np.mean([k in found for k, x in enumerate(pairs) if x == key]) for key in set(pairs)}
+    print(recall)
+    assert all(v == 1 for (every, _), v in recall.items() if every > 5) and all(v >= 0.8 for v in recall.values())
