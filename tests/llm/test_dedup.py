@@ -237,3 +237,29 @@ def test_passages_of_low_identity(spark):
     recall = {key: np.mean([k in found for k, x in enumerate(pairs) if x == key]) for key in set(pairs)}
     print(recall)
     assert all(v == 1 for (every, _), v in recall.items() if every > 5) and all(v >= 0.8 for v in recall.values())
+
+
+def test_passages_made_of_common_lines(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k, size in enumerate((20, 13, 16)):
+        lines = [fresh(size) for _ in range(4)]
+        passage = sum(lines, [])[: max(50, 4 * size)]
+        for i in range(2):
+            rows.append((1000 + 10 * k + i, " ".join(fresh(30 + i) + passage + fresh(25))))
+            want.add(1000 + 10 * k + i)
+        rows += [(i + 100 * k, " ".join(fresh(40) + lines[i % 4] + fresh(40))) for i in range(80)]
+    got = substring.repeated_passages(docs(spark, rows)).collect()
+    assert {x for r in got for x in (r["doc_id"], r["ref_doc_id"])} == want
+    assert all(r["end_word"] - r["start_word"] >= 50 for r in got)
+
+
+def test_run_keys_are_those_of_equal_words():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    words[120:190] = words[20:90]
+    at, h = substring.run_keys(words, np.arange(200), 50)
+    assert at.tolist() == list(range(151))
+    same = {(i, j) for i in range(151) for j in range(i) if (words[i : i + 50] == words[j : j + 50]).all()}
+    assert {(i, j) for i in range(151) for j in range(i) if h[i] == h[j]} == same and len(same) == 21
