@@ -28,6 +28,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|aria-hidden|hidden|style|i
 
 # Kinds of HTML elements.
 RAW = frozenset("script style title textarea noscript template iframe object svg math canvas audio video select datalist xmp".split())
+#: Of these, what HTML reads as raw text: without an end tag they go on to the end of the page. The others are skipped only up to an end tag.
+OPAQUE = frozenset("script style title textarea iframe noscript xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of the second ends an open one of the first.
@@ -130,8 +132,11 @@ def parse(html: str):
                 close((name,), ("#root",) if name in WALLS else WALLS)
             continue
         if name in RAW:
+            if name in ("svg", "math") and m[4].endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if end or name in OPAQUE:
+                at = end.end() if end else len(html)
             if name not in ("script", "style"):
                 run.append(" ")
             continue

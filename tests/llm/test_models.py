@@ -55,6 +55,20 @@ def test_pages(html, text):
     assert read(html) == text
 
 
+@pytest.mark.parametrize("extra", ["<svg class='icon'/>", "<svg/>", "<math />", "<canvas id=c>", "<object data=x>", "<video src=x>", "<audio src=x>", "<select>", "<template>", "<datalist>"])
+def test_elements_without_an_end_hide_nothing(extra):
+    said = "The first paragraph has words, and more of them."
+    page = f"<article><p>{said}</p>{extra}<p>The second one too, as it should be.</p></article>"
+    runs = [t for t in html_extract.parse(page)[3] if t]
+    assert runs == [said, "The second one too, as it should be."] and read(page) == " ".join(runs)
+
+
+@pytest.mark.parametrize("extra", ["<svg><path d=x /></svg>", "<script>", "<style>", "<video>none</video>"])
+def test_raw_text_is_still_skipped(extra):
+    runs = [t for t in html_extract.parse(f"<p>One.</p>{extra}")[3] if t]
+    assert runs == ["One."]
+
+
 def test_page_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>" * 3000 + "deep"), (4, "u", "<a <b <c"), (4, "u", "<p>" + "word, and more. " * 40000 + "</p>")]
     df = frame(spark, rows, "page_id long, url string, html string")
