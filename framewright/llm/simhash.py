@@ -1,6 +1,6 @@
 """SimHash near-dedup: fingerprints of word shingles, compared exactly in tiles.
 
-Equal fingerprints are one row from the start. Distinct ones are sorted into tiles by their number of set bits (a number
+Equal fingerprints (with a least similarity: of equal sketches too) are one row from the start. Distinct ones are sorted into tiles by their number of set bits (a number
 with more rows than a tile holds is split by hash). Fingerprints within the radius differ by no more than
 the radius in their number of set bits, so only pairs of tiles that are this near are compared, each in a task of its
 own: a numpy exclusive-or and bit count of blocks, where blocks whose counts in the four quarters of the fingerprint
@@ -96,6 +96,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp, drawn = [], []
             for t in texts_of(b, "text"):
                 hashes = shingle_hashes(t, words)
+                if size:  # the similarity is that of distinct shingles, so the fingerprint is of these as well
+                    hashes = np.unique(hashes)
                 fp.append(fold(hashes))
                 if size:
                     drawn.append(sketch(hashes, size))
@@ -122,21 +124,24 @@ def _ordered(x):
     return first[np.lexsort(_quarters(x).T[::-1])]
 
 
-def linked_forest(a, b, radius: int, a_sketch=None, b_sketch=None, least: float = 0.0):
-    """(x, root) that connect what pairs of a and b (uint64; b None: pairs within a) within the radius, and as similar as `least` if there are sketches, connect."""
+def linked_forest(a, b, radius: int, a_sketch=None, b_sketch=None, least: float = 0.0, a_node=None, b_node=None):
+    """(x, root; of the node numbers, if given, instead of fingerprints) that connect what pairs of a and b (uint64; b None: pairs within a) within the radius, and as similar as `least` if there are sketches, connect."""
     import numpy as np
 
     own = b is None
-    order = _ordered(a)
+    ordered = _ordered if a_node is None else lambda x: np.lexsort(_quarters(x).T[::-1])  # nodes may have equal fingerprints
+    order = ordered(a)
+    a_node = a[order] if a_node is None else a_node[order]
     a, a_sketch = a[order], a_sketch[order] if a_sketch is not None else None
     if own:
         b, b_sketch = a, a_sketch
     else:
-        order = _ordered(b)
+        order = ordered(b)
+        b_node = b[order] if b_node is None else b_node[order]
         b, b_sketch = b[order], b_sketch[order] if b_sketch is not None else None
     if not len(a) or not len(b):
-        return a[:0], a[:0]
-    nodes = a if own else np.concatenate([a, b])
+        return a_node[:0], a_node[:0]
+    nodes = a_node if own else np.concatenate([a_node, b_node])
     at_b = 0 if own else len(a)
     label = np.arange(len(nodes))
     starts_a, starts_b = np.arange(0, len(a), BLOCK), np.arange(0, len(b), BLOCK)
@@ -204,13 +209,13 @@ def tile_plan(per: dict[int, int], radius: int, tile: int) -> list[tuple[int, in
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int | None = None, least: float | None = None) -> DataFrame:
-    """Links (u, v) among the values of distinct.fp that connect exactly what all pairs within the radius (and of the least similarity of distinct.sketch, if given) connect."""
+    """Links (u, v) among the values of distinct.fp (with a least similarity: of distinct.node, a number of each row) that connect exactly what all pairs within the radius (and of the least similarity of distinct.sketch, if given) connect."""
     bits = F.bit_count("fp").cast("int")
     per = {r["c"]: r["n"] for r in distinct.groupBy(bits.alias("c")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     tile = tile or max(TILE, int(TILE_GROWTH * sum(per.values()) ** 0.5))
     first, tiles, low, high = ("array(" + ",".join(map(str, x)) + ")" for x in zip(*tile_plan(per, radius, tile)))
-    own = ["fp", *["sketch"] * (least is not None)]
-    rows = distinct.select(*own, bits.alias("c")).withColumn("t", F.expr(f"cast({first}[c] + pmod(xxhash64(fp), {tiles}[c]) as bigint)"))
+    own = ["fp", *["sketch", "node"] * (least is not None)]
+    rows = distinct.select(*own, bits.alias("c")).withColumn("t", F.expr(f"cast({first}[c] + pmod(xxhash64({own[-1]}), {tiles}[c]) as bigint)"))
     rows = rows.withColumn("x", F.explode(F.expr(f"sequence(cast({low}[c] as bigint), cast({high}[c] as bigint))")))
     rows = rows.select(*own, F.expr("least(t, x) * 4294967296L + greatest(t, x)").alias("pair"), F.expr(_SIDE).alias("side"))
 
@@ -226,7 +231,8 @@ def _compared(radius: int, least: float | None):
         drawn = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u4").reshape(rows.num_rows, -1) if least is not None else None
         one, two = np.flatnonzero(side < 1), None if side[0] < 0 else np.flatnonzero(side == 1)
         pick = lambda x, at: x[at] if x is not None and at is not None else None
-        x, y = linked_forest(fp[one], pick(fp, two), radius, pick(drawn, one), pick(drawn, two), least or 0.0)
+        node = rows["node"].to_numpy().view(np.uint64) if least is not None else None
+        x, y = linked_forest(fp[one], pick(fp, two), radius, pick(drawn, one), pick(drawn, two), least or 0.0, pick(node, one), pick(node, two))
         return pa.table({"u": pa.array(x.view(np.int64)), "v": pa.array(y.view(np.int64))})
 
     return compare
@@ -237,13 +243,13 @@ _SIDE = "case when t = x then -1 when t > x then 1 else 0 end"
 
 
 def fine_links(rows: DataFrame, radius: int, least: float, most: int = 4096) -> DataFrame:
-    """Links among rows (fp, sketch, label) of equal label. Small labels are compared together, which links nothing more, as other labels have nothing near; large ones in pairs of tiles of `most` rows."""
+    """Links among rows (fp, sketch, node, label) of equal label. Small labels are compared together, which links nothing more, as other labels have nothing near; large ones in pairs of tiles of `most` rows."""
     sizes = rows.groupBy("label").agg(F.count("*").alias("m"))
     total = rows.count()
     rows = rows.join(F.broadcast(sizes) if total <= BROADCAST_ROWS else sizes, "label")
-    rows = rows.withColumn("parts", F.ceil(F.col("m") / most)).withColumn("t", F.expr("pmod(xxhash64(fp), parts)")).withColumn("x", F.explode(F.expr("sequence(0L, parts - 1)")))
+    rows = rows.withColumn("parts", F.ceil(F.col("m") / most)).withColumn("t", F.expr("pmod(xxhash64(node), parts)")).withColumn("x", F.explode(F.expr("sequence(0L, parts - 1)")))
     pair = F.expr(f"if(parts = 1, pmod(xxhash64(label), {-(-total // most) or 1}), xxhash64(label, least(t, x), greatest(t, x)))")
-    return rows.select("fp", "sketch", pair.alias("pair"), F.expr(_SIDE).alias("side"), (F.col("parts") > 1).alias("large")).groupBy("large", "pair").applyInArrow(_compared(radius, least), "u long, v long")
+    return rows.select("fp", "sketch", "node", pair.alias("pair"), F.expr(_SIDE).alias("side"), (F.col("parts") > 1).alias("large")).groupBy("large", "pair").applyInArrow(_compared(radius, least), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, tile: int | None = None, least: float | None = None) -> DataFrame:
@@ -252,25 +258,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null counts as empty; texts without a word have fingerprint 0 and are linked like any other. Null ids never become
     a component_id unless a component has no other. An empty table gives an empty result.
     """
-    all_ = materialize(fingerprints(docs, id_col, text_col, words, ROUGH if least is not None else 0), "simhash-documents")
+    # with a least similarity only what has the same smallest shingle hashes besides the fingerprint is one row
+    node = F.col("fp") if least is None else F.xxhash64("fp", F.substring("sketch", 1, 4 * ROUGH))
+    all_ = materialize(fingerprints(docs, id_col, text_col, words, ROUGH if least is not None else 0).withColumn("node", node), "simhash-documents")
     drawn = [F.min("sketch").alias("sketch")] if least is not None else []
-    distinct = materialize(all_.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("i"), "id", "h")).alias("best"), *drawn), "simhash-distinct")
+    distinct = materialize(all_.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("i"), "id", "h")).alias("best"), *drawn), "simhash-distinct")
     links = materialize(near_links(distinct, radius, tile, None if least is None else max(0.0, least - SLACK)), "simhash-links")
     if least is not None:
         maybe = connected_components(links)
-        near = maybe.join(distinct, F.col("node") == F.col("fp")).select(F.xxhash64("best.id", "best.h").alias("_k"))
+        near = maybe.join(distinct, "node").select(F.xxhash64("best.id", "best.h").alias("_k"))
         near = materialize(near, "simhash-near")
         own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_k", F.xxhash64(F.col("_id").cast("long"), F.xxhash64(F.coalesce("_text", F.lit("")))))
         own = own.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "_k", "left_semi")
-        fine = fingerprints(own, "_id", "_text", words, FINE).groupBy("fp").agg(F.min("sketch").alias("sketch"))
-        fine = materialize(fine.join(maybe.withColumnRenamed("node", "fp"), "fp"), "simhash-fine")
+        fine = fingerprints(own, "_id", "_text", words, FINE).withColumn("node", node).groupBy("node").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+        fine = materialize(fine.join(maybe, "node"), "simhash-fine")
         links = materialize(fine_links(fine, radius, least), "simhash-links")
     labels = connected_components(links)
-    parts = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "best", F.coalesce("label", "fp").alias("component"))
+    parts = distinct.join(labels, "node", "left").select("node", "best", F.coalesce("label", "node").alias("component"))
     parts = materialize(parts, "simhash-parts")
     best = materialize(parts.groupBy("component").agg(F.min("best").alias("first")), "simhash-first")
-    parts = materialize(parts.join(best, "component").select("fp", "component", F.col("first.id").alias("component_id"), F.col("first.h").alias("first_h")), "simhash-components")
-    return all_.join(parts, "fp").select(F.col("id").alias(id_col), "h", "fp", "component", "component_id", "first_h")
+    parts = materialize(parts.join(best, "component").select("node", "component", F.col("first.id").alias("component_id"), F.col("first.h").alias("first_h")), "simhash-components")
+    return all_.join(parts, "node").select(F.col("id").alias(id_col), "h", "fp", "component", "component_id", "first_h")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 18, tile: int | None = None, least: float | None = 0.8) -> DataFrame:

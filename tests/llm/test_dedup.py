@@ -263,3 +263,22 @@ def test_run_keys_are_those_of_equal_words():
     assert at.tolist() == list(range(151))
     same = {(i, j) for i in range(151) for j in range(i) if (words[i : i + 50] == words[j : j + 50]).all()}
     assert {(i, j) for i in range(151) for j in range(i) if h[i] == h[j]} == same and len(same) == 21
+
+
+def test_repeated_lines_decide_nothing(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    line, base = fresh(9), fresh(300)
+    rows = [(i, " ".join(fresh(50) + line * 300 + fresh(50))) for i in (1, 2)]
+    rows += [(3, " ".join(base)), (4, " ".join(base[:100] + base[100:109] * 300 + base[109:]))]
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each_group(docs(spark, rows)).collect()}
+    assert kept == {1, 2, 3}
+
+
+def test_equal_fingerprints_are_compared():
+    rng = np.random.default_rng(2)
+    one, two = (np.sort(rng.integers(0, 1 << 31, 32)).astype(np.uint32) for _ in range(2))
+    near = one.copy()
+    near[0] += 1
+    x, y = simhash.linked_forest(np.full(3, 7, np.uint64), None, 18, np.stack([one, two, near]), None, 0.8, np.array([10, 11, 12], np.uint64))
+    assert {*zip(x.tolist(), y.tolist())} in ({(12, 10)}, {(10, 12)})
