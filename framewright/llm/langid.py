@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_texts, small_batches, texts_of, whole_row
+from .common import crc_mod, map_texts, materialize, small_batches, texts_of, whole_row
 
 #: Symbol 0 is any run of characters that aren't letters, 1 to 26 are a to z, other letters share the rest.
 SYMBOLS = 40
 DIMENSIONS = 1024
 SEED = 20240229
 UNKNOWN = "und"
+#: Four deviations of the cosine of unlike vectors.
+NOISE = 4 / DIMENSIONS**0.5
 
 
 @lru_cache(1)
@@ -155,8 +157,16 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return identify(rows, profiles, "_text", ("_id", "held_out")).withColumnRenamed("_id", id_col)
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.02) -> DataFrame:
-    """docs without the rows whose text is in none of the learned languages: no letters, or a cosine below `least`. All columns stay."""
+def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", quantile: float = 0.01) -> DataFrame:
+    """docs without the rows whose text is in none of the learned languages: no letters, or a cosine below that language's threshold. All columns stay.
+
+    The threshold is half the low quantile of the cosines of a language's own labelled texts, and NOISE at least.
+    """
     profiles = learn_profiles(docs, text_col, lang_col)
-    rows = docs.select(whole_row(docs).alias("_row"), F.col(text_col).alias("_t"))
-    return identify(rows, profiles, "_t", ("_row",)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_t"))
+    scored = materialize(identify(rows, profiles, "_t", ("_row", "_lang")).filter(F.col("lang_pred") != UNKNOWN), "langid-scored")
+    low = scored.filter("lang_pred = _lang").groupBy("lang_pred").agg(F.percentile_approx("score", quantile, 1000).alias("low")).collect()  # a row a language
+    least = F.lit(NOISE)
+    for r in low:
+        least = F.when(F.col("lang_pred") == r["lang_pred"], max(NOISE, r["low"] / 2)).otherwise(least)
+    return scored.filter(F.col("score") >= least).select("_row.*")

@@ -105,6 +105,17 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_unlearned_languages_are_rejected(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    cyrillic = ["Все люди рождаются свободными и равными в своём достоинстве и правах", "Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства", "Каждый человек имеет право на жизнь на свободу и на личную неприкосновенность", "Никто не должен содержаться в рабстве или в подневольном состоянии"]
+    greek = ["Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα", "Είναι προικισμένοι με λογική και συνείδηση και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης"]
+    strange = spark.createDataFrame([(-1 - i, x * n, None) for n in (1, 5) for i, x in enumerate(cyrillic + greek)], docs.schema)
+    left = langid.keep_identified(docs.unionByName(strange))
+    assert left.filter("doc_id < 0").count() == 0
+    clean = docs.filter("lang is not null and text rlike '[a-zA-Z]'")
+    assert clean.join(left, "doc_id", "left_anti").count() == 0
+
+
 def test_trigram_vectors_bind_permuted_letters():
     v = langid.trigram_vectors()
     rng = np.random.default_rng(langid.SEED)
