@@ -4,8 +4,8 @@ The attention model has one layer with a learned bias by distance. A window of W
 targets, so windows overlap and each id is scored once with WINDOW - STRIDE to WINDOW - 1 ids before it (fewer where a
 text begins). It predicts the class of the next id in two steps, a group of classes and a class in it; frequent ids are
 classes of their own, rare ones share a class by their counts. Classes and shares come from all training documents. Weights are trained in numpy: a start on the driver, then
-every partition goes through its own share (one in TRAIN_RATE) of the training documents and the results are averaged
-by size, so what is learned from grows with the corpus. With a single layer, queries, keys and values are tables by id.
+every partition goes through all its training documents (one in TRAIN_RATE, which is 1) and the results are averaged
+by size, so the corpus is learned from as a whole. With a single layer, queries, keys and values are tables by id.
 
 The base model needs each word's count. The HEAD most frequent words are broadcast as hashes with their counts (16
 bytes each, never more than HEAD); pairs of document and any other word are joined with the counts in a shuffle.
@@ -37,7 +37,7 @@ START_TOKENS = 1_500_000
 #: Counts of words that a task holds before it hands them on.
 HELD_WORDS = 2_000_000
 START_DOCS = 3000
-TRAIN_RATE = 64
+TRAIN_RATE = 1
 END = 49407
 VOCABULARY = 49408
 
