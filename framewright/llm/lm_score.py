@@ -3,9 +3,11 @@
 The attention model has one layer with a learned bias by distance. A window of WINDOW ids scores its last STRIDE
 targets, so windows overlap and each id is scored once with WINDOW - STRIDE to WINDOW - 1 ids before it (fewer where a
 text begins). It predicts the class of the next id in two steps, a group of classes and a class in it; frequent ids are
-classes of their own, rare ones share a class by their counts. Classes and shares come from all training documents. Weights are trained in numpy: a start on the driver, then
-every partition goes through all its training documents (one in TRAIN_RATE, which is 1) and the results are averaged
-by size, so the corpus is learned from as a whole. With a single layer, queries, keys and values are tables by id.
+classes of their own, rare ones share a class by their counts. Classes and shares come from all training documents.
+Weights are trained in numpy on all training documents: their ids are dealt to shards of about SHARD_IDS by hashes of
+documents, so that neither the number of partitions nor their order matters. The first shard gives the start, from which
+every shard, the first one too, goes once through all it has; the results are averaged by size in a tree. With a single
+layer, queries, keys and values are tables by id.
 
 The base model needs each word's count. The HEAD most frequent words are broadcast as hashes with their counts (16
 bytes each, never more than HEAD); pairs of document and any other word are joined with the counts in a shuffle.
@@ -14,8 +16,6 @@ Words are told apart by their 64-bit hash.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +31,16 @@ SINGLE = CLASSES - BANDS
 ROWS = 4096
 DIM = 32
 WINDOW, STRIDE = 24, 16
-#: Scores and logits end here, which spares looking for their maxima.
-TOP = 80.0
-START_TOKENS = 1_500_000
+#: Exponents up to this size need no maximum taken out.
+TOP = 60.0
+#: Ids of a shard of training documents, about; beyond MANY shards their number grows with the square root of all ids.
+SHARD_IDS, MANY = 1 << 20, 4096
+#: Ids of a longer document that are trained on in one piece.
+PIECE = 1 << 15
+#: Weights that are averaged in one task.
+FAN_IN = 32
 #: Counts of words that a task holds before it hands them on.
 HELD_WORDS = 2_000_000
-START_DOCS = 3000
-TRAIN_RATE = 1
-END = 49407
-VOCABULARY = 49408
 
 
 # --- the attention model ---
@@ -74,7 +75,7 @@ def start_weights(seed: int = 11) -> dict:
     return {k: (rng.normal(0, 0.3 if k == "e" else 1 / np.sqrt(DIM), s) if len(s) > 1 and k != "c" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
-def windows(ids, cuts, row, end: int = END):
+def windows(ids, cuts, row, end: int):
     """Of texts given as flat ids that close with `end`: rows of WINDOW embedding rows, rows of STRIDE targets (-1: none), and each window's text."""
     import numpy as np
 
@@ -104,20 +105,29 @@ def _geometry():
     return np.where(j <= i, i - j, 0), j > i
 
 
+def lower(z, hidden=None):
+    """Makes z (changed in place) safe for exp(): less each row's maximum, unless all of it is between -TOP and TOP. hidden entries of a row don't count."""
+    import numpy as np
+
+    if z.size and not (z.max() <= TOP and z.min() >= -TOP):
+        z -= (z if hidden is None else np.where(hidden, -np.inf, z)).max(-1, keepdims=True)
+        np.minimum(z, 0, out=z)
+
+
 def log_probabilities(tables: dict, x, t, cls, share, most: int = 2048):
     """Natural log of each target's probability; 0 where there is none."""
     import numpy as np
 
     distance, later = _geometry()
-    bias = tables["b"][distance]
-    bias[later] = -1e9
+    bias, earlier = tables["b"][distance], (~later).astype(np.float32)
     out, ones = np.zeros(t.shape, np.float32), np.ones(WINDOW, np.float32)
     for a in range(0, len(x), most):
         xb, tb = x[a : a + most], t[a : a + most]
         s = np.matmul(tables["q"][xb[:, WINDOW - STRIDE :]], tables["k"][xb].transpose(0, 2, 1))
         s += bias
-        np.minimum(s, TOP, out=s)
+        lower(s, later)
         np.exp(s, out=s)
+        s *= earlier
         h = np.matmul(s, tables["v"][xb])
         h /= (s @ ones)[..., None]
         h += tables["u"][xb[:, WINDOW - STRIDE :]]
@@ -142,7 +152,7 @@ def log_probabilities(tables: dict, x, t, cls, share, most: int = 2048):
 def _log_softmax_at(z, at):
     import numpy as np
 
-    np.minimum(z, TOP, out=z)
+    lower(z)
     mine = z[np.arange(len(at)), at]
     np.exp(z, out=z)
     return mine - np.log(z @ np.ones(z.shape[1], np.float32))
@@ -154,68 +164,93 @@ def score_tables(w: dict) -> dict:
     return {"q": w["e"] @ w["q"] * scale, "k": w["e"] @ w["k"], "v": w["e"] @ w["v"], "u": w["e"] @ w["u"], "b": w["b"]} | {k: w[k] for k in ("g", "gb", "o", "c")}
 
 
+def _sums_by_row(values, inverse, n: int):
+    """Sums of the rows of values (last axis kept) by their number below n, each of which occurs."""
+    import numpy as np
+
+    flat = inverse.ravel()
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    count = np.bincount(flat, minlength=n)
+    return np.add.reduceat(values.reshape(-1, values.shape[-1])[order], np.cumsum(count) - count, axis=0)
+
+
+def _numbered(x, n: int = N_ROWS):
+    """The distinct embedding rows in x and each one's place among them."""
+    import numpy as np
+
+    seen = np.zeros(n, bool)
+    seen[x] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[x]
+
+
 def gradients(w: dict, x, t, cls) -> tuple[float, dict]:
-    """Mean cross entropy of the targets' classes and its gradient."""
+    """Mean cross entropy of the targets' classes and its gradient. What depends on an embedding row alone is computed once a row."""
     import numpy as np
 
     distance, later = _geometry()
     scale = np.float32(DIM**-0.5)
-    e = w["e"][x]
-    eq = e[:, WINDOW - STRIDE :]
-    q, k, v = eq @ w["q"] * scale, e @ w["k"], e @ w["v"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) + w["b"][distance]
-    s[:, later] = -1e9
-    s -= s.max(2, keepdims=True)
-    a = np.exp(s)
-    a /= a.sum(2, keepdims=True)
-    h = np.tanh(np.matmul(a, v) + eq @ w["u"])
-    real = (t >= 0).ravel()
-    flat = h.reshape(-1, DIM)[real]
+    rows, inverse = _numbered(x)
+    asking = inverse[:, WINDOW - STRIDE :]
+    own_rows, own = _numbered(asking, len(rows))
+    e = w["e"][rows]
+    ea = e[own_rows]
+    q, k, v = (ea @ (w["q"] * scale))[own], (e @ w["k"])[inverse], (e @ w["v"])[inverse]
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    s += w["b"][distance]
+    lower(s, later)
+    a = np.exp(s, out=s)
+    a *= ~later
+    a /= np.matmul(a, np.ones((WINDOW, 1), a.dtype))
+    h = np.matmul(a, v)
+    h += (ea @ w["u"])[own]
+    np.tanh(h, out=h)
+    real = np.flatnonzero(t.ravel() >= 0)
     group, member = np.divmod(cls[t.ravel()[real]], MEMBERS)
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    group, member, real = group[order], member[order], real[order]
+    flat = h.reshape(-1, DIM)[real]
     n = max(1, len(group))
 
     def softmax_error(z, at):
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        loss = -np.log(np.maximum(p[np.arange(len(at)), at], 1e-30)).sum()
-        p[np.arange(len(at)), at] -= 1
-        return loss, p / n
+        lower(z)
+        np.exp(z, out=z)
+        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+        each = np.arange(len(at))
+        loss = -np.log(np.maximum(z[each, at], 1e-30)).sum()
+        z[each, at] -= 1
+        z /= n
+        return loss, z
 
     loss, p = softmax_error(flat @ w["g"] + w["gb"], group)
     g = {"g": flat.T @ p, "gb": p.sum(0), "o": np.zeros_like(w["o"]), "c": np.zeros_like(w["c"])}
     dflat = p @ w["g"].T
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    edges = np.searchsorted(group, np.arange(GROUPS + 1))
     for c in np.flatnonzero(np.diff(edges)):
-        own = order[edges[c] : edges[c + 1]]
-        more, p = softmax_error(flat[own] @ w["o"][c] + w["c"][c], member[own])
+        z = slice(edges[c], edges[c + 1])
+        more, p = softmax_error(flat[z] @ w["o"][c] + w["c"][c], member[z])
         loss += more
-        g["o"][c], g["c"][c] = flat[own].T @ p, p.sum(0)
-        dflat[own] += p @ w["o"][c].T
+        g["o"][c], g["c"][c] = flat[z].T @ p, p.sum(0)
+        dflat[z] += p @ w["o"][c].T
     loss = float(loss / n)
     dz = np.zeros((h.size // DIM, DIM), h.dtype)
     dz[real] = dflat * (1 - flat**2)
     dz = dz.reshape(h.shape)
-    da = np.matmul(dz, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    ds[:, later] = 0
-    dv = np.matmul(a.transpose(0, 2, 1), dz)
-    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
-    two = lambda m: m.reshape(-1, DIM)
-    g["q"], g["u"] = two(eq).T @ two(dq), two(eq).T @ two(dz)
-    g["k"], g["v"] = two(e).T @ two(dk), two(e).T @ two(dv)
-    g["b"] = np.bincount(distance.ravel(), ds.sum(0).ravel(), WINDOW).astype(np.float32)
-    de = dk @ w["k"].T + dv @ w["v"].T
-    de[:, WINDOW - STRIDE :] += dq @ w["q"].T + dz @ w["u"].T
-    rows, inverse = np.unique(x, return_inverse=True)
-    order = np.argsort(inverse.ravel(), kind="stable")
-    sums = np.add.reduceat(two(de)[order], np.searchsorted(inverse.ravel()[order], np.arange(len(rows))), axis=0)
-    g["e"] = (rows, sums)
+    ds = np.matmul(dz, v.transpose(0, 2, 1))
+    ds -= np.matmul(ds * a, np.ones((WINDOW, 1), ds.dtype))
+    ds *= a  # 0 for later keys, as a is
+    g["b"] = np.bincount(distance.ravel(), np.where(later, 0, ds.sum(0)).ravel(), WINDOW).astype(np.float32)
+    flat2 = lambda v: v.reshape(-1, DIM)
+    dq, dk, dv = np.matmul(ds, k), flat2(np.matmul(ds.transpose(0, 2, 1), q)), flat2(np.matmul(a.transpose(0, 2, 1), dz))
+    every, asked = e[inverse], flat2(ea[own])
+    dq, dz = flat2(dq) * scale, flat2(dz)
+    g["q"], g["u"], g["k"], g["v"] = asked.T @ dq, asked.T @ dz, flat2(every).T @ dk, flat2(every).T @ dv
+    de = (dk @ w["k"].T + dv @ w["v"].T).reshape(every.shape)
+    de[:, WINDOW - STRIDE :] += (dq @ w["q"].T + dz @ w["u"].T).reshape(q.shape)
+    g["e"] = (rows, _sums_by_row(de, inverse, len(rows)))
     return loss, g
 
 
-def train(w: dict, x, t, cls, rate: float, seed: int, batch: int = 256, epochs: int = 1) -> dict:
+def train(w: dict, x, t, cls, rate: float, seed: int, batch: int = 512, epochs: int = 1) -> dict:
     """Adam over shuffled windows; embedding rows are updated only when met."""
     import numpy as np
 
@@ -256,24 +291,24 @@ def unpack_weights(data: bytes) -> dict:
 # --- over the corpus ---
 
 
-def _first_pass(path: str):
-    """Rows of kind 0: a document with its ids (uint16) and words; 1: a word hash and its count in training documents of a batch; 2: the same for ids."""
+def _first_pass(path: str, vocabulary: int, end: int):
+    """Rows of kind 0: a document with its ids and words; 1: a word hash and its count in training documents of a batch; 2: the same for ids."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        coder, seen = shared_tokenizer(path), np.zeros(VOCABULARY, np.int64)
+        coder, seen = shared_tokenizer(path), np.zeros(vocabulary, np.int64)
         held: list = []
         for b in small_batches(batches, "text", 5 << 20):
             train = np.asarray(b.column("train").to_numpy(zero_copy_only=False), bool)
             unique, codes, offsets = coded_words(b.column("text"))
             lower, h = word_keys(unique)
-            ids, cuts = coder.encode(b.column("text"), END, (unique, codes, offsets, lower, h))
+            ids, cuts = coder.encode(b.column("text"), end, (unique, codes, offsets, lower, h))
             used = np.repeat(train, np.diff(cuts))
-            seen += np.bincount(ids[used], minlength=VOCABULARY)
+            seen += np.bincount(ids[used], minlength=vocabulary)
             held.append((h.view(np.int64), np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(unique))))
-            raw = ids.astype("<u2")
+            raw = ids.astype(id_type(vocabulary))
             rows = [raw[a:z].tobytes() for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             yield _rows(kind=np.zeros(len(rows), np.int32), id=b.column("id"), row=b.column("row"), train=b.column("train"), text=b.column("text"), ids=pa.array(rows, pa.binary()))
             if sum(len(h) for h, _ in held) > HELD_WORDS:
@@ -309,65 +344,94 @@ def _rows(**columns):
     return pa.RecordBatch.from_arrays(arrays, names=list(_KINDS))
 
 
-def _local_training(weights: dict, row, cls):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+def id_type(vocabulary: int) -> str:
+    """How ids of a vocabulary are kept."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-        w, seen = weights, 0
-        for k, b in enumerate(batches):
-            ids, cuts = joined_ids(b.column("ids"))
-            x, t, _ = windows(ids, cuts, row)
-            w = train(w, x, t, cls, 0.002, k)
-            seen += len(ids)
-        if seen:
-            from pyspark import TaskContext
 
-            data = np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float64) * seen
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([seen], pa.int64()), "data": pa.array([data.astype("<f8").tobytes()], pa.binary())})
+def joined_ids(column, kind: str):
+    """Flat ids and offsets of a column of buffers of ids."""
+    import numpy as np
+
+    rows = [x or b"" for x in column.to_pylist()]
+    cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) // np.dtype(kind).itemsize)])
+    return np.frombuffer(b"".join(rows), kind).astype(np.int64), cuts
 
-    return run
 
+def n_shards(n_ids: int) -> int:
+    """In proportion to the ids up to MANY, with their square root beyond: neither shards nor their number grow too large."""
+    each = max(1, round(n_ids / SHARD_IDS))
+    return each if each <= MANY else round((each * MANY) ** 0.5)
 
-def joined_ids(column):
-    """Flat ids and offsets of a column of uint16 buffers."""
+
+def shards(documents: DataFrame, number: int, kind: str) -> DataFrame:
+    """(shard, key, ids) of training documents (id, ids), those of more than PIECE ids in pieces. Shard and key depend on nothing but id and ids."""
     import numpy as np
 
-    rows = [x or b"" for x in column.to_pylist()]
-    cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) // 2)])
-    return np.frombuffer(b"".join(rows), "<u2").astype(np.int64), cuts
+    size = np.dtype(kind).itemsize * PIECE
+    key = F.xxhash64("id", F.xxhash64("ids"))
+    pieces = documents.filter(F.octet_length("ids") > 0).select(key.alias("key"), F.explode(F.sequence(F.lit(0), F.expr(f"cast((octet_length(ids) - 1) div {size} as int)"))).alias("piece"), "ids")
+    pieces = pieces.select(F.xxhash64("key", "piece").alias("key"), F.substring("ids", F.col("piece") * size + 1, F.lit(size)).alias("ids"))
+    return pieces.select(F.pmod(F.xxhash64("key"), F.lit(number)).alias("shard"), "key", "ids")
 
 
-def _add(rows):
+_WEIGHTS = "shard long, n long, data binary"
+
+
+def _trained(weights: dict, rows, row, cls, end: int, kind: str, rate: float, epochs: int = 1):
+    """Weights after a shard's documents (a pyarrow table of key and ids), SHARD_IDS at a time, and how many ids they were."""
     import numpy as np
-    import pandas as pd
 
-    return pd.DataFrame({"part": [0], "n": [int(rows["n"].sum())], "data": [reduce(np.add, (np.frombuffer(x, "<f8") for x in rows["data"])).tobytes()]})
+    rows = rows.sort_by("key")
+    ids, cuts = joined_ids(rows["ids"].combine_chunks(), kind)
+    at, w = 0, weights
+    while at < rows.num_rows:
+        z = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 2 * SHARD_IDS, "right")) - 1)
+        x, t, _ = windows(ids[cuts[at] : cuts[z]], cuts[at : z + 1] - cuts[at], row, end)
+        w = train(w, x, t, cls, rate, at, epochs=epochs)
+        at = z
+    return w, len(ids)
+
+
+def _shard_training(weights: dict, row, cls, end: int, kind: str):
+    def run(rows):
+        import pyarrow as pa
+
+        w, n = _trained(weights, rows, row, cls, end, kind, 0.002)
+        return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "data": pa.array([pack_weights(w)], pa.binary())})
 
+    return run
 
-def learn_weights(documents: DataFrame, n_documents: int, row, cls, rate: int = TRAIN_RATE, fan_in: int = 16) -> dict:
-    """Weights from (id, ids) of training documents: a start from a bounded sample on the driver, then the average of what partitions learn from one document in `rate`."""
+
+def _average(rows):
+    """The average of up to FAN_IN weights by size, added in the order of their shards."""
     import numpy as np
+    import pyarrow as pa
 
-    share = int(1e9 * min(1.0, START_DOCS / max(1, n_documents)))  # about START_DOCS documents, without sorting any
-    picked = documents.filter(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(10**9)) < share).select("row", "ids").toArrow().sort_by("row")
-    ids, cuts = joined_ids(picked["ids"].combine_chunks())
-    last = max(1, int(np.searchsorted(cuts, START_TOKENS, "right")) - 1)
-    ids, cuts = ids[: cuts[last] if last < len(cuts) else None], cuts[: last + 1]
-    w = start_weights()
-    if len(ids):
-        x, t, _ = windows(ids, cuts, row)
-        w = train(w, x, t, cls, 0.01, 1, epochs=2)
-    schema = "part long, n long, data binary"
-    own = documents.filter(F.pmod(F.xxhash64("row"), F.lit(rate)) == 0).select("ids")
-    sums = map_texts(own, _local_training(w, row, cls), schema)
+    rows = rows.sort_by("shard")
     total, n = 0.0, 0
-    for r in sums.groupBy(F.pmod("part", F.lit(fan_in))).applyInPandas(_add, schema).toLocalIterator():
-        total, n = total + np.frombuffer(r["data"], "<f8"), n + r["n"]
-    return unpack_weights((total / n).astype("<f4").tobytes()) if n else w
+    for r in rows.to_pylist():
+        total, n = total + np.frombuffer(r["data"], "<f4").astype(np.float64) * r["n"], n + r["n"]
+    return pa.table({"shard": pa.array([rows["shard"][0].as_py() // FAN_IN], pa.int64()), "n": pa.array([n], pa.int64()), "data": pa.array([(total / max(1, n)).astype("<f4").tobytes()], pa.binary())})
+
+
+def learn_weights(documents: DataFrame, n_ids: int, row, cls, end: int, kind: str) -> dict:
+    """Weights from (id, ids) of all training documents: the start from the first shard, then the average of what all shards learn from it."""
+    number = n_shards(n_ids)
+    dealt = materialize(shards(documents, number, kind), "lm-shards")
+    first = dealt.filter("shard = 0").select("key", "ids").toArrow()  # about 2 * SHARD_IDS ids at most, or a square root's share of all
+    w = start_weights()
+    if first.num_rows:
+        w, _ = _trained(w, first, row, cls, end, kind, 0.01, epochs=2)
+    sums = materialize(dealt.groupBy("shard").applyInArrow(_shard_training(w, row, cls, end, kind), _WEIGHTS), "lm-weights")
+    while number > 1:
+        sums = sums.groupBy(F.floor(F.col("shard") / FAN_IN).alias("above")).applyInArrow(_average, _WEIGHTS)
+        number = -(-number // FAN_IN)
+    found = sums.head()
+    return unpack_weights(bytes(found["data"])) if found else w
 
 
-def _second_pass(weights: dict, row, cls, share, head_h, head_n):
+def _second_pass(weights: dict, row, cls, share, head_h, head_n, end: int, kind: str):
     tables = score_tables(weights)
 
     def run(batches):
@@ -376,8 +440,8 @@ def _second_pass(weights: dict, row, cls, share, head_h, head_n):
 
         for b in small_batches(batches, "text", 5 << 20):
             n = b.num_rows
-            ids, cuts = joined_ids(b.column("ids"))
-            x, t, text = windows(ids, cuts, row)
+            ids, cuts = joined_ids(b.column("ids"), kind)
+            x, t, text = windows(ids, cuts, row, end)
             score = np.bincount(text, log_probabilities(tables, x, t, cls, share).sum(1, dtype=np.float64), n) / np.log(10)
             unique, codes, offsets = coded_words(b.column("text"))
             h = word_keys(unique)[1].view(np.int64)
@@ -413,28 +477,35 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, mod: int = 10, held: int = 0, head: int = HEAD) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    Learned from the rows with crc32(id) mod `mod` other than `held` (a null id is never held out). Null counts as
-    empty: one token, the end. Without any training row every base score is 0 and the attention model is untrained.
+    Learned from all rows with crc32(id) mod `mod` other than `held` (a null id is never held out). Null counts as
+    empty: one token, the end, which is the tokenizer's last id. Long texts are scored whole, and trained on in pieces
+    of PIECE ids. Repeated rows count and are scored each by itself, alike. Without any training row every base score is
+    0 and the attention model is untrained; an empty table gives an empty result. Other columns play no part, whatever
+    their names. The same rows give the same weights, however they are partitioned.
     """
     import numpy as np
+    from tokenizers import Tokenizer
 
+    path = tokenizer or default_path()
+    vocabulary = Tokenizer.from_file(path).get_vocab_size()
+    end, kind = vocabulary - 1, id_type(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), (crc_mod(id_col, mod) != held).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "kind int, id long, row long, train boolean, text string, ids binary, key long, n long"
-    first = materialize(map_texts(rows, _first_pass(tokenizer or default_path()), schema), "lm-first")
+    first = materialize(map_texts(rows, _first_pass(path, vocabulary, end), schema), "lm-first")
     documents = first.filter("kind = 0")
     counts = materialize(first.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     totals = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()
     ends = documents.filter("train").count()
     n_all, v_all = totals["n"] + ends, totals["v"] + (ends > 0)
-    ids = np.zeros(VOCABULARY)
+    ids = np.zeros(vocabulary)
     for r in first.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).collect():  # a row an id of the tokenizer at most
         ids[r["key"]] = r["n"]
     row, cls, share = vocabulary_tables(ids)
-    weights = learn_weights(documents.filter("train"), ends, row, cls)
+    weights = learn_weights(documents.filter("train").select("id", "ids"), int(ids.sum()), row, cls, end, kind)
     top = most_frequent(counts, head).toArrow()
     head_h, head_n = top["key"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(head_h)
-    second = map_texts(documents.select("id", "row", "train", "text", "ids"), _second_pass(weights, row, cls, share, head_h[order], head_n[order]), "id long, row long, train boolean, words long, known long, logs double, score double, rest array<long>, times array<int>")
+    second = map_texts(documents.select("id", "row", "train", "text", "ids"), _second_pass(weights, row, cls, share, head_h[order], head_n[order], end, kind), "id long, row long, train boolean, words long, known long, logs double, score double, rest array<long>, times array<int>")
     second = materialize(second, "lm-second")
     if v_all - (ends > 0) > head:
         pairs = second.select("row", F.explode(F.arrays_zip("rest", "times")).alias("p")).select("row", F.col("p.rest").alias("key"), F.col("p.times").alias("times"))

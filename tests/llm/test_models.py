@@ -189,17 +189,20 @@ def test_scoring_without_training_rows(spark):
     assert lm_score.score_corpus(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+VOCABULARY = 49408
+
+
 def model(seed=1):
     rng = np.random.default_rng(seed)
-    row, cls, share = lm_score.vocabulary_tables(rng.integers(0, 50, lm_score.VOCABULARY).astype(float))
+    row, cls, share = lm_score.vocabulary_tables(rng.integers(0, 50, VOCABULARY).astype(float))
     return {k: v.astype(np.float64) for k, v in lm_score.start_weights(seed).items()}, row, cls, share
 
 
 def test_probabilities_sum_to_one():
     w, row, cls, share = model()
     tables = lm_score.score_tables(w)
-    x = np.tile(np.arange(lm_score.WINDOW, dtype=np.int32), (lm_score.VOCABULARY // lm_score.STRIDE, 1))
-    t = np.arange(lm_score.VOCABULARY // lm_score.STRIDE * lm_score.STRIDE).reshape(-1, lm_score.STRIDE)
+    x = np.tile(np.arange(lm_score.WINDOW, dtype=np.int32), (VOCABULARY // lm_score.STRIDE, 1))
+    t = np.arange(VOCABULARY // lm_score.STRIDE * lm_score.STRIDE).reshape(-1, lm_score.STRIDE)
     # every id once at the same place of the same window
     total = sum(np.exp(lm_score.log_probabilities(tables, x, np.roll(t.ravel(), s).reshape(t.shape), cls, share).astype(float))[:, 0].sum() for s in range(lm_score.STRIDE))
     assert total == pytest.approx(1, abs=1e-3)
@@ -209,16 +212,62 @@ def test_each_id_is_scored_once_and_sees_only_the_past():
     w, row, cls, share = model()
     ids = np.random.default_rng(3).integers(0, 5000, 100)
     cuts = np.array([0, 1, 40, 40, 100])
-    x, t, text = lm_score.windows(ids, cuts, row)
+    x, t, text = lm_score.windows(ids, cuts, row, VOCABULARY - 1)
     assert t[t >= 0].tolist() == ids.tolist() and np.bincount(text[np.nonzero(t >= 0)[0]], minlength=4).tolist() == [1, 39, 0, 60]
     tables = lm_score.score_tables(w)
     whole = lm_score.log_probabilities(tables, x, t, cls, share)[t >= 0]
     changed = ids.copy()
     changed[80:] = 7
-    x, t, _ = lm_score.windows(changed, cuts, row)
+    x, t, _ = lm_score.windows(changed, cuts, row, VOCABULARY - 1)
     assert np.allclose(lm_score.log_probabilities(tables, x, t, cls, share)[t >= 0][:80], whole[:80], atol=1e-5)
 
 
+def test_scores_equal_plain_attention():
+    """Each id by itself, in loops, straight from the weights."""
+    w, row, cls, share = model()
+    ids = np.random.default_rng(5).integers(0, 3000, 60)
+    x, t, _ = lm_score.windows(ids, np.array([0, 25, 60]), row, VOCABULARY - 1)
+    got = lm_score.log_probabilities(lm_score.score_tables(w), x, t, cls, share)[t >= 0]
+    want = []
+    for a, z in ((0, 25), (25, 60)):
+        for i in range(a, z):
+            block = a + (i - a) // lm_score.STRIDE * lm_score.STRIDE
+            first = block - (lm_score.WINDOW - lm_score.STRIDE)
+            past = [lm_score.PAD_ROW if j < a else row[VOCABULARY - 1] if j == a else row[ids[j - 1]] for j in range(first, i + 1)]
+            e = w["e"][past]
+            logits = [e[-1] @ w["q"] @ (k @ w["k"]) / np.sqrt(lm_score.DIM) + w["b"][len(past) - 1 - n] for n, k in enumerate(e)]
+            p = np.exp(logits) / np.exp(logits).sum()
+            h = np.tanh(p @ (e @ w["v"]) + e[-1] @ w["u"])
+            group, member = divmod(cls[ids[i]], lm_score.MEMBERS)
+            one, two = h @ w["g"] + w["gb"], h @ w["o"][group] + w["c"][group]
+            want.append(one[group] - np.log(np.exp(one).sum()) + two[member] - np.log(np.exp(two).sum()) + share[ids[i]])
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_large_scores_stay_finite():
+    w, row, cls, share = model()
+    big = {k: v * 60 for k, v in w.items()}
+    x, t, _ = lm_score.windows(np.arange(40), np.array([0, 40]), row, VOCABULARY - 1)
+    assert np.isfinite(lm_score.log_probabilities(lm_score.score_tables(big), x, t, cls, share)).all()
+    assert np.isfinite(lm_score.gradients(big, x, t, cls)[0])
+
+
+def test_partitions_do_not_matter(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").unionByName(spark.createDataFrame([(None, None), (None, None), (5, "again"), (5, "again")], "doc_id long, text string"), allowMissingColumns=True)
+    monkeypatch.setattr(lm_score, "SHARD_IDS", 20_000)
+    monkeypatch.setattr(lm_score, "PIECE", 3000)
+    one, two = ({(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in lm_score.score_corpus(docs.repartition(n)).collect()} for n in (1, 5))
+    assert one.keys() == two.keys() and all(two[k] == pytest.approx(v, rel=1e-4) for k, v in one.items())
+
+
+def test_every_training_document_is_in_one_shard(spark):
+    ids = [np.arange(n, dtype="<u2").tobytes() for n in (1, 5, 70000, 0)]
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(ids)], "id long, ids binary")
+    got = lm_score.shards(rows, 3, "<u2").collect()
+    assert sum(len(r["ids"]) for r in got) == sum(map(len, ids)) and max(len(r["ids"]) for r in got) == 2 * lm_score.PIECE
+    assert lm_score.n_shards(10) == 1 and lm_score.n_shards(100 << 20) == 100 and lm_score.n_shards(1 << 44) == 262144
+
+
 def test_gradients():
     w, row, cls, share = model()
     rng = np.random.default_rng(0)
