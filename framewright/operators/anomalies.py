@@ -36,26 +36,40 @@ def back_and_jump(packets: DataFrame, back: float = BACK, jump: float = JUMP, se
 
 
 def audio_missing_pts(audio: DataFrame) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("media_id").orderBy("arrival"))
-    return audio.filter("pts is null").withColumn("_n", nth).filter("_n = 1").select("media_id", F.lit(1).alias("stream_index"), F.col("arrival").alias("idx"), "pts", "ts", F.lit("audio_missing_pts").alias("type"))
+    """The first frame without a pts of each audio stream."""
+    nth = F.row_number().over(Window.partitionBy("media_id", "stream_index").orderBy("arrival"))
+    return audio.filter("pts is null").withColumn("_n", nth).filter("_n = 1").select("media_id", "stream_index", F.col("arrival").alias("idx"), "pts", "ts", F.lit("audio_missing_pts").alias("type"))
 
 
 def invalid_frames(frames: DataFrame) -> DataFrame:
-    """Frames without a size or data."""
-    return frames.filter((F.col("width") <= 0) | (F.col("height") <= 0) | F.col("data").isNull() | (F.length("data") == 0))
+    """Frames without a size, or without data where there is such a column."""
+    bad = (F.col("width") <= 0) | (F.col("height") <= 0)
+    if "data" in frames.columns:
+        bad = bad | F.col("data").isNull() | (F.length("data") == 0)
+    return frames.filter(bad)
 
 
-def event_log(packets: DataFrame, audio: DataFrame | None = None) -> DataFrame:
-    """All anomalies of a media, numbered from 0 in the order in which they arise, with severity."""
+def event_log(packets: DataFrame, audio: DataFrame | None = None, video: DataFrame | None = None) -> DataFrame:
+    """All anomalies of a media, numbered from 0 in the order in which they arise, with severity: of packets, and of decoded audio and video frames if given."""
     found = missing_timestamps(packets).unionByName(back_and_jump(packets).drop("delta"))
     if audio is not None:
         found = found.unionByName(audio_missing_pts(audio))
-    rank = F.when(F.col("type") == "missing_timestamp", 0).when(F.col("type") == "audio_missing_pts", 2).otherwise(1)
+    if video is not None:
+        found = found.unionByName(invalid_frames(video).select("media_id", "stream_index", F.col("arrival").alias("idx"), "pts", "ts", F.lit("invalid_video_frame").alias("type")))
+    rank = F.when(F.col("type") == "missing_timestamp", 0).when(F.col("type") == "audio_missing_pts", 2).when(F.col("type") == "invalid_video_frame", 3).otherwise(1)
     number = F.row_number().over(Window.partitionBy("media_id").orderBy("idx", rank)) - 1
     severity = F.when(F.col("type").isin([k for k, v in SEVERITY.items() if v == "error"]), "error").otherwise("warning")
     return found.select("media_id", number.cast("long").alias("event_idx"), severity.alias("severity"), "type", "stream_index", "pts", "ts", F.col("idx").alias("packet_idx"))
 
 
+RANKS = {"info": 0, "warning": 1, "error": 2}
+
+
+def at_least(events: DataFrame, severity: str) -> DataFrame:
+    """Events of this severity or a graver one."""
+    return events.filter(F.col("severity").isin([k for k, v in RANKS.items() if v >= RANKS[severity]]))
+
+
 def event_summary(events: DataFrame) -> DataFrame:
     s = F.col("severity")
     return events.groupBy("media_id").agg(F.count("*").alias("total"), F.count_if(s == "error").alias("errors"), F.count_if(s == "warning").alias("warnings"), F.count_if(~s.isin("error", "warning")).alias("infos"))

@@ -117,3 +117,32 @@ def decode_pcm(data: bytes, fmt: str):
     if kind == "f32":
         return np.clip(np.round(np.frombuffer(data, order + "f4") * 32768.0), -32768, 32767).astype(np.int16)
     raise ValueError(f"unknown PCM format {fmt}")
+
+
+def trigger(samples: Column, span: int = 1000) -> Column:
+    """Where a waveform view starts: among the last `span` samples the place of the steepest fall (over 9 samples) that crosses zero in its middle, the latest of equals; without one, the last place there is."""
+    n = F.size(samples)
+    low, high = F.greatest(n - span, F.lit(0)), n - 10
+    at = lambda i: F.get(samples, i).cast("int")
+    scored = F.transform(F.sequence(low, F.greatest(high, low)), lambda i: F.struct(F.when((at(i + 4) < 0) != (at(i + 5) < 0), at(i) - at(i + 9)).alias("score"), i.alias("i")))
+    best = F.array_max(F.filter(scored, lambda x: x["score"].isNotNull()))
+    return F.when(high >= 0, F.coalesce(best["i"], high)).cast("int")
+
+
+def rdft_columns(audio: DataFrame, scale: float = 1.0, top: int = 255) -> DataFrame:
+    """(media_id, idx, levels): a spectrogram column of each frame: parabolic window, root of the scaled magnitude, capped."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for x in b.column("mono").to_pylist():
+                x, n = np.array(x, np.float64), len(x)
+                w = (np.arange(n) - (n - 1) / 2) / max((n - 1) / 2, 1)
+                level = np.sqrt(np.abs(np.fft.rfft(x * (1 - w**2))[: n // 2]) / max(np.sqrt(n), 1)) if n else np.zeros(0)
+                out.append(np.minimum(level * scale + 1e-7, top).astype(np.int32).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("media_id"), b.column("idx"), pa.array(out, pa.list_(pa.int32()))], names=["media_id", "idx", "levels"])
+
+    return audio.select("media_id", "idx", mono(F.col("samples"), F.col("channels")).alias("mono")).mapInArrow(run, "media_id long, idx long, levels array<int>")

@@ -51,10 +51,12 @@ def every_nth(frames: DataFrame, n: int, offset: int = 0, number: str = "fidx")
     return frames.filter(F.col(number) % n == offset)
 
 
-def frame_summary(frames: DataFrame) -> DataFrame:
+def frame_summary(frames: DataFrame, which: str = "all") -> DataFrame:
+    """Frames of each media by type, and how many of them the filter shows."""
     kind = F.col("frame_type")
+    shown = {"all": F.lit(True), "i": kind == 1, "key": F.col("is_key")}[which]
     return frames.groupBy("media_id").agg(
-        F.count("*").alias("total"), F.count_if("is_key").alias("key_frames"), F.max("gop_index").alias("gops"), F.count_if(kind == 1).alias("i_frames"), F.count_if(kind == 2).alias("p_frames"), F.count_if(kind == 3).alias("b_frames"),
+        F.count("*").alias("total"), F.count_if(shown).alias("visible"), F.count_if("is_key").alias("key_frames"), F.max("gop_index").alias("gops"), F.count_if(kind == 1).alias("i_frames"), F.count_if(kind == 2).alias("p_frames"), F.count_if(kind == 3).alias("b_frames"),
         F.count_if(~kind.isin(1, 2, 3)).alias("other_frames"),
     )
 

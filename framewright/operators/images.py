@@ -13,6 +13,92 @@ def histogram(images: DataFrame, channel: str = "grey") -> DataFrame:
     return counts.select("media_id", "frame_idx", F.lit(channel).alias("channel"), "bin", F.round(F.col("n") / top, 9).alias("value"))
 
 
+def histogram_rgb(images: DataFrame) -> DataFrame:
+    """As histogram(), of the three channels of images whose `rgb` is an array of (r, g, b)."""
+    one = images.select("media_id", F.col("idx").alias("frame_idx"), F.explode("rgb").alias("p"))
+    bins = one.select("media_id", "frame_idx", F.explode(F.create_map(F.lit("r"), F.col("p.r"), F.lit("g"), F.col("p.g"), F.lit("b"), F.col("p.b"))).alias("channel", "bin"))
+    counts = bins.groupBy("media_id", "frame_idx", "channel", "bin").agg(F.count("*").alias("n"))
+    top = F.max("n").over(Window.partitionBy("media_id", "frame_idx", "channel"))
+    return counts.select("media_id", "frame_idx", "channel", F.col("bin").cast("int").alias("bin"), F.round(F.col("n") / top, 9).alias("value"))
+
+
+def histogram_hs(images: DataFrame, h_bins: int = 16, s_bins: int = 8) -> DataFrame:
+    """(media_id, frame_idx, h_bin, s_bin, value): counts over hue in [0, 180) and saturation in [0, 255), scaled by the frame's largest; bins without a pixel are left out."""
+    p = images.select("media_id", F.col("idx").alias("frame_idx"), F.explode("rgb").alias("p")).select("media_id", "frame_idx", "p.*")
+    p = p.withColumn("top", F.greatest("r", "g", "b")).withColumn("d", (F.col("top") - F.least("r", "g", "b")).cast("double"))
+    r, g, b, d = (F.col(c) for c in "rgbd")
+    sixth = (g - b) / d
+    hue = 30.0 * F.when(d == 0, 0.0).when(F.col("top") == r, sixth - 6 * F.floor(sixth / 6)).when(F.col("top") == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
+    p = p.withColumn("hue", hue).withColumn("sat", F.when(F.col("top") == 0, 0.0).otherwise(d / F.col("top") * 255)).filter("hue < 180 and sat < 255")
+    counts = p.groupBy("media_id", "frame_idx", F.floor(F.col("hue") / (180.0 / h_bins)).cast("int").alias("h_bin"), F.floor(F.col("sat") / (255.0 / s_bins)).cast("int").alias("s_bin")).agg(F.count("*").alias("n"))
+    return counts.select("media_id", "frame_idx", "h_bin", "s_bin", F.round(F.col("n") / F.max("n").over(Window.partitionBy("media_id", "frame_idx")), 9).alias("value"))
+
+
+def channel_plane(images: DataFrame, name: str) -> DataFrame:
+    """(media_id, idx, channel, width, height, pixels): one of R, G, B, Y, U, V of images whose `rgb` is an array of (r, g, b)."""
+
+    def value(p: Column) -> Column:
+        if name in "RGB":
+            return p[name.lower()].cast("int")
+        y = 0.299 * p["r"] + 0.587 * p["g"] + 0.114 * p["b"]
+        v = {"Y": y, "U": (p["b"] - y) * 0.564 + 128, "V": (p["r"] - y) * 0.713 + 128}[name]
+        return F.least(F.greatest(F.rint(v), F.lit(0)), F.lit(255)).cast("int")
+
+    return images.select("media_id", "idx", F.lit(name).alias("channel"), "width", "height", F.transform("rgb", value).alias("pixels"))
+
+
+def normalized(images: DataFrame, top: float = 255.0) -> DataFrame:
+    """Pixels scaled to 0..top; zeros where all are equal."""
+    low, high = F.array_min("pixels"), F.array_max("pixels")
+    return images.withColumn("pixels", F.transform("pixels", lambda x: F.when(high > low, (x - low) / (high - low).cast("double") * top).otherwise(0.0)))
+
+
+def resized(images: DataFrame, width: int, height: int) -> DataFrame:
+    """Bilinear, pixel centres aligned."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions import pixels
+
+        for b in batches:
+            out = [pixels.resize(np.array(p, np.float64).reshape(h, w), width, height).ravel() for p, w, h in zip(b.column("pixels").to_pylist(), b.column("width").to_pylist(), b.column("height").to_pylist())]
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([b.column("media_id"), b.column("idx"), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array([x.tolist() for x in out], pa.list_(pa.float64()))], names=["media_id", "idx", "width", "height", "pixels"])
+
+    return images.select("media_id", "idx", "width", "height", "pixels").mapInArrow(run, "media_id long, idx long, width int, height int, pixels array<double>")
+
+
+def to_bgr(frames: DataFrame) -> DataFrame:
+    """Planar 4:2:0 frames (width, height, data) in video range as BGR24 (BT.601); NULL for sides that don't convert."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from ..functions import pixels
+
+        for b in batches:
+            found = [pixels.video_range_bgr(d, w, h) for d, w, h in zip(b.column("data").to_pylist(), b.column("width").to_pylist(), b.column("height").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("media_id"), b.column("idx"), b.column("width"), b.column("height"), pa.array([None if x is None else x.tobytes() for x in found], pa.binary())], names=["media_id", "idx", "width", "height", "data"])
+
+    return frames.select("media_id", "idx", "width", "height", "data").mapInArrow(run, "media_id long, idx long, width int, height int, data binary")
+
+
+def bgr_sums(frames: DataFrame) -> DataFrame:
+    """(media_id, idx, b, g, r): the sums of the channels of to_bgr()."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            sums = np.array([np.frombuffer(x or b"", np.uint8).reshape(-1, 3).sum(0, dtype=np.int64) for x in b.column("data").to_pylist()], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column("media_id"), b.column("idx"), *(pa.array(sums[:, i]) for i in range(3))], names=["media_id", "idx", "b", "g", "r"])
+
+    return to_bgr(frames).mapInArrow(run, "media_id long, idx long, b long, g long, r long")
+
+
 def yuv_to_rgb(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
     """Full range, products cut toward zero."""
     u, v = u - 128, v - 128

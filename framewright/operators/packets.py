@@ -30,7 +30,7 @@ def stats(packets: DataFrame) -> DataFrame:
     """One row a media: packet, byte and key counts, packet sizes, duration."""
     key = F.col("flags").bitwiseAND(F.lit(1)) == 1
     return packets.groupBy("media_id").agg(
-        F.count("*").alias("total_packets"), F.sum(F.col("size").cast("long")).alias("total_bytes"), F.count_if(F.col("stream_index") == 0).alias("video_packets"), F.count_if(F.col("stream_index") == 1).alias("audio_packets"),
+        F.count("*").alias("total_packets"), F.sum(F.col("size").cast("long")).alias("total_bytes"), F.count_if(F.col("stream_type") == 0).alias("video_packets"), F.count_if(F.col("stream_type") == 1).alias("audio_packets"),
         F.max("size").alias("max_packet_size"), F.min("size").alias("min_packet_size"), F.expr("sum(cast(size as bigint)) div count(*)").alias("avg_packet_size"), F.count_if(key).alias("key_frame_count"), (F.max("ts") - F.min("ts")).alias("duration_seconds"),
     )
 
@@ -48,7 +48,7 @@ def stats_maps(packets: DataFrame) -> DataFrame:
 
 def summary(packets: DataFrame) -> DataFrame:
     """Packets by kind; what is neither video nor audio is other."""
-    s = F.col("stream_index")
+    s = F.col("stream_type")
     return packets.groupBy("media_id").agg(F.count("*").alias("total"), F.count_if(s == 0).alias("video"), F.count_if(s == 1).alias("audio"), F.count_if(~s.isin(0, 1) | s.isNull()).alias("other"))
 
 
@@ -60,7 +60,7 @@ def last_n(packets: DataFrame, n: int = 100) -> DataFrame:
 def per_second(packets: DataFrame) -> DataFrame:
     """Bits, packets and video packets of each second of media time that has a packet."""
     return packets.filter("ts is not null").groupBy("media_id", F.floor("ts").cast("long").alias("second")).agg(
-        F.sum(F.col("size").cast("long") * 8).alias("bps"), F.count("*").alias("packets"), F.count_if(F.col("stream_index") == 0).alias("video_fps"))
+        F.sum(F.col("size").cast("long") * 8).alias("bps"), F.count("*").alias("packets"), F.count_if(F.col("stream_type") == 0).alias("video_fps"))
 
 
 def rate_history(series: DataFrame, column: str = "bps", history: int = HISTORY) -> DataFrame:
@@ -102,11 +102,12 @@ def select_best(streams: DataFrame) -> DataFrame:
 
 
 def seek(packets: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each (media_id, target): the last key packet at or before the target, NULL if there is none."""
-    keys = packets.filter((F.col("flags").bitwiseAND(F.lit(1)) == 1) & F.col("ts").isNotNull()).select("media_id", "idx", "ts")
-    met = targets.join(keys, ["media_id"], "left")
-    early = F.col("ts") <= F.col("target")
-    return met.groupBy("media_id", "target").agg(F.max(F.when(early, F.struct("ts", "idx"))).alias("m")).select("media_id", "target", F.col("m.ts").alias("seek_ts"), F.col("m.idx").alias("seek_idx"))
+    """For each (media_id, target): the last key packet at or before the target, NULL if there is none. Targets and key packets go through one sort."""
+    keys = packets.filter((F.col("flags").bitwiseAND(F.lit(1)) == 1) & F.col("ts").isNotNull()).select("media_id", F.col("ts").alias("at"), F.lit(0).alias("asks"), F.struct("ts", "idx").alias("m"))
+    asked = targets.select("media_id", F.col("target").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(keys.schema["m"].dataType).alias("m"))
+    so_far = Window.partitionBy("media_id").orderBy("at", "asks", "m.idx").rowsBetween(Window.unboundedPreceding, 0)
+    met = keys.unionByName(asked).withColumn("last", F.last("m", ignorenulls=True).over(so_far)).filter("asks = 1")
+    return met.select("media_id", F.col("at").alias("target"), F.col("last.ts").alias("seek_ts"), F.col("last.idx").alias("seek_idx"))
 
 
 def play_range(packets: DataFrame, start: float, length: float) -> DataFrame:
@@ -114,6 +115,24 @@ def play_range(packets: DataFrame, start: float, length: float) -> DataFrame:
     return packets.filter(F.col("ts") - start <= length)
 
 
-def annex_b(packets: DataFrame, data: str = "data") -> DataFrame:
-    """H.264 payloads with a 4-byte length in front get a start code instead."""
-    return packets.withColumn(data, F.concat(F.unhex(F.lit("00000001")), F.expr(f"substring({data}, 5)")))
+def only_types(packets: DataFrame, *types: int) -> DataFrame:
+    """Packets of the chosen kinds of streams; a plain filter, so it reaches the scan."""
+    return packets.filter(F.col("stream_type").isin(*types))
+
+
+def gated(rows: DataFrame, switches: DataFrame, analyzer: str) -> DataFrame:
+    """Rows of media whose analyzer is on: switches has (media_id, analyzer, at, on), the state from arrival `at` on; off before the first."""
+    own = switches.filter(F.col("analyzer") == analyzer).select("media_id", F.col("at").alias("idx"), F.lit(0).alias("_k"), F.col("on").alias("_on"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    all_ = rows.select("media_id", "idx", F.lit(1).alias("_k"), F.lit(None).cast("boolean").alias("_on"), F.struct(*[F.col(c) for c in rows.columns]).alias("_row"))
+    state = F.last("_on", ignorenulls=True).over(Window.partitionBy("media_id").orderBy("idx", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    return own.unionByName(all_).withColumn("_state", state).filter("_k = 1 and _state").select("_row.*")
+
+
+def annex_b(packets: DataFrame, data: str = "data", headers: DataFrame | None = None) -> DataFrame:
+    """H.264 payloads with a 4-byte length in front get a start code instead; the first packet of a stream gets the stream's parameter sets (media_id, stream_index, header) in front."""
+    body = F.concat(F.unhex(F.lit("00000001")), F.expr(f"substring({data}, 5)"))
+    if headers is None:
+        return packets.withColumn(data, body)
+    first = F.row_number().over(in_order("stream_index")) == 1
+    rows = packets.withColumn("_first", first).join(headers.select("media_id", "stream_index", F.col("header").alias("_header")), ["media_id", "stream_index"], "left")
+    return rows.withColumn(data, F.when(F.col("_first") & F.col("_header").isNotNull(), F.concat("_header", body)).otherwise(body)).drop("_first", "_header")

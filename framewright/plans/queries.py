@@ -5,45 +5,48 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
-from ..operators import anomalies, audio, frames, images, macroblocks, packets, sync, timeline
+from ..operators import anomalies, audio, frames, images, macroblocks, metadata, packets, sync, timeline
 from ..sinks import report, tables
+from ..streaming import live
 from . import adapter
+from .scratch import scratch_folder
 
 # --- DuckDB views that mirror the adapter ---
 
 _PACKETS = """
-with b as (select event_id, user_id % 8 as media_id, event_type, value, epoch_us(ts) - 1704067200000000 as us, cast(props->>'$.k' as int) as k from events),
-packets as (select cast(media_id as bigint) as media_id, event_id as idx, k,
-    cast(case when event_type in ('click','view') then 0 when event_type in ('signup','purchase') then 1 else 2 end as int) as stream_index,
-    cast(case when k < 3 then null when k = 7 then us // 72000 - 9000 else us // 72000 end as bigint) as pts,
+with b as (select event_id, case when user_id % 4 = 0 then 0 else user_id end as media_id, event_type, value, epoch_us(ts) - 1704067200000000 as us, cast(props->>'$.k' as int) as k from events),
+kinds as (select *, case when event_type in ('click','view') then 0 when event_type in ('signup','purchase') then 1 else 2 end as kind from b),
+numbers as (select *, case when kind = 0 then media_id % 2 when kind = 1 and event_type = 'purchase' and media_id % 3 = 0 then 3 when kind = 1 then 1 - media_id % 2 when k = 5 then 9 else 2 end as number,
+    case when k < 3 then null when k = 7 then us // 72000 - 9000 else us // 72000 end as p, case when k = 2 then us // 72000 end as d from kinds),
+packets as (select cast(media_id as bigint) as media_id, event_id as idx, k, cast(number as int) as stream_index, cast(case when number = 9 then -1 else kind end as int) as stream_type, cast(p as bigint) as pts, cast(d as bigint) as dts,
     cast(round(value * 100) as int) + 1 as size,
     cast((case when k % 12 = 0 then 1 else 0 end) + (case when k % 33 = 0 then 2 else 0 end) as int) as flags,
-    (case when k < 3 then null when k = 7 then us // 72000 - 9000 else us // 72000 end) / 90000e0 as ts from b)"""
+    coalesce(p, d) / 90000e0 as ts from numbers)"""
 _FRAMES = _PACKETS + """,
 video as (select media_id, cast(row_number() over (partition by media_id order by idx) - 1 as bigint) as fidx, idx as arrival, flags % 2 = 1 as is_key,
-    cast(case when flags % 2 = 1 then 1 when k % 3 = 1 then 2 when k % 3 = 2 then 3 else 0 end as int) as frame_type, pts, ts from packets where stream_index = 0),
-audio as (select media_id, cast(row_number() over (partition by media_id order by idx) - 1 as bigint) as fidx, idx as arrival, pts, ts, size as sample_count, 48000 as sample_rate, 2 as channels, size * 4 as byte_count from packets where stream_index = 1),
+    cast(case when flags % 2 = 1 then 1 when k % 3 = 1 then 2 when k % 3 = 2 then 3 else 0 end as int) as frame_type, pts, ts, stream_index, case when k % 29 = 5 then 0 else 640 end as width, 480 as height from packets where stream_type = 0),
+audio as (select media_id, cast(row_number() over (partition by media_id order by idx) - 1 as bigint) as fidx, idx as arrival, pts, ts, size as sample_count, 48000 as sample_rate, 2 as channels, size * 4 as byte_count, stream_index from packets where stream_type = 1),
 gops as (select *, cast(1 + sum(case when is_key and fidx > 0 then 1 else 0 end) over (partition by media_id order by fidx rows unbounded preceding) as bigint) as gop_index from video),
 gop_frames as (select *, row_number() over (partition by media_id, gop_index order by fidx) as gop_position from gops)"""
 _EVENTS = _FRAMES + """,
 miss as (select * from (select media_id, stream_index, idx, pts, ts, 'missing_timestamp' as type, row_number() over (partition by media_id, stream_index order by idx) as n from packets where ts is null) where n = 1),
 steps as (select *, ts - lag(ts) over (partition by media_id, stream_index order by idx) as delta from packets where ts is not null),
 jumps as (select media_id, stream_index, idx, pts, ts, case when delta < -0.001 then 'timestamp_back' else 'timestamp_jump' end as type, delta from steps where delta < -0.001 or delta > 2.0),
-amiss as (select * from (select media_id, 1 as stream_index, arrival as idx, pts, ts, 'audio_missing_pts' as type, row_number() over (partition by media_id order by arrival) as n from audio where pts is null) where n = 1),
+amiss as (select * from (select media_id, stream_index, arrival as idx, pts, ts, 'audio_missing_pts' as type, row_number() over (partition by media_id, stream_index order by arrival) as n from audio where pts is null) where n = 1),
 alle as (select media_id, stream_index, idx, pts, ts, type, case when type = 'missing_timestamp' then 0 else 1 end as r from (select media_id, stream_index, idx, pts, ts, type from miss union all select media_id, stream_index, idx, pts, ts, type from jumps)
-    union all select media_id, stream_index, idx, pts, ts, type, 2 as r from amiss),
-events_log as (select media_id, row_number() over (partition by media_id order by idx, r) - 1 as event_idx, case when type = 'timestamp_back' then 'error' else 'warning' end as severity, type, stream_index, pts, ts, idx as packet_idx from alle)"""
+    union all select media_id, stream_index, idx, pts, ts, type, 2 as r from amiss union all select media_id, stream_index, arrival as idx, pts, ts, 'invalid_video_frame' as type, 3 as r from video where width <= 0 or height <= 0),
+events_log as (select media_id, row_number() over (partition by media_id order by idx, r) - 1 as event_idx, case when type in ('timestamp_back', 'invalid_video_frame') then 'error' else 'warning' end as severity, type, stream_index, pts, ts, idx as packet_idx from alle)"""
 _SECONDS = _PACKETS + """,
-seconds as (select media_id, cast(floor(ts) as bigint) as second, cast(sum(cast(size as bigint) * 8) as bigint) as bps, count(*) as packets, count(*) filter (where stream_index = 0) as video_fps from packets where ts is not null group by 1, 2)"""
+seconds as (select media_id, cast(floor(ts) as bigint) as second, cast(sum(cast(size as bigint) * 8) as bigint) as bps, count(*) as packets, count(*) filter (where stream_type = 0) as video_fps from packets where ts is not null group by 1, 2)"""
 _SYNC = _PACKETS + """,
-av as (select *, last_value(case when stream_index = 1 then ts end ignore nulls) over w as audio_ts, last_value(case when stream_index = 0 then ts end ignore nulls) over w as video_ts
-    from packets where stream_index in (0, 1) and ts is not null window w as (partition by media_id order by idx rows unbounded preceding)),
-samples as (select media_id, row_number() over (partition by media_id order by idx) - 1 as sync_idx, audio_ts, video_ts, (audio_ts - video_ts) * 1000 as diff_ms, stream_index = 1 as audio_anchor from av where audio_ts is not null and video_ts is not null)"""
+av as (select *, last_value(case when stream_type = 1 then ts end ignore nulls) over w as audio_ts, last_value(case when stream_type = 0 then ts end ignore nulls) over w as video_ts
+    from packets where stream_type in (0, 1) and ts is not null window w as (partition by media_id order by idx rows unbounded preceding)),
+samples as (select media_id, row_number() over (partition by media_id order by idx) - 1 as sync_idx, audio_ts, video_ts, (audio_ts - video_ts) * 1000 as diff_ms, stream_type = 1 as audio_anchor from av where audio_ts is not null and video_ts is not null)"""
 _TIMELINE = _EVENTS + """,
-entries as (select media_id, arrival as ord, 1 as r, 'video_key' as category, ts, '#' || fidx as label from video where is_key
-    union all select media_id, arrival, 1, 'audio_sample', ts, '#' || fidx from audio where (fidx + 1) % 20 = 0
-    union all select media_id, packet_idx, 0, 'event', ts, type from events_log),
-line as (select media_id, row_number() over (partition by media_id order by ord, r) - 1 as timeline_idx, category, ts, label from entries where ts is not null)"""
+entries as (select media_id, arrival as ord, 1 as r, 0 as n, 'video_key' as category, ts, '#' || fidx as label from video where is_key
+    union all select media_id, arrival, 1, 0, 'audio_sample', ts, '#' || fidx from audio where (fidx + 1) % 20 = 0
+    union all select media_id, packet_idx, 0, event_idx, 'event', ts, type from events_log),
+line as (select media_id, row_number() over (partition by media_id order by ord, r, n) - 1 as timeline_idx, category, ts, label from entries where ts is not null)"""
 _SOUND = """
 with sound as (select cast(vec_id % 8 as bigint) as media_id, cast(vec_id as bigint) as idx, vec_id / 50e0 as ts, 48000 as sample_rate, 1 as channels,
     list_transform(embedding, lambda x: cast(least(greatest(floor(cast(x as double) * 32768), -32768), 32767) as int)) as samples from embeddings),
@@ -73,7 +76,8 @@ def _gops(spark, d):
 
 
 def _events(spark, d):
-    return anomalies.event_log(_p(spark, d), adapter.audio_arrivals(_p(spark, d)))
+    p = _p(spark, d)
+    return anomalies.event_log(p, adapter.audio_arrivals(p), adapter.video_arrivals(p))
 
 
 def _samples(spark, d):
@@ -112,12 +116,12 @@ def query(sql=None):
 # --- packets ---
 
 
-@query(_PACKETS + " select media_id, idx, stream_index, cast(stream_index as int) as stream_type, pts, size, flags, ts from packets")
+@query(_PACKETS + " select media_id, idx, stream_index, stream_type, pts, size, flags, case when stream_type >= 0 then ts end as ts from packets")
 def packet_normalize(spark, d):
-    return packets.normalize(_p(spark, d).drop("ts"), adapter.streams(spark)).select("media_id", "idx", "stream_index", "stream_type", "pts", "size", "flags", "ts")
+    return packets.normalize(_p(spark, d).drop("ts", "stream_type"), adapter.streams(spark, d)).select("media_id", "idx", "stream_index", "stream_type", "pts", "size", "flags", "ts")
 
 
-@query(_PACKETS + """ select media_id, count(*) as total_packets, cast(sum(size) as bigint) as total_bytes, count(*) filter (where stream_index = 0) as video_packets, count(*) filter (where stream_index = 1) as audio_packets,
+@query(_PACKETS + """ select media_id, count(*) as total_packets, cast(sum(size) as bigint) as total_bytes, count(*) filter (where stream_type = 0) as video_packets, count(*) filter (where stream_type = 1) as audio_packets,
     max(size) as max_packet_size, min(size) as min_packet_size, cast(sum(size) // count(*) as bigint) as avg_packet_size, count(*) filter (where flags % 2 = 1) as key_frame_count, max(ts) - min(ts) as duration_seconds from packets group by media_id""")
 def packet_stats(spark, d):
     return packets.stats(_p(spark, d))
@@ -135,7 +139,7 @@ def packet_stats_maps(spark, d):
     return packets.stats_maps(_p(spark, d)).select("media_id", text("packets_per_stream"), text("bytes_per_stream"))
 
 
-@query(_PACKETS + " select media_id, count(*) as total, count(*) filter (where stream_index = 0) as video, count(*) filter (where stream_index = 1) as audio, count(*) filter (where stream_index not in (0, 1)) as other from packets group by 1")
+@query(_PACKETS + " select media_id, count(*) as total, count(*) filter (where stream_type = 0) as video, count(*) filter (where stream_type = 1) as audio, count(*) filter (where stream_type not in (0, 1)) as other from packets group by 1")
 def packet_summary(spark, d):
     return packets.summary(_p(spark, d))
 
@@ -254,10 +258,10 @@ def gop_summary(spark, d):
     return frames.gop_summary(_gops(spark, d))
 
 
-@query(_FRAMES + """ select media_id, count(*) as total, count(*) filter (where is_key) as key_frames, max(gop_index) as gops, count(*) filter (where frame_type = 1) as i_frames, count(*) filter (where frame_type = 2) as p_frames,
+@query(_FRAMES + """ select media_id, count(*) as total, count(*) filter (where frame_type = 1) as visible, count(*) filter (where is_key) as key_frames, max(gop_index) as gops, count(*) filter (where frame_type = 1) as i_frames, count(*) filter (where frame_type = 2) as p_frames,
     count(*) filter (where frame_type = 3) as b_frames, count(*) filter (where frame_type not in (1, 2, 3)) as other_frames from gop_frames group by 1""")
 def frame_summary(spark, d):
-    return frames.frame_summary(_gops(spark, d))
+    return frames.frame_summary(_gops(spark, d), "i")
 
 
 @query(_FRAMES + " select media_id, fidx, pts from video where fidx % 10 = 9")
@@ -562,12 +566,12 @@ def mb_geometry(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", *macroblocks.geometry(16 + k % 1905, 16 + k % 1065, k % 2 + 2))
 
 
-@query("""with v as (select p_partkey, unnest(range(0, 96)) as p from part where p_partkey <= 200) select cast(p_partkey % 8 as bigint) as media_id, cast(p_partkey as bigint) as frame_idx, cast(p // 12 // 2 as int) as mb_y, cast(p % 12 // 2 as int) as mb_x,
+@query("""with v as (select p_partkey, unnest(range(0, 96)) as p from part) select cast(p_partkey % 8 as bigint) as media_id, cast(p_partkey as bigint) as frame_idx, cast(p // 12 // 2 as int) as mb_y, cast(p % 12 // 2 as int) as mb_x,
     cast(p // 12 % 2 * 2 + p % 12 % 2 as int) as part, cast(p * p_partkey % 127 as int) as mv from v""")
 def mv_unpack(spark, d):
     k = F.col("p_partkey").cast("long")
     mv = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda p: (p * k % 127).cast("int"))
-    f = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey <= 200").select((k % 8).alias("media_id"), k.alias("frame_idx"), F.lit(6).alias("mb_stride"), F.lit(2).alias("sample"), mv.alias("mv"))
+    f = spark.read.parquet(f"{d}/part.parquet").select((k % 8).alias("media_id"), k.alias("frame_idx"), F.lit(6).alias("mb_stride"), F.lit(2).alias("sample"), mv.alias("mv"))
     return macroblocks.unpack_vectors(f)
 
 
@@ -585,13 +589,12 @@ def mb_csv_lines(spark, d):
 # --- files and reports ---
 
 
-@query("""with f as (select conv_id, turn, trim(text) as t from conversations) select conv_id, turn, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as pos, t as location from f where t <> '' and t not like '#%'""")
+@query("""with f as (select conv_id, turn, trim(text) as t from conversations) select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as pos, t as location, t as title from f where t <> '' and t not like '#%'""")
 def playlist_lines(spark, d):
-    from pyspark.sql import Window
+    from ..sources.files import playlist_tracks
 
-    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.trim("text").alias("location")).filter("location <> '' and location not like '#%'")
-    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return c.select("conv_id", "turn", pos.cast("int").alias("pos"), "location")
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), F.col("text").alias("value"))
+    return playlist_tracks(c).withColumnRenamed("file", "conv_id")
 
 
 @query("""with l as (select n_nationkey as line, '  ' || n_name || ' = "' || n_regionkey || '"' as value from nation union all select 100 + r_regionkey, '# ' || r_name || ' = x' from region union all select 200 + n_nationkey, upper(n_name) || '=new=' || n_nationkey from nation where n_nationkey < 5),
@@ -628,11 +631,327 @@ def csv_sync(spark, d):
     return tables.sync_csv(_samples(spark, d))
 
 
-@query()
-def report_json(spark, d):
-    return report.to_json(report.full_stats(_p(spark, d)))
+_STATS = _SECONDS + """,
+stats as (select media_id, count(*) as total_packets, cast(sum(size) as bigint) as total_bytes, count(*) filter (where stream_type = 0) as video_packets, count(*) filter (where stream_type = 1) as audio_packets, max(size) as max_packet_size, min(size) as min_packet_size,
+    cast(sum(size) // count(*) as bigint) as avg_packet_size, count(*) filter (where flags % 2 = 1) as key_frame_count, max(ts) - min(ts) as duration_seconds from packets group by 1),
+rates as (select media_id, second, bps, video_fps, cast(sum(bps) over w // count(*) over w as bigint) as avg_bps, max(bps) over (partition by media_id order by second rows unbounded preceding) as peak_bps, round(avg(video_fps) over w, 9) as avg_fps
+    from seconds window w as (partition by media_id order by second rows 299 preceding)),
+final as (select media_id, cast(video_fps as double) as current_fps, avg_fps, bps as current_bitrate_bps, avg_bps as avg_bitrate_bps, peak_bps as peak_bitrate_bps from rates qualify row_number() over (partition by media_id order by second desc) = 1),
+runs as (select media_id, sum(flags % 2) over (partition by media_id order by idx rows unbounded preceding) as run from packets),
+sizes as (select media_id, run, count(*) as n, max(run) over (partition by media_id) as last from runs group by 1, 2),
+groups as (select media_id, coalesce(max(n) filter (where run = last - 1), 0) as gop_size, coalesce(max(n) filter (where run < last), 0) as max_gop_size, max(n) filter (where run = last) as current_gop_size from sizes group by 1),
+full_stats as (select * from stats left join final using (media_id) left join groups using (media_id))"""
 
 
-@query()
-def report_stats(spark, d):
+def _stats(spark, d):
     return report.full_stats(_p(spark, d))
+
+
+@query(_STATS + " select * from full_stats")
+def report_stats(spark, d):
+    return _stats(spark, d)
+
+
+_RATE_SQL = "case when {0} >= 1000000 then ({0} // 1000000) || ' Mbps' when {0} >= 1000 then ({0} // 1000) || ' Kbps' else {0} || ' bps' end"
+_CLOCK_SQL = "printf('%02d:%02d:%02d', cast(trunc(coalesce(duration_seconds, 0)) as bigint) // 3600, cast(trunc(coalesce(duration_seconds, 0)) as bigint) // 60 % 60, cast(trunc(coalesce(duration_seconds, 0)) as bigint) % 60)"
+
+
+@query(_STATS + f" select media_id, total_packets || ' packets, ' || printf('%.2f', coalesce(avg_fps, 0)) || ' fps, ' || {_RATE_SQL.format('coalesce(avg_bitrate_bps, 0)')} || ', ' || {_CLOCK_SQL} as summary from full_stats")
+def report_summary(spark, d):
+    return report.summaries(_stats(spark, d))
+
+
+@query(_STATS + f""" select media_id, concat_ws(chr(10), 'Stream report', '', 'Totals', '  Packets: ' || total_packets, '  Bytes: ' || (total_bytes // 1024) || ' KB', '  Video packets: ' || video_packets, '  Audio packets: ' || audio_packets, '',
+    'Frame rate', '  Current: ' || printf('%.2f', coalesce(current_fps, 0)) || ' fps', '  Average: ' || printf('%.2f', coalesce(avg_fps, 0)) || ' fps', '', 'Bit rate', '  Current: ' || {_RATE_SQL.format('coalesce(current_bitrate_bps, 0)')},
+    '  Average: ' || {_RATE_SQL.format('coalesce(avg_bitrate_bps, 0)')}, '  Peak: ' || {_RATE_SQL.format('coalesce(peak_bitrate_bps, 0)')}, '', 'Groups of pictures', '  Last: ' || gop_size, '  Largest: ' || max_gop_size, '  Key frames: ' || key_frame_count, '',
+    'Packet size', '  Average: ' || avg_packet_size || ' bytes', '  Largest: ' || max_packet_size || ' bytes', '  Smallest: ' || min_packet_size || ' bytes', '', 'Time', '  Duration: ' || {_CLOCK_SQL}, '') as report from full_stats""")
+def report_text(spark, d):
+    return report.texts(_stats(spark, d))
+
+
+_JSON = ", ".join(f"'{c}', " + (f"round({c}, 2)" if c in ("current_fps", "avg_fps", "duration_seconds") else c) for c in report.JSON_FIELDS)
+
+
+@query(_STATS + f" select media_id, cast(json_object('video_file', cast(media_id as varchar), 'statistics', json_object({_JSON})) as varchar) as report from full_stats where duration_seconds is not null")
+def report_json(spark, d):
+    return report.to_json(_stats(spark, d).filter("duration_seconds is not null"))
+
+
+@query(_PACKETS + """, per as (select media_id, cast(floor(ts) as bigint) as second, count(*) as n, cast(sum(size) as bigint) as bytes, count(*) filter (where stream_type = 0) as v, count(*) filter (where stream_type = 1) as a, cast(sum(flags % 2) as bigint) as keys, cast(sum(cast(size as bigint) * 8) as bigint) as bps from packets where ts is not null group by 1, 2),
+    t as (select *, cast(sum(n) over s as bigint) as tn, cast(sum(bytes) over s as bigint) as tb, cast(sum(v) over s as bigint) as tv, cast(sum(a) over s as bigint) as ta, cast(sum(keys) over s as bigint) as tk, max(bps) over s as peak, cast(sum(bps) over w // count(*) over w as bigint) as mean, round(avg(v) over w, 9) as fps
+        from per window s as (partition by media_id order by second rows unbounded preceding), w as (partition by media_id order by second rows 299 preceding))
+    select media_id, second as "Time(s)", tn as "TotalPackets", tb as "TotalBytes", tv as "VideoPackets", ta as "AudioPackets", cast(v as double) as "CurrentFPS", fps as "AvgFPS", bps as "CurrentBitrate", mean as "AvgBitrate", peak as "PeakBitrate", cast(case when tk > 0 then tn // tk else 0 end as bigint) as "GOPSize", tk as "KeyFrames", cast(tb // tn as bigint) as "AvgPacketSize" from t""")
+def csv_stats_series(spark, d):
+    rows = report.stats_series(_p(spark, d))
+    return rows.select("media_id", *[F.col(c).alias(name) for name, c in report.SERIES.items()])
+
+
+@query(_PACKETS + " select media_id, idx as \"index\", stream_index, case when ts is not null then printf('%.6f', ts) end as timestamp_seconds, pts, dts, cast(null as bigint) as duration, size, flags, cast(null as bigint) as file_pos from packets")
+def csv_packets(spark, d):
+    return _csv(_p(spark, d), tables.packets_csv)
+
+
+@query(_EVENTS + " select media_id, event_idx as \"index\", severity, type, stream_index, case when ts is not null then printf('%.6f', ts) end as timestamp_seconds, pts, type as summary, 'packet ' || packet_idx as detail from events_log")
+def csv_events(spark, d):
+    return _csv(_events(spark, d), tables.events_csv)
+
+
+@query(_TIMELINE + " select media_id, timeline_idx as \"index\", category, printf('%.6f', ts) as timestamp_seconds, label, '' as detail from line")
+def csv_timeline(spark, d):
+    rows = _line(spark, d).withColumn("label", F.struct("media_id", "label"))
+    return tables.timeline_csv(rows).select(F.col("label.media_id").alias("media_id"), "index", "category", "timestamp_seconds", F.col("label.label").alias("label"), "detail")
+
+
+@query(_SPECTRUM + """ select 'spectrum' as section, media_id, s.idx as "index", printf('%.6f', ts) as timestamp_seconds, sample_rate, channels, cast(b as int) as point_index, round(value, 9) as value from spectra s join levels using (media_id, idx)
+    union all select 'waveform', media_id, w.idx, printf('%.6f', w.ts), sample_rate, channels, cast(i as int), round(waveform[i + 1], 9) from waves w join levels using (media_id, idx), range(0, 64) t(i)""")
+def csv_visualization(spark, d):
+    rows = _viz(spark, d)
+    both = tables.visualization_csv(rows.withColumn("sample_rate", F.struct("media_id", "sample_rate")))
+    return both.select("section", F.col("sample_rate.media_id").alias("media_id"), "index", "timestamp_seconds", F.col("sample_rate.sample_rate").alias("sample_rate"), "channels", "point_index", F.round("value", 9).alias("value"))
+
+
+@query(_FRAMES + " select media_id, arrival, stream_index, pts, ts from video where width <= 0 or height <= 0")
+def frame_invalid(spark, d):
+    return anomalies.invalid_frames(adapter.video_arrivals(_p(spark, d))).select("media_id", "arrival", "stream_index", "pts", "ts")
+
+
+@query(_EVENTS + " select media_id, event_idx, type from events_log where severity = 'error'")
+def events_at_least(spark, d):
+    return anomalies.at_least(_events(spark, d), "error").select("media_id", "event_idx", "type")
+
+
+@query(_PACKETS + " select media_id, idx, stream_index, stream_type from packets where stream_type in (0, 1)")
+def stream_filter(spark, d):
+    return packets.only_types(_p(spark, d), 0, 1).select("media_id", "idx", "stream_index", "stream_type")
+
+
+@query(_PACKETS + """, s as (select media_id, min(idx) + 100 as on_at, min(idx) + 700 as off_at from packets where media_id % 2 = 0 group by 1) select p.media_id, count(*) as total_packets, cast(sum(size) as bigint) as total_bytes from packets p join s using (media_id) where idx >= on_at and idx < off_at group by 1""")
+def analyzer_gate(spark, d):
+    p = _p(spark, d)
+    first = p.filter("media_id % 2 = 0").groupBy("media_id").agg(F.min("idx").alias("m"))
+    turn = lambda step, on: first.select("media_id", F.lit("stream").alias("analyzer"), (F.col("m") + step).alias("at"), F.lit(on).alias("on"))
+    on = packets.gated(p, turn(100, True).unionByName(turn(700, False)), "stream")
+    return packets.stats(on).select("media_id", "total_packets", "total_bytes")
+
+
+_FOLD = """, o as (select media_id, list({{'idx': idx, 'v': {value}, 'kept': [cast(null as bigint)]}} order by idx) as rows from {source} group by 1),
+    f as (select media_id, list_reduce(list_prepend({{'idx': cast(-1 as bigint), 'v': cast(null as {kind}), 'kept': cast([] as bigint[])}}, list_transform(rows, lambda r: {{'idx': cast(r.idx as bigint), 'v': cast(r.v as {kind}), 'kept': cast([] as bigint[])}})),
+        lambda a, r: case when a.v is null or {away} >= {least} then {{'idx': r.idx, 'v': r.v, 'kept': list_append(a.kept, r.idx)}} else a end) as s from o)
+    select media_id, unnest(s.kept) as idx from f"""
+
+
+@query(_PACKETS + ", pos as (select media_id, idx, cast(trunc(ts * 1000) as bigint) as ms from packets where stream_type = 0 and ts is not null)" + _FOLD.format(value="ms", source="pos", kind="bigint", away="abs(r.v - a.v)", least="60000"))
+def position_throttle(spark, d):
+    p = packets.only_types(_p(spark, d), 0).select("media_id", "idx", (F.col("ts") * 1000).cast("long").alias("ms"))
+    return timeline.throttled(p, "ms", 60000).select("media_id", "idx")
+
+
+@query(_SOUND + _FOLD.format(value="ts", source="levels", kind="double", away="r.v - a.v", least="0.033"))
+def meter_throttle(spark, d):
+    return timeline.throttled(_sound(spark, d).select("media_id", "idx", "ts"), "ts", 0.033, both_ways=False).select("media_id", "idx")
+
+
+@query(_FRAMES + """, o as (select media_id, fidx, arrival, ts, lead(ts) over (partition by media_id order by fidx) as nxt from video where ts is not null),
+    s as (select media_id, cast(-1 as bigint) as fidx, idx as arrival, ts from packets where stream_type = 1 and ts is not null),
+    c as (select media_id, fidx, arrival, ts, nxt, null as clock from o union all select media_id, fidx, arrival, ts, null, ts from s),
+    m as (select *, last_value(clock ignore nulls) over (partition by media_id order by arrival rows unbounded preceding) as master from c)
+    select media_id, fidx, coalesce(ts < master - 0.01 and abs(ts - master) < 10.0, false) as early, coalesce(master > nxt, false) as late from m where fidx >= 0""")
+def frame_drops(spark, d):
+    p = _p(spark, d)
+    return sync.drops(frames.numbered(adapter.video_arrivals(p)), p)
+
+
+@query("""with o as (select o_orderkey, o_custkey * 1000 as c, [o_orderkey % 900 * 10, o_custkey % 3, o_custkey % 7 * 100000] as s from orders)
+    select o_orderkey, cast(greatest(coalesce(case when o_orderkey % 5 > 0 then c end, 0), coalesce(list_max(s), 0)) as bigint) as duration_ms from o""")
+def media_duration(spark, d):
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select("o_orderkey", metadata.duration_ms(F.when(k % 5 > 0, c * 1000), F.array(k % 900 * 10, c % 3, c % 7 * 100000)).cast("long").alias("duration_ms"))
+
+
+@query("""select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then p_brand else '' end as description,
+    case when p_partkey % 4 = 0 then '' when p_partkey % 5 = 0 then 'isom' else 'isom (' || p_brand || ')' end as container_id,
+    cast(case when p_partkey % 2 = 1 then p_partkey * 100 else cast(8000 + p_partkey as bigint) * (p_partkey % 8) * 16 end as bigint) as bit_rate,
+    printf('%.1f - %.1f cd/m2', (p_partkey % 10) / 5e0, p_partkey * 1e0) as luminance, printf('R(%.4f,%.4f) G(%.4f,%.4f) B(%.4f,%.4f) WP(%.4f,%.4f)', p_partkey % 50 / 50e0, 0.25, 0.5, p_partkey % 25 / 25e0, 0.125, 0.0625, 0.3125, 0.375) as primaries from part""")
+def container_texts(spark, d):
+    k = F.col("p_partkey").cast("long")
+    tags = F.when(k % 3 == 0, F.create_map(F.lit("description"), F.col("p_name"), F.lit("comment"), F.lit("-"))).when(k % 3 == 1, F.create_map(F.lit("comment"), F.col("p_brand"), F.lit("title"), F.lit("-"))).otherwise(F.create_map(F.lit("title"), F.lit("-")))
+    part = lambda n, of: k % n / F.lit(float(of))
+    return spark.read.parquet(f"{d}/part.parquet").select(
+        "p_partkey", fmt.metadata(tags, "description", "comment").alias("description"), fmt.container_id(F.when(k % 4 > 0, "isom"), F.when(k % 5 > 0, F.col("p_brand"))).alias("container_id"),
+        fmt.audio_bit_rate(F.when(k % 2 == 1, k * 100).otherwise(0), 8000 + k, k % 8, F.lit(16)).cast("long").alias("bit_rate"), fmt.mastering_luminance(k % 10 / 5.0, k * F.lit(1.0)).alias("luminance"),
+        fmt.mastering_primaries(part(50, 50), F.lit(0.25), F.lit(0.5), part(25, 25), F.lit(0.125), F.lit(0.0625), F.lit(0.3125), F.lit(0.375)).alias("primaries"),
+    )
+
+
+@query("""with i as (select n_nationkey as media_id, 'A' as section, 0 as pos, 'Name' as key, n_name as value from nation union all select n_nationkey, 'A', 1, 'Region', cast(n_regionkey as varchar) from nation union all select n_nationkey, 'B', 0, 'Empty', '' from nation
+        union all select n_nationkey, 'B', 1, 'Key', cast(n_nationkey as varchar) from nation where n_nationkey % 2 = 0),
+    l as (select media_id, section, string_agg('  ' || rpad(key, 32, ' ') || ': ' || value, chr(10) order by pos) as body from i where value <> '' group by 1, 2)
+    select cast(media_id as bigint) as media_id, string_agg(section || chr(10) || body, chr(10) || chr(10) order by section) as report from l group by 1""")
+def media_info_text(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").withColumn("k", F.col("n_nationkey").cast("long"))
+    line = lambda section, pos, key, value: n.select(F.col("k").alias("media_id"), F.lit(section).alias("section"), F.lit(pos).alias("pos"), F.lit(key).alias("key"), value.alias("value"))
+    rows = line("A", 0, "Name", F.col("n_name")).unionByName(line("A", 1, "Region", F.col("n_regionkey").cast("string"))).unionByName(line("B", 0, "Empty", F.lit(""))).unionByName(line("B", 1, "Key", F.when(F.col("k") % 2 == 0, F.col("k").cast("string"))))
+    return report.info_text(rows)
+
+
+# --- more of images: three channels, scaling, raw formats ---
+
+_RGB = _IMAGES + """, rgb as (select media_id, idx, p, pixels[p + 1] as r, 255 - pixels[p + 1] as g, pixels[p + 1] * 7 % 256 as b from images, range(0, 64) t(p))"""
+
+
+def _rgb(spark, d):
+    x = F.transform("pixels", lambda v: F.struct(v.alias("r"), (255 - v).alias("g"), (v * 7 % 256).alias("b")))
+    return adapter.grey_images(spark, d).select("media_id", "idx", "width", "height", x.alias("rgb"))
+
+
+@query(_RGB + """, c as (select media_id, idx as frame_idx, channel, bin, count(*) as n from (unpivot rgb on r, g, b into name channel value bin) group by 1, 2, 3, 4)
+    select media_id, frame_idx, channel, cast(bin as int) as bin, round(n / cast(max(n) over (partition by media_id, frame_idx, channel) as double), 9) as value from c""")
+def histogram_rgb(spark, d):
+    return images.histogram_rgb(_rgb(spark, d))
+
+
+@query(_RGB + """, m as (select *, greatest(r, g, b) as top, greatest(r, g, b) - least(r, g, b) as d from rgb),
+    h as (select *, 30e0 * case when d = 0 then 0 when top = r then (g - b) / cast(d as double) - 6 * floor((g - b) / cast(d as double) / 6) when top = g then (b - r) / cast(d as double) + 2 else (r - g) / cast(d as double) + 4 end as hue, case when top = 0 then 0 else d / cast(top as double) * 255 end as sat from m),
+    c as (select media_id, idx as frame_idx, cast(floor(hue / 11.25e0) as int) as h_bin, cast(floor(sat / 31.875e0) as int) as s_bin, count(*) as n from h where hue < 180 and sat < 255 group by 1, 2, 3, 4)
+    select media_id, frame_idx, h_bin, s_bin, round(n / cast(max(n) over (partition by media_id, frame_idx) as double), 9) as value from c""")
+def histogram_hs(spark, d):
+    return images.histogram_hs(_rgb(spark, d))
+
+
+@query(_RGB + " select media_id, idx, 'Y' as channel, cast(sum(round_even(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 0)) as bigint) as total from rgb group by 1, 2 union all select media_id, idx, 'R', cast(sum(r) as bigint) from rgb group by 1, 2")
+def channel_split(spark, d):
+    return images.channel_plane(_rgb(spark, d), "Y").unionByName(images.channel_plane(_rgb(spark, d), "R")).select("media_id", "idx", "channel", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(_IMAGES + """, s as (select media_id, idx, pixels, list_min(pixels) as low, list_max(pixels) as high from images) select media_id, idx, round(list_sum(list_transform(pixels, lambda x: case when high > low then (x - low) / cast(high - low as double) * 255 else 0 end)), 6) as total from s""")
+def image_normalize(spark, d):
+    out = images.normalized(adapter.grey_images(spark, d))
+    return out.select("media_id", "idx", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(_IMAGES + """ select media_id, idx, list_transform(range(0, 16), lambda i: round((pixels[(i // 4) * 16 + (i % 4) * 2 + 1] + pixels[(i // 4) * 16 + (i % 4) * 2 + 2] + pixels[(i // 4) * 16 + (i % 4) * 2 + 9] + pixels[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4e0, 6)) as pixels from images""")
+def image_resize(spark, d):
+    return images.resized(adapter.grey_images(spark, d), 4, 4).select("media_id", "idx", F.transform("pixels", lambda x: F.round(x, 6)).alias("pixels"))
+
+
+_RAW_BYTES = "(p_partkey * 7 + i * 31) % 256"
+
+
+def _raw(spark, d, n: int, width: int, height: int, pix_fmt: str):
+    k = F.col("p_partkey").cast("long")
+    data = F.unhex(F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex((k * 7 + i * 31) % 256), 2, "0"))))
+    return spark.read.parquet(f"{d}/part.parquet").select((k % 8).alias("media_id"), k.alias("idx"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(pix_fmt).alias("format"), data.alias("data"))
+
+
+@query(f"""with y as (select p_partkey, unnest(range(0, 16)) as i from part), u as (select p_partkey, i, {_RAW_BYTES} as y, 16 + (i // 8) * 2 + i % 4 // 2 as spot from y),
+    c as (select *, 1.164e0 * greatest(y - 16, 0) as l, (p_partkey * 7 + spot * 31) % 256 - 128 as cb, (p_partkey * 7 + (spot + 4) * 31) % 256 - 128 as cr from u)
+    select cast(p_partkey % 8 as bigint) as media_id, cast(p_partkey as bigint) as idx, cast(sum(least(greatest(round_even(l + 2.018e0 * cb, 0), 0), 255)) as bigint) as b, cast(sum(least(greatest(round_even(l - 0.813e0 * cr - 0.391e0 * cb, 0), 0), 255)) as bigint) as g,
+        cast(sum(least(greatest(round_even(l + 1.596e0 * cr, 0), 0), 255)) as bigint) as r from c group by 1, 2""")
+def yuv420p_to_bgr(spark, d):
+    return images.bgr_sums(_raw(spark, d, 24, 4, 4, "YUV420P"))
+
+
+@query(f"""with y as (select p_partkey, unnest(range(0, 4)) as q from part), c as (select p_partkey, q, (p_partkey * 7 + q * 3 * 31) % 256 as r, (p_partkey * 7 + (q * 3 + 1) * 31) % 256 as g, (p_partkey * 7 + (q * 3 + 2) * 31) % 256 as b from y)
+    select cast(p_partkey % 8 as bigint) as media_id, cast(p_partkey as bigint) as idx, list(cast(round_even(r * 0.299e0 + g * 0.587e0 + b * 0.114e0, 0) as int) order by q) as pixels from c group by 1, 2""")
+def raw_decode_grey(spark, d):
+    return images.decode_raw(_raw(spark, d, 12, 2, 2, "RGB24")).select("media_id", "idx", "pixels")
+
+
+@query(_SOUND + """, s as (select media_id, idx, list_transform(range(0, 64), lambda i: mono[i + 1] * (1 - pow((i - 31.5e0) / 31.5e0, 2))) as x from levels),
+    b as (select media_id, idx, k, list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * cos(2 * pi() * k * i / 64e0))) as re, list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * sin(2 * pi() * k * i / 64e0))) as im from s, range(0, 32) t(k))
+    select media_id, idx, list(cast(least(trunc(sqrt(sqrt(re * re + im * im) / 8e0) * 40 + 1e-7), 255) as int) order by k) as levels from b group by 1, 2""")
+def rdft_column(spark, d):
+    return audio.rdft_columns(_sound(spark, d), 40.0)
+
+
+@query(_SOUND + """, s as (select media_id, idx, samples, range(0, 55) as starts from sound),
+    c as (select media_id, idx, unnest(starts) as i, samples from s), v as (select media_id, idx, i, samples[i + 1] - samples[i + 10] as score, samples[i + 5] as b, samples[i + 6] as c from c)
+    select media_id, idx, cast(coalesce(arg_max(i, (score, i)) filter (where (b < 0) <> (c < 0)), 54) as int) as start from v group by 1, 2""")
+def waveform_trigger(spark, d):
+    return _sound(spark, d).select("media_id", "idx", audio.trigger(F.col("samples")).alias("start"))
+
+
+@query("""select p_partkey, cast((p_partkey * 11 + (p_partkey % 6 * 4) * 5) % 16 as int) as ref, cast(((p_partkey % 9) * (11 * 4 + case when p_partkey % 2 = 0 then 0 else 1 end) + p_partkey % 11) * 4 + 2 + 3 * (11 * 4 + case when p_partkey % 2 = 0 then 0 else 1 end) as int) as vector from part""")
+def mb_reference(spark, d):
+    k = F.col("p_partkey").cast("int")
+    refs = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: ((k * 11 + i * 5) % 16).cast("int"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", macroblocks.reference_of(refs, k % 6).alias("ref"), macroblocks.vector_index(k % 9, k % 11, F.lit(2), F.lit(3), F.lit(11), F.lit(4), k % 2 == 0).cast("int").alias("vector"))
+
+
+@query("""with b as (select p_partkey % 8 as media_id, p_partkey // 3 as frame_idx from part), f as (select media_id, frame_idx, count(*) as n from b group by 1, 2), r as (select *, row_number() over (partition by media_id order by frame_idx desc) as k from f)
+    select cast(media_id as bigint) as media_id, cast(sum(n) as bigint) as total_faces, round(avg(n) filter (where k <= 100), 9) as recent_mean from r group by 1""")
+def face_stats(spark, d):
+    return images.face_stats(_boxes(spark, d).withColumn("frame_idx", F.floor(F.col("frame_idx") / 3)))
+
+
+@query(_FRAMES + " select media_id, fidx, pts from video where fidx % 25 = 0")
+def frame_export_every_25(spark, d):
+    return frames.every_nth(_video(spark, d), 25).select("media_id", "fidx", "pts")
+
+
+@query(_IMAGES + " select media_id, idx from images where idx % 7 = 0")
+def raw_analysis_every_7(spark, d):
+    return frames.every_nth(adapter.grey_images(spark, d), 7, number="idx").select("media_id", "idx")
+
+
+@query(_PACKETS + """, v as (select media_id, stream_index, idx, row_number() over (partition by media_id, stream_index order by idx) as n from packets where stream_type = 0)
+    select media_id, stream_index, idx, case when n = 1 then '6742' || '00000001' else '00000001' end || lpad(printf('%X', idx % 256), 2, '0') as data from v""")
+def packet_annex_b(spark, d):
+    v = packets.only_types(_p(spark, d), 0)
+    v = v.withColumn("data", F.unhex(F.concat(F.lit("00000001"), F.lpad(F.hex(F.col("idx") % 256), 2, "0"))))
+    heads = v.select("media_id", "stream_index").distinct().withColumn("header", F.unhex(F.lit("6742")))
+    return packets.annex_b(v, headers=heads).select("media_id", "stream_index", "idx", F.hex("data").alias("data"))
+
+
+@query(_PACKETS + """, a as (select media_id, stream_index from (select distinct media_id, stream_index, stream_type from packets where stream_type in (0, 1)) qualify row_number() over (partition by media_id order by stream_type, stream_index) = 1) select * from a""")
+def playback_clock(spark, d):
+    return metadata.playback_clock(_p(spark, d).select("media_id", "stream_index", "stream_type").distinct())
+
+
+# --- the analyses as streaming queries over the same log, run to its end ---
+
+
+def _live(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return adapter.packets_of(spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d) if _is_file(spark, f"{d}/events.parquet") else spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet"))
+
+
+def _is_file(spark, path: str) -> bool:
+    """Whether the table is one file: then its folder is what a stream reads."""
+    from urllib.parse import unquote, urlparse
+
+    found = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).limit(1).collect()
+    return bool(found) and unquote(urlparse(found[0]["f"]).path).rstrip("/").endswith(unquote(urlparse(path).path).rstrip("/"))
+
+
+def _to_table(spark, df, mode="append", keys=()):
+    from uuid import uuid4
+
+    return live.run_to_table(df, f"{scratch_folder(spark)}/live-{uuid4().hex}", mode, keys)
+
+
+@query(_EVENTS + " select media_id, stream_index, idx, pts, ts, type from miss union all select media_id, stream_index, idx, pts, ts, type from jumps")
+def stream_anomaly(spark, d):
+    return _to_table(spark, live.anomalies(_live(spark, d)))
+
+
+@query(_SECONDS + " select media_id, second, bps, packets, video_fps from seconds where false or second >= 0")
+def stream_bitrate(spark, d):
+    rows = _live(spark, d)
+    return _to_table(spark, live.rates(rows.filter("ts >= 0"), late="100 days"), "update", ("media_id", "second"))
+
+
+@query(_SYNC + " select media_id, sync_idx, audio_ts, video_ts, diff_ms, audio_anchor from samples")
+def stream_sync(spark, d):
+    return _to_table(spark, live.sync(_live(spark, d)))
+
+
+@query(_PACKETS + " select media_id, count(*) as total_packets, cast(sum(size) as bigint) as total_bytes, count(*) filter (where stream_type = 0) as video_packets, count(*) filter (where stream_type = 1) as audio_packets from packets group by 1")
+def stream_running_stats(spark, d):
+    return _to_table(spark, live.running_stats(_live(spark, d)), "update", ("media_id",))
+
+
+@query(_FRAMES + """ select media_id, gop_index, min(fidx) as start_frame, max(fidx) as end_frame, count(*) as total_frames, count(*) filter (where is_key) as key_count, gop_index = max(gop_index) over (partition by media_id) as open from gop_frames group by 1, 2""")
+def stream_open_gop(spark, d):
+    return _to_table(spark, live.gops(adapter.video_arrivals(_live(spark, d))), "update", ("media_id", "gop_index"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 JSON_FIELDS = "total_packets total_bytes video_packets audio_packets current_fps avg_fps current_bitrate_bps avg_bitrate_bps peak_bitrate_bps gop_size max_gop_size key_frame_count avg_packet_size max_packet_size min_packet_size duration_seconds".split()
@@ -24,13 +24,37 @@ def full_stats(packets: DataFrame) -> DataFrame:
     """The statistics of each media with rates and groups: everything that the reports show."""
     from ..operators import packets as ops
 
-    series = ops.per_second(packets)
-    rates = ops.fps_history(series).join(ops.rate_history(series.drop("video_fps")), ["media_id", "second"])
-    last = rates.groupBy("media_id").agg(F.max_by(F.struct("avg_fps", "bps", "avg_bps", "peak_bps"), "second").alias("r"), F.max_by("video_fps", "second").alias("current_fps"))
-    last = last.select("media_id", F.col("current_fps").cast("double").alias("current_fps"), F.col("r.avg_fps").alias("avg_fps"), F.col("r.bps").alias("current_bitrate_bps"), F.col("r.avg_bps").alias("avg_bitrate_bps"), F.col("r.peak_bps").alias("peak_bitrate_bps"))
+    rates = history(ops.per_second(packets))
+    last = rates.groupBy("media_id").agg(F.max_by(F.struct("avg_fps", "bps", "avg_bps", "peak_bps", "video_fps"), "second").alias("r"))
+    last = last.select("media_id", F.col("r.video_fps").cast("double").alias("current_fps"), F.col("r.avg_fps").alias("avg_fps"), F.col("r.bps").alias("current_bitrate_bps"), F.col("r.avg_bps").alias("avg_bitrate_bps"), F.col("r.peak_bps").alias("peak_bitrate_bps"))
     return ops.stats(packets).join(last, "media_id", "left").join(ops.mixed_gops(packets), "media_id", "left")
 
 
+def history(series: DataFrame) -> DataFrame:
+    """A per-second series with both rates' means and the peak: one sort serves all."""
+    from ..operators.packets import HISTORY, rate_history
+
+    w = Window.partitionBy("media_id").orderBy("second").rowsBetween(-(HISTORY - 1), 0)
+    return rate_history(series).withColumn("avg_fps", F.round(F.avg("video_fps").over(w), 9))
+
+
+def stats_series(packets: DataFrame) -> DataFrame:
+    """The statistics of each media as they stood at the end of each second that has a packet, in the columns of series_csv()."""
+    key = F.col("flags").bitwiseAND(F.lit(1))
+    timed = packets.filter("ts is not null")
+    kind = F.col("stream_type")
+    per = timed.groupBy("media_id", F.floor("ts").cast("long").alias("second")).agg(
+        F.count("*").alias("packets"), F.sum(F.col("size").cast("long")).alias("bytes"), F.count_if(kind == 0).alias("video_fps"), F.count_if(kind == 1).alias("audio"), F.sum(key).alias("keys"), F.sum(F.col("size").cast("long") * 8).alias("bps"),
+    )
+    so_far = Window.partitionBy("media_id").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(c).over(so_far)
+    rows = history(per).withColumns({"total_packets": total("packets"), "total_bytes": total("bytes"), "video_packets": total("video_fps"), "audio_packets": total("audio"), "key_frame_count": total("keys")})
+    return rows.select(
+        "media_id", "second", "total_packets", "total_bytes", "video_packets", "audio_packets", F.col("video_fps").cast("double").alias("current_fps"), "avg_fps", F.col("bps").alias("current_bitrate_bps"), F.col("avg_bps").alias("avg_bitrate_bps"),
+        F.col("peak_bps").alias("peak_bitrate_bps"), F.when(F.col("key_frame_count") > 0, F.floor(F.col("total_packets") / F.col("key_frame_count"))).otherwise(0).alias("gop_size"), "key_frame_count", F.floor(F.col("total_bytes") / F.col("total_packets")).alias("avg_packet_size"),
+    )
+
+
 def to_json(stats: DataFrame) -> DataFrame:
     """(media_id, report): the statistics as a JSON text."""
     own = F.struct(*[F.round(F.col(c), 2).alias(c) if c in ("current_fps", "avg_fps", "duration_seconds") else F.col(c) for c in JSON_FIELDS])
@@ -41,6 +65,42 @@ def series_csv(history: DataFrame) -> DataFrame:
     return history.select(*[F.col(c).alias(name) for name, c in SERIES.items()])
 
 
+def rate_column(bps: Column) -> Column:
+    from ..functions.formatting import bitrate_report
+
+    return bitrate_report(F.coalesce(bps, F.lit(0)))
+
+
+def summaries(stats: DataFrame) -> DataFrame:
+    """(media_id, summary): what summary() says of each row, as one expression."""
+    from ..functions.formatting import clock as clock_column
+
+    c = F.col
+    text_ = F.concat(c("total_packets").cast("string"), F.lit(" packets, "), F.format_string("%.2f", F.coalesce("avg_fps", F.lit(0.0))), F.lit(" fps, "), rate_column(c("avg_bitrate_bps")), F.lit(", "), clock_column(F.coalesce("duration_seconds", F.lit(0.0))))
+    return stats.select("media_id", text_.alias("summary"))
+
+
+def texts(stats: DataFrame) -> DataFrame:
+    """(media_id, report): what text() says of each row, as one expression."""
+    from ..functions.formatting import clock as clock_column
+
+    c = F.col
+    fps = lambda x: F.concat(F.format_string("%.2f", F.coalesce(x, F.lit(0.0))), F.lit(" fps"))
+    unit = lambda x, name: F.concat(c(x).cast("string"), F.lit(name))
+    groups = {
+        "Totals": {"Packets": c("total_packets"), "Bytes": F.concat(F.floor(c("total_bytes") / 1024).cast("string"), F.lit(" KB")), "Video packets": c("video_packets"), "Audio packets": c("audio_packets")},
+        "Frame rate": {"Current": fps("current_fps"), "Average": fps("avg_fps")},
+        "Bit rate": {"Current": rate_column(c("current_bitrate_bps")), "Average": rate_column(c("avg_bitrate_bps")), "Peak": rate_column(c("peak_bitrate_bps"))},
+        "Groups of pictures": {"Last": c("gop_size"), "Largest": c("max_gop_size"), "Key frames": c("key_frame_count")},
+        "Packet size": {"Average": unit("avg_packet_size", " bytes"), "Largest": unit("max_packet_size", " bytes"), "Smallest": unit("min_packet_size", " bytes")},
+        "Time": {"Duration": clock_column(F.coalesce("duration_seconds", F.lit(0.0)))},
+    }
+    lines = [F.lit("Stream report"), F.lit("")]
+    for title, values in groups.items():
+        lines += [F.lit(title), *[F.concat(F.lit(f"  {k}: "), v.cast("string")) for k, v in values.items()], F.lit("")]
+    return stats.select("media_id", F.concat_ws("\n", *lines).alias("report"))
+
+
 def summary(s: dict) -> str:
     return f"{s['total_packets']} packets, {s['avg_fps'] or 0:.2f} fps, {rate(s['avg_bitrate_bps'] or 0)}, {clock(s['duration_seconds'] or 0)}"
 

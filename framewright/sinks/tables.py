@@ -57,14 +57,18 @@ def write_m3u(tracks: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_xspf(tracks: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    tracks.select("location", "title").coalesce(1).write.mode(mode).format("xml").option("rootTag", "trackList").option("rowTag", "track").save(path)
+    """A playlist with one list of tracks, in the order of pos."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "location", "title"))), lambda t: F.struct(t["location"].alias("location"), t["title"].alias("title")))
+    tracks.agg(rows.alias("track")).coalesce(1).write.mode(mode).format("xml").option("rootTag", "playlist").option("rowTag", "trackList").save(path)
 
 
 def write_frames(frames: DataFrame, path: str, every: int = 1, kind: str = "rgb", mode: str = "errorifexists") -> None:
     """Every n-th frame as Parquet rows (name, data), data in RGB or as stored. Sampling comes before conversion."""
     from ..functions.formatting import export_name
 
-    picked = frames.filter(F.col("idx") % every == 0)
+    have = lambda c, kind_: F.col(c).cast(kind_) if c in frames.columns else F.lit(None).cast(kind_)
+    name = export_name(F.col("idx") + 1, have("pts", "long"), have("ts", "double"), F.lit(kind)).alias("name")
+    picked = frames.filter(F.col("idx") % every == 0).select("media_id", name, "width", "height", "format", "data")
 
     def convert(batches):
         import pandas as pd
@@ -73,11 +77,9 @@ def write_frames(frames: DataFrame, path: str, every: int = 1, kind: str = "rgb"
 
         for pdf in batches:
             data = [bytes(to_rgb(d, w, h, f).tobytes()) if kind == "rgb" else bytes(d) for w, h, f, d in pdf[["width", "height", "format", "data"]].itertuples(index=False)]
-            yield pd.DataFrame({"media_id": pdf["media_id"], "idx": pdf["idx"], "data": data})
+            yield pd.DataFrame({"media_id": pdf["media_id"], "name": pdf["name"], "data": data})
 
-    out = picked.mapInPandas(convert, "media_id long, idx long, data binary")
-    name = export_name(F.col("idx") + 1, F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(kind))
-    out.select("media_id", name.alias("name"), "data").write.mode(mode).parquet(path)
+    picked.mapInPandas(convert, "media_id long, name string, data binary").write.mode(mode).parquet(path)
 
 
 def write_stream(packets: DataFrame, path: str, data: str = "data", mode: str = "errorifexists") -> None:

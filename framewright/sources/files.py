@@ -20,16 +20,21 @@ def stream_packets(spark: SparkSession, path: str, fmt: str = "parquet", ddl: st
     return spark.readStream.schema(ddl).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
 
-def read_m3u(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, location, title): every line that isn't empty or a comment is a track named by its location."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    tracks = lines.select("file", "line", F.trim("value").alias("location")).filter("location <> '' and location not like '#%'")
+def playlist_tracks(lines: DataFrame) -> DataFrame:
+    """(file, pos, location, title) of lines (file, line, value) of M3U playlists: every line that isn't empty or a comment is a track named by its location."""
     from pyspark.sql import Window
 
+    tracks = lines.select("file", "line", F.trim("value").alias("location")).filter("location <> '' and location not like '#%'")
     pos = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
     return tracks.select("file", pos.cast("int").alias("pos"), "location", F.col("location").alias("title"))
 
 
+def read_m3u(spark: SparkSession, path: str) -> DataFrame:
+    """The tracks of M3U playlists, see playlist_tracks()."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    return playlist_tracks(lines)
+
+
 def read_xspf(spark: SparkSession, path: str) -> DataFrame:
     """The tracks of XSPF playlists, one row each."""
     ddl = ", ".join(f"{c} STRING" for c in ("location", "title", "creator", "album", "trackNum", "annotation", "duration"))

@@ -138,9 +138,21 @@ def register(spark: SparkSession) -> None:
 
 
 def raw_frames_from(spark: SparkSession, path: str, width: int, height: int, fmt: str) -> DataFrame:
-    """Frames of raw files in any store that Spark reads, a file a media."""
+    """Frames of raw files in any store that Spark reads, a file a media. Each file is read once and cut in its task; files beyond 2 GB need the raw_video source, which seeks."""
     size = frame_size(width, height, fmt)
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") >= size)
-    return files.select(
-        F.xxhash64("path").alias("media_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / size).cast("long") - 1)).alias("idx"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(fmt).alias("format"), "content",
-    ).select("media_id", "idx", "width", "height", "format", F.expr(f"substring(content, cast(idx * {size} + 1 as int), {size})").alias("data"))
+    files = spark.read.format("binaryFile").load(path).filter(F.col("length") >= size).select(F.xxhash64("path").alias("media_id"), "content")
+
+    def run(batches):
+        import pyarrow as pa
+
+        most = max(1, (8 << 20) // size)
+        for b in batches:
+            for media, content in zip(b.column("media_id").to_pylist(), b.column("content")):
+                data = memoryview(content.as_buffer())
+                for at in range(0, len(data) // size, most):
+                    idx = list(range(at, min(at + most, len(data) // size)))
+                    n = len(idx)
+                    columns = [pa.array([media] * n, pa.int64()), pa.array(idx, pa.int64()), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array([fmt] * n), pa.array([data[i * size : (i + 1) * size] for i in idx], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["media_id", "idx", "width", "height", "format", "data"])
+
+    return files.mapInArrow(run, "media_id long, idx long, width int, height int, format string, data binary")

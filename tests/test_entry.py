@@ -2,5 +2,5 @@ import __spark_entry__ as entry
 
 
 def test_entry_and_registry(spark):
-    assert entry.entry(spark).count() == 8
+    assert entry.entry(spark).count() == 12
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -13,7 +13,7 @@ from framewright.plans import adapter
 
 def log(spark, rows):
     """Packets of media 1: (idx, stream, ts or None, flags)."""
-    return spark.createDataFrame([(1, i, s, None if t is None else int(t * 90000), 100, f, t) for i, s, t, f in rows], "media_id long, idx long, stream_index int, pts long, size int, flags int, ts double")
+    return spark.createDataFrame([(1, i, s + 4, s, None if t is None else int(t * 90000), 100, f, t) for i, s, t, f in rows], "media_id long, idx long, stream_index int, stream_type int, pts long, size int, flags int, ts double")
 
 
 def stream(spark, times):
@@ -66,7 +66,7 @@ def test_sampling(spark):
     assert [r["fidx"] for r in frames.every_nth(f, 3).orderBy("fidx").collect()] == [0, 3, 6]
     a = spark.range(45).select(F.lit(1).cast("long").alias("media_id"), F.col("id").alias("fidx"), F.col("id").alias("arrival"), (F.col("id") / 10).alias("ts"))
     none = spark.createDataFrame([], "media_id long, fidx long, arrival long, ts double, is_key boolean")
-    events = spark.createDataFrame([], "media_id long, packet_idx long, ts double, type string")
+    events = spark.createDataFrame([], "media_id long, event_idx long, packet_idx long, ts double, type string")
     assert [r["label"] for r in timeline.timeline(none, a, events).orderBy("timeline_idx").collect()] == ["#19", "#39"]
 
 
@@ -138,3 +138,46 @@ def test_segments_give_what_whole_windows_give(spark, data, segment):
     ]
     for view in views:
         assert sorted(map(str, view(None).collect())) == sorted(map(str, view(segment).collect()))
+
+
+def test_seek_ties_and_targets_without_key_packets(spark):
+    p = log(spark, [(0, 0, 1.0, 0), (1, 0, 2.0, 1), (2, 0, 2.0, 1), (3, 0, 1.5, 1)])
+    targets = spark.createDataFrame([(1, 0.5), (1, 1.5), (1, 2.0), (1, 9.0), (2, 9.0)], "media_id long, target double")
+    got = {(r["media_id"], r["target"]): (r["seek_ts"], r["seek_idx"]) for r in packets.seek(p, targets).collect()}
+    assert got == {(1, 0.5): (None, None), (1, 1.5): (1.5, 3), (1, 2.0): (2.0, 2), (1, 9.0): (2.0, 2), (2, 9.0): (None, None)}
+
+
+def test_running_average_equals_the_recurrence(spark):
+    import random
+
+    rng = random.Random(3)
+    for n, resets in ((5, ()), (200, ()), (200, (50, 150)), (30, (29,))):
+        diffs = [20000.0 if i in resets else rng.uniform(-900, 900) for i in range(n)]
+        cum, k, coef = 0.0, 0, 0.7943282347
+        for x in diffs:
+            cum, k = (0.0, 0) if abs(x / 1000) >= 10 else (x / 1000 + coef * cum, k + 1)
+        df = spark.createDataFrame([(1, i, x) for i, x in enumerate(diffs)], "media_id long, sync_idx long, diff_ms double")
+        r = sync.running_average(df).head()
+        assert r["counted"] == k and (r["avg_diff"] is None if k < 20 else r["avg_diff"] == pytest.approx(cum * (1 - coef), abs=1e-8))
+
+
+def test_second_audio_streams_and_unknown_ones_count_by_type(spark):
+    p = spark.createDataFrame([(1, 0, 5, 1, 10), (1, 1, 7, 1, 10), (1, 2, 0, 0, 10), (1, 3, 9, -1, 10)], "media_id long, idx long, stream_index int, stream_type int, size int").withColumns({"flags": F.lit(0), "ts": F.col("idx") * 0.1})
+    r = packets.stats(p).head()
+    assert (r["video_packets"], r["audio_packets"]) == (1, 2) and packets.summary(p).head()["other"] == 1
+
+
+def test_throttles(spark):
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate((0.0, 50.0, 100.0, 20.0, None, 0.0, 101.0))], "media_id long, idx long, v double")
+    assert sorted(r["idx"] for r in timeline.throttled(rows, "v", 100).collect()) == [0, 2, 5, 6]
+    assert sorted(r["idx"] for r in timeline.throttled(rows, "v", 100, both_ways=False).collect()) == [0, 2]
+
+
+def test_gates_and_headers(spark):
+    p = log(spark, [(i, 0, float(i), 0) for i in range(6)])
+    on = spark.createDataFrame([(1, "stream", 1, True), (1, "stream", 4, False), (1, "frames", 0, True)], "media_id long, analyzer string, at long, on boolean")
+    assert [r["idx"] for r in packets.gated(p, on, "stream").orderBy("idx").collect()] == [1, 2, 3]
+    data = p.select("media_id", "stream_index", "idx", F.unhex(F.lit("0000000265")).alias("data"))
+    heads = spark.createDataFrame([(1, 4, bytearray(b"\x67"))], "media_id long, stream_index int, header binary")
+    got = [r["data"].hex() for r in packets.annex_b(data, headers=heads).orderBy("idx").collect()]
+    assert got[0] == "670000000165" and set(got[1:]) == {"0000000165"}

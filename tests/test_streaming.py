@@ -3,12 +3,12 @@ from framewright.plans import adapter
 from framewright.sources.files import stream_packets
 from framewright.streaming import live
 
-DDL = "media_id long, idx long, stream_index int, pts long, size int, flags int, ts double"
+DDL = "media_id long, idx long, stream_index int, stream_type int, pts long, size int, flags int, ts double"
 
 
 def feed(spark, data, tmp_path, parts=3):
     """The packet log as files in arrival order, one a micro-batch, and as a stream over them."""
-    p = adapter.packets(spark, data).select("media_id", "idx", "stream_index", "pts", "size", "flags", "ts").persist()
+    p = adapter.packets(spark, data).select("media_id", "idx", "stream_index", "stream_type", "pts", "size", "flags", "ts").persist()
     top = p.agg({"idx": "max"}).head()[0] + 1
     for i in range(parts):
         p.filter(f"idx >= {top * i // parts} and idx < {top * (i + 1) // parts}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
