@@ -12,27 +12,27 @@ from framewright.llm.common import materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or unlike every learned language."""
+    """Rejects documents without a letter (null and empty texts among them) or unlike every learned language; repeated rows are judged alike; an empty table stays empty."""
     return langid.keep_identified(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the fullest of the documents that are equal up to white space."""
+    """Keeps the fullest of the documents that are equal up to white space, then the smallest id, null last; one row of those that agree in both."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, that of the smallest id, null last; null texts count as empty."""
     return simhash.keep_one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources meet their targets."""
+    """Repeats or drops documents so that sources (null is one) meet their targets; texts without a word are never taken."""
     return mixing.repeat_by_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids and their places in sequences."""
+    """Pieces of token ids and their places in sequences; null texts have just the end id, rows with a repeated id are documents of their own."""
     return packing.pack(docs)
 
 
@@ -49,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on all documents. Texts are read whole; other columns pass through all stages but the last, whatever their names; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -13,6 +13,7 @@ the queries of a leaf are dealt to several tasks beyond a fixed number of rows.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,16 +112,21 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     """query_id, rank (from 1), vec_id, score: for each query row its k nearest other rows found, ties to the smaller id.
 
     Rows that share the query's id count as its own. Vectors that take no part (see clean) are neither queries nor
-    candidates, and of several lengths only the most frequent takes part. An empty table gives an empty result.
+    candidates; vectors of each length are searched among themselves. An empty table gives an empty result.
     """
-    import numpy as np
-
     rows = clean(vectors, is_query, id_col, vec_col)
-    size = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    if size is None:
+    lengths = [r["d"] for r in rows.groupBy(F.size("vec").alias("d")).agg(F.count_if("query").alias("q")).filter("q > 0").orderBy("d").collect()]
+    if not lengths:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = size["d"]
-    rows = materialize(rows.filter(F.size("vec") == dims).select("id", "query", "vec", F.xxhash64("vec").alias("key"), F.hash("vec").alias("key2")), "ann-rows")
+    found = [_nearest(rows.filter(F.size("vec") == d), d, k, trees, leaf, sample, recall) for d in lengths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, dims: int, k: int, trees: int, leaf: int, sample: int, recall: float) -> DataFrame:
+    """nearest() of clean rows of one length."""
+    import numpy as np
+
+    rows = materialize(rows.select("id", "query", "vec", F.xxhash64("vec").alias("key"), F.hash("vec").alias("key2")), "ann-rows")
     classes = rows.groupBy("key", "key2").agg(F.min(F.struct("id", "vec")).alias("m"), F.max("query").alias("query"), F.count("*").alias("n"))
     classes = materialize(classes.select("key", "key2", F.col("m.id").alias("cid"), F.col("m.vec").alias("vec"), "query", "n"), "ann-classes")
     members = _members(rows, classes, k + 1)
@@ -174,6 +180,11 @@ def _made(leaf, cid, data):
     return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(cid, pa.int64()), pa.array(data, pa.binary())], names=["leaf", "cid", "vec"])
 
 
+def _part(c: int, parts: int) -> int:
+    """One of so many parts, whatever regularity ids have."""
+    return (c * 0x9E3779B97F4A7C15 >> 24 & 0xFFFFFFFF) % parts
+
+
 def _routed(forest: Forest, dims: int, query_parts: int, vector_parts: int):
     """Index rows: each vector in its leaf of every tree, once for each part of the queries."""
 
@@ -187,7 +198,7 @@ def _routed(forest: Forest, dims: int, query_parts: int, vector_parts: int):
                 for c, own, v in zip(part.column("cid").to_pylist(), leaves.tolist(), x):
                     raw = v.astype("<f8").tobytes()
                     for t, y in enumerate(own):
-                        base = ((t << forest.depth) + y) * vector_parts + c % vector_parts
+                        base = ((t << forest.depth) + y) * vector_parts + _part(c, vector_parts)
                         for q in range(query_parts):
                             leaf.append(base * query_parts + q)
                             cid.append(c)
@@ -210,7 +221,7 @@ def _asked(forest: Forest, dims: int, probes: int, query_parts: int, vector_part
                     raw = v.astype("<f8").tobytes()
                     for t, y in forest.search_order(v, probes):
                         for p in range(vector_parts):
-                            leaf.append((((t << forest.depth) + y) * vector_parts + p) * query_parts + c // 20 % query_parts)
+                            leaf.append((((t << forest.depth) + y) * vector_parts + p) * query_parts + _part(c, query_parts))
                             cid.append(c)
                             data.append(raw)
                 if leaf:

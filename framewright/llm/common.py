@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where none is set, one of our own."""
+    """The shared folder of spark.checkpoint.dir. Where none is set: on one machine a temporary folder, on a cluster a folder of the warehouse, which all share."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="framewright-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        folder = "file://" + tempfile.mkdtemp(prefix="framewright-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/framewright-scratch"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -32,7 +34,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = weakref.ref(out), path
+    return out
+
+
+_PATHS: dict = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote for these, which nothing reads any more."""
+    for df in tables:
+        ref, path = _PATHS.pop(id(df), (None, ""))
+        if ref is not None and ref() is df:
+            jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
 def without_white(text: Column) -> Column:

@@ -74,7 +74,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """docs without the rows that exact_duplicates() does not keep; all columns stay. Rows that the filter clears are never shuffled."""
+    """docs without the rows that exact_duplicates() does not keep; all columns stay. Rows that the filter clears are never shuffled.
+
+    Null counts as empty, a null id loses against any other. Of rows with equal id and text just one stays, whichever
+    comes first, whatever other columns hold. Texts are read whole; an empty table gives an empty result; columns other
+    than the two named play no part, whatever their names.
+    """
     keyed = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"), text_key(F.col(text_col)).alias("text_sha256"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"))
     base = materialize(keyed.select("_id", "text_sha256", "_n", F.monotonically_increasing_id().alias("_row")), "exact-hashes")
     words = materialize(repeated_words(base, filter_bits), "exact-filter")

@@ -27,10 +27,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(?:[!?]|/(?!
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|aria-hidden|hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 # Kinds of HTML elements.
-RAW = frozenset("script style title textarea noscript template iframe object svg math canvas audio video select datalist xmp".split())
+RAW = frozenset("script style title textarea template iframe svg select datalist xmp canvas audio video".split())
 #: Of these, what HTML reads as raw text: without an end tag they go on to the end of the page. The others are skipped only up to an end tag.
-OPAQUE = frozenset("script style title textarea iframe noscript xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source nobr".split())
+OPAQUE = frozenset("script style".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source nobr noscript object math mrow mi mo mn mtext msup msub msubsup mfrac msqrt mstyle semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of the second ends an open one of the first.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("tr", "thead"), "option": ("option",)}
@@ -62,6 +62,13 @@ ABOVE = ("nav", "header", "footer", "aside", "form", "article", "main", "section
 _ABOVE_BIT = {t: 1 << i for i, t in enumerate(ABOVE)}
 
 
+@lru_cache(64)
+def _end_of(name: str):
+    """Where an element that has no text of its own ends: its end tag, which group 1 catches, or a tag that can't stand in a form control."""
+    own = rf"(</{name}\b[^>]*>)"
+    return re.compile(own + r"|</?(?:article|section|main|aside|nav|header|footer|div|p|h[1-6]|ul|ol|table|body|html)\b" if name in ("select", "datalist", "textarea", "title", "iframe") else own, re.I)
+
+
 @lru_cache(4096)
 def _roles(attributes: str) -> int:
     """Bit set of the roles that the attribute tokens name."""
@@ -134,9 +141,11 @@ def parse(html: str):
         if name in RAW:
             if name in ("svg", "math") and m[4].endswith("/"):
                 continue
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            if end or name in OPAQUE:
-                at = end.end() if end else len(html)
+            end = _end_of(name).search(html, at)
+            if end and end[1]:
+                at = end.end()
+            elif end or name in OPAQUE:  # a block begins or ends first: the end tag is missing
+                at = end.start() if end else len(html)
             if name not in ("script", "style"):
                 run.append(" ")
             continue
@@ -435,7 +444,12 @@ def trained_model():
 
 
 def extract(pages: DataFrame, html_col: str = "html", pass_cols: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """pass_cols, text, n_chars, n_blocks (text runs found), n_kept (those kept) for every row. A null page, or one without main text, gives an empty text."""
+    """pass_cols, text, n_chars, n_blocks (text runs found), n_kept (those kept) for every row. 
+
+    A null or empty page, or one without main text, gives an empty text. Pages are read whole, however long. Repeated
+    rows give repeated results; an empty table gives an empty one; of equal odds a node is left out. Columns other than
+    those named play no part, whatever their names.
+    """
     model = trained_model()
     longs = [T.StructField(c, T.LongType()) for c in ("n_chars", "n_blocks", "n_kept")]
     schema = T.StructType([*pages.select(*pass_cols).schema.fields, T.StructField("text", T.StringType()), *longs])

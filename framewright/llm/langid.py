@@ -150,7 +150,10 @@ def identify(docs: DataFrame, profiles: dict, text_col: str = "text", pass_cols:
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, held: int = 2) -> DataFrame:
     """id, held_out, lang_pred, score for every row; learned from the rows with crc32(id) mod `mod` other than `held` that have a language.
 
-    A row with a null id is never held out.
+    A row with a null id is never held out. Null and empty texts, and those without a letter, are `und` with score 0.
+    Texts are read whole; repeated rows are learned from and answered each by itself; equal cosines go to the first
+    language by code point. An empty table gives an empty result; columns other than the three named play no part,
+    whatever their names.
     """
     profiles = learn_profiles(docs.filter(crc_mod(id_col, mod) != held), text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("_id"), (crc_mod(id_col, mod) == held).alias("held_out"), F.col(text_col).alias("_text"))
@@ -160,7 +163,9 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", quantile: float = 0.01) -> DataFrame:
     """docs without the rows whose text is in none of the learned languages: no letters, or a cosine below that language's threshold. All columns stay.
 
-    The threshold is half the low quantile of the cosines of a language's own labelled texts, and NOISE at least.
+    The threshold is half the low quantile of the cosines of a language's own labelled texts, and NOISE at least. Null and
+    empty texts go; rows without a language are judged like any other; repeated rows stay or go together. An empty table
+    gives an empty result; columns other than the two named play no part, whatever their names.
     """
     profiles = learn_profiles(docs, text_col, lang_col)
     rows = docs.select(whole_row(docs).alias("_row"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_t"))

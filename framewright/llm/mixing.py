@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, whole_row
+from .common import WORD_PATTERN, discard, materialize, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Sources beyond this are joined by a shuffle instead of a broadcast.
@@ -62,7 +62,7 @@ def balance(hist: DataFrame, targets: DataFrame, n_sources: int, limit: float, i
     total = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"))
     state = state.join(total, state.source.eqNullSafe(total.source)).select(state.source, "mean", "target", "total")
     state = state.select("source", "mean", "target", "total", F.when(full, F.lit(600.0)).otherwise(F.lit(0.0)).alias("tilt"), F.lit(-600.0).alias("lo"), F.lit(600.0).alias("hi"), full.alias("done"))
-    state = materialize(state, "mix-tilt")
+    before = state = materialize(state, "mix-tilt")
     for _ in range(iterations):
         s, h = state.withColumnRenamed("source", "_s"), hist
         x = F.col("size") / F.col("mean")
@@ -78,7 +78,9 @@ def balance(hist: DataFrame, targets: DataFrame, n_sources: int, limit: float, i
         within = F.coalesce((F.col("_step") > F.col("_lo")) & (F.col("_step") < F.col("_hi")), F.lit(False))
         moved = F.when(F.col("_near"), F.col("tilt")).when(within, F.col("_step")).otherwise((F.col("_lo") + F.col("_hi")) / 2)
         state = s.select(F.col("_s").alias("source"), "mean", "target", "total", moved.alias("tilt"), F.when(F.col("_near"), F.col("lo")).otherwise(F.col("_lo")).alias("lo"), F.when(F.col("_near"), F.col("hi")).otherwise(F.col("_hi")).alias("hi"), F.coalesce(F.col("_near"), F.lit(True)).alias("done"))
-        state = materialize(state, "mix-tilt")
+        old, state = before, materialize(state, "mix-tilt")
+        discard(old)
+        before = state
         if state.filter("not done").isEmpty():
             break
     return state
@@ -91,8 +93,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same copies each time: ties are ordered by id and a hash of the text. Other columns play no part. An empty table
     gives an empty result.
     """
-    return _mixed(_sizes(docs, id_col, text_col, source_col), weights, share, limit).select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", "copies", "rate", (F.col("copies") * F.col("size")).alias("taken"))
+    dealt = _mixed(_sizes(docs, id_col, text_col, source_col), weights, share, limit)
+    each = dealt.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).withColumn("copies", F.expr(SHARE))
+    return each.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", "rate", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: Copies of the _j-th of _m equal rows that are taken _c times in all.
+SHARE = "cast(_c div _m + if(_j <= _c % _m, 1, 0) as bigint)"
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -102,6 +109,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 
 
 def _mixed(sizes: DataFrame, weights, share: float, limit: float) -> DataFrame:
+    """A row for each source, id and text: how many such rows there are (_m) and how often they are taken in all (_c). Equal rows are counted first, so however many they are they never meet in one group."""
     hist = materialize(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     per = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("_docs"))
     per = materialize(per, "mix-sources")
@@ -111,34 +119,48 @@ def _mixed(sizes: DataFrame, weights, share: float, limit: float) -> DataFrame:
     facts = per.select(F.col("source").alias("_s"), "_docs").join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t")))
     facts = facts.join(tilts.select(F.col("source").alias("_u"), "mean", "tilt"), F.col("_s").eqNullSafe(F.col("_u")), "left")
     facts = materialize(facts.select("_s", "_docs", "source_size", "target", "mean", "tilt"), "mix-facts")
-    rated = sizes.join(_small(facts, n_sources), F.col("source").eqNullSafe(F.col("_s")))
+    rows = sizes.groupBy("_id", "_h", "source", "size").agg(F.count("*").alias("_m"))
+    rated = rows.join(_small(facts, n_sources), F.col("source").eqNullSafe(F.col("_s")))
     rate = F.when(F.col("size") > 0, _rate(F.col("size") / F.col("mean"), F.col("tilt"), limit)).otherwise(0.0)
     rated = rated.withColumn("rate", rate).withColumn("_g", F.pmod(F.xxhash64("_id", "_h"), F.ceil(F.col("_docs") / F.lit(GROUP))))
     # copies are dealt from the longest document to the shortest so that the words taken follow the sum of rates times sizes
-    doc = F.struct((-F.col("size")).alias("s"), F.col("_id").alias("i"), F.col("_h").alias("h"), F.col("rate").alias("r"), "source_size", "target")
+    doc = F.struct((-F.col("size")).alias("s"), F.col("_id").alias("i"), F.col("_h").alias("h"), F.col("rate").alias("r"), F.col("_m").alias("m"), "source_size", "target")
     groups = rated.groupBy("source", "_g").agg(F.array_sort(F.collect_list(doc)).alias("_docs"))
     nothing = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<bigint>").alias("copies"))
 
     def deal(state: Column, doc: Column) -> Column:
-        part = doc["r"] - F.floor(doc["r"])
+        due = doc["r"] * doc["m"]
+        part = due - F.floor(due)
         more = (part > 0) & (state["owed"] - part * doc["s"] >= -doc["s"] / 2)  # s is negative
-        copies = F.least(F.floor(doc["r"]) + F.when(more, 1).otherwise(0), F.lit(int(limit))).cast("long")
-        return F.struct((state["owed"] - (doc["r"] - copies) * doc["s"]).alias("owed"), F.concat(state["copies"], F.array(copies)).alias("copies"))
+        copies = F.least(F.floor(due) + F.when(more, 1).otherwise(0), F.lit(int(limit)) * doc["m"]).cast("long")
+        return F.struct((state["owed"] - (due - copies) * doc["s"]).alias("owed"), F.concat(state["copies"], F.array(copies)).alias("copies"))
 
     dealt = groups.select("source", "_docs", F.aggregate("_docs", nothing, deal, lambda state: state["copies"]).alias("_copies"))
     dealt = dealt.select("source", F.explode(F.arrays_zip("_docs", "_copies")).alias("z"))
     d = "z._docs."
-    return dealt.select("source", F.col(d + "i").alias("_id"), F.col(d + "h").alias("_h"), (-F.col(d + "s")).alias("size"), F.col(d + "source_size").alias("source_size"), F.col(d + "target").alias("target"), F.col(d + "r").alias("rate"), F.col("z._copies").alias("copies"))
+    return dealt.select("source", F.col(d + "i").alias("_id"), F.col(d + "h").alias("_h"), (-F.col(d + "s")).alias("size"), F.col(d + "source_size").alias("source_size"), F.col(d + "target").alias("target"), F.col(d + "r").alias("rate"), F.col(d + "m").alias("_m"), F.col("z._copies").alias("_c"))
 
 
 def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """docs with each row as often as mix() takes it (0, 1 or 2 times under the default limit); all columns stay."""
+    """docs with each row as often as mix() takes it (0, 1 or 2 times under the default limit); all columns stay.
+
+    Rows that agree in id, text and source share their copies as evenly as can be. Null texts and those without a word
+    are never taken; null is an id and a source like any other. An empty table gives an empty result; columns other than
+    the three named play no part, whatever their names.
+    """
     mixed = _mixed(_sizes(docs, id_col, text_col, source_col), params.get("weights", WEIGHTS), params.get("share", 1.5), params.get("limit", 2.0))
-    # rows that agree in id and text are interchangeable: their copies are dealt out by number
-    taken = mixed.groupBy(F.xxhash64("_id", "_h").alias("_k")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m")).filter("_c > 0")
-    taken = materialize(taken, "mix-taken")
-    rows = docs.select(whole_row(docs).alias("_row"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("_k")).join(taken, "_k")
-    once = rows.filter("_m = 1").withColumn("_j", F.lit(1))
-    more = rows.filter("_m > 1").withColumn("_j", F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(0))))
-    share = F.expr("cast(_c div _m as int) + if(_j <= _c % _m, 1, 0)")
-    return once.unionByName(more).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), share))).select("_row.*")
+    taken = materialize(mixed.filter("_c > 0").select(F.col("_id").alias("_i"), F.col("_h").alias("_x"), F.col("source").alias("_s"), "_c", "_m"), "mix-taken")
+    own = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(source_col).cast("string").alias("_source"))
+    rows = own.join(taken, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_x")) & F.col("_source").eqNullSafe(F.col("_s")))
+    once = rows.filter("_m = 1").withColumn("_j", F.lit(1).cast("long"))
+    # equal rows are numbered in parts, so that no task has to see all of them
+    more = rows.filter("_m > 1").withColumn("_part", F.spark_partition_id())
+    number = F.row_number().over(Window.partitionBy("_i", "_x", "_s", "_part").orderBy(F.lit(0)))
+    more = materialize(more.withColumn("_n", number), "mix-equal")
+    ends = more.groupBy("_i", "_x", "_s", "_part").agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy("_i", "_x", "_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select(F.col("_i").alias("_i2"), F.col("_x").alias("_x2"), F.col("_s").alias("_s2"), F.col("_part").alias("_p2"), before.alias("_before"))
+    more = more.join(ends, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_x") == F.col("_x2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_part") == F.col("_p2")))
+    more = more.select("_row", "_c", "_m", (F.col("_n") + F.col("_before")).alias("_j"))
+    share = F.expr(f"cast({SHARE} as int)")
+    return once.select("_row", "_c", "_m", "_j").unionByName(more).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), share))).select("_row.*")

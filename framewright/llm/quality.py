@@ -158,7 +158,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """id, held_out, score, predicted for every row of docs.
 
     Only text is scored; null counts as empty. Without any label, or with one class only, the score is a constant.
-    A row with a null id is never held out.
+    A row with a null id is never held out. Texts are read whole; repeated rows are scored each by itself, alike; a score
+    of exactly 0.5 is predicted as 1. An empty table gives an empty result; columns other than those named play no part,
+    whatever their names.
     """
     model = learn(docs, labels, id_col, text_col, label_col, mod, held, max_train_rows)
     kind = dict(docs.dtypes)[id_col]

@@ -284,12 +284,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 18, tile: int | None = None, least: float | None = 0.8) -> DataFrame:
     """docs with one document of each component: that of the smallest id, of the smallest text hash if ids repeat.
 
-    By default near duplicates share 0.8 of their five-word shingles. Rows of equal id and text count as one document.
-    All columns stay.
+    By default near duplicates share 0.8 of their five-word shingles. Rows of equal id and text count as one document and
+    stay or go together. Null counts as empty, null ids as the largest. An empty table gives an empty result. All columns
+    stay; those other than the two named play no part, whatever their names.
     """
     found = near_duplicates(docs, id_col, text_col, words, radius, tile, least)
     gone = found.filter(~(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))))
-    gone = materialize(gone.select(F.xxhash64(F.col(id_col), "h").alias("_k")).distinct(), "simhash-gone")
-    rows = docs.select(whole_row(docs).alias("_row"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("_k"))
+    gone = materialize(gone.select(F.col(id_col).alias("_i"), F.col("h").alias("_x")).distinct(), "simhash-gone")
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"))
     few = gone.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(gone) if few else gone, "_k", "left_anti").select("_row.*")
+    return rows.join(F.broadcast(gone) if few else gone, (F.col("_h") == F.col("_x")) & F.col("_id").eqNullSafe(F.col("_i")), "left_anti").select("_row.*")

@@ -20,6 +20,19 @@ def frame(spark, rows, ddl, extra=CLASH):
 # --- pages ---
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article><p>One two three four five.</p><object><p>Six seven eight nine ten.</p></object></article>", "One two three four five. Six seven eight nine ten."),
+        ("<article><p>One two three four five.</p><select><option>a</article><article><p>Six seven eight nine ten.</p></article><select><option>b</select>", "One two three four five. Six seven eight nine ten."),
+        ("<article><p>One two <math><mi>x</mi></math> three four.</p><noscript>Six seven eight nine ten.</noscript></article>", "One two x three four."),
+    ],
+)
+def test_nothing_but_controls_and_scripts_is_no_text(html, want):
+    texts = [t for t in html_extract.parse(html)[3] if t]
+    assert " ".join(texts).startswith(want)
+
+
 def read(html):
     page = html_extract.parse(html)
     return html_extract.main_text(page, html_extract.log_odds(html_extract.trained_model(), html_extract.features(page)))
@@ -222,6 +235,20 @@ def test_each_id_is_scored_once_and_sees_only_the_past():
     assert np.allclose(lm_score.log_probabilities(tables, x, t, cls, share)[t >= 0][:80], whole[:80], atol=1e-5)
 
 
+def test_vectors_of_each_length_are_searched(spark):
+    from framewright.llm import ann
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(120)] + [(7, [0.0, 0.0, 0.0]), (20, rng.normal(size=3).tolist())]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=4).collect()
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        for_q = [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == q]
+        if q != 20:  # that id has two vectors
+            v = np.array(dict(rows[:120])[q])
+            s = sorted((-float(np.dot(v, x)), i) for i, x in rows if i != q and len(x) == len(v) and any(x))
+            assert for_q == [(n + 1, i) for n, (_, i) in enumerate(s[:4])]
+
+
 def test_scores_equal_plain_attention():
     """Each id by itself, in loops, straight from the weights."""
     w, row, cls, share = model()
