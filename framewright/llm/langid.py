@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, map_texts, materialize, small_batches, texts_of, whole_row
 
-#: Symbol 0 is any run of characters that aren't letters, 1 to 26 are a to z, other letters share the rest.
-SYMBOLS = 40
+#: Symbol 0 is any run of characters that aren't letters, 1 to 26 are a to z; trigrams of these are tabulated. Any other letter is a symbol of its own.
+SYMBOLS = 27
+#: Bits of a symbol in the code of a trigram that is not tabulated, and how many such trigrams are bound together.
+BITS, BLOCK = 21, 4096
 DIMENSIONS = 1024
 SEED = 20240229
 UNKNOWN = "und"
@@ -33,37 +35,81 @@ def symbol_table():
     for c in range(0x110000):
         if not 0xD800 <= c < 0xE000 and (x := chr(c)).isalpha():
             low = x.lower()[0]
-            t[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (SYMBOLS - 27)
+            t[c] = ord(low) - 96 if "a" <= low <= "z" else SYMBOLS + ord(low)
     return t
 
 
+@lru_cache(1)
+def letter_vectors():
+    """The vectors of symbols below SYMBOLS."""
+    import numpy as np
+
+    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
+
+
+@lru_cache(1 << 14)
+def letter_vector(symbol: int):
+    """The vector of any symbol; beyond the tabulated ones it is drawn from the symbol, so that no two letters share one."""
+    import numpy as np
+
+    if symbol < SYMBOLS:
+        return letter_vectors()[symbol]
+    return np.random.default_rng([SEED, symbol]).choice(np.array([-1, 1], np.int8), DIMENSIONS)
+
+
 @lru_cache(1)
 def trigram_vectors():
     """The bound vector of each of SYMBOLS^3 trigrams, as int8."""
     import numpy as np
 
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
+    letters = letter_vectors()
     two, one = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
     pairs = two[:, None, :] * one[None, :, :]
     return (pairs.reshape(-1, 1, DIMENSIONS) * letters[None]).reshape(-1, DIMENSIONS)
 
 
+def bundled(codes):
+    """The sum of the bound vectors of trigrams that are not tabulated, as often as each occurs."""
+    import numpy as np
+
+    total = np.zeros(DIMENSIONS, np.float64)
+    found, n = np.unique(codes, return_counts=True)
+    for at in range(0, len(found), BLOCK):
+        some = found[at : at + BLOCK]
+        parts = np.stack([some >> 2 * BITS, some >> BITS & (1 << BITS) - 1, some & (1 << BITS) - 1])
+        symbols, where = np.unique(parts, return_inverse=True)
+        where, letters = where.reshape(parts.shape), np.stack([letter_vector(int(x)) for x in symbols])
+        bound = np.roll(letters, 2, axis=1)[where[0]] * np.roll(letters, 1, axis=1)[where[1]] * letters[where[2]]
+        total += n[at : at + BLOCK].astype(np.float32) @ bound.astype(np.float32)
+    return total
+
+
 def trigrams(texts: list[str]):
-    """For each text the codes of all its trigrams, empty if it has no letter."""
+    """For each text the codes of all its trigrams, the tabulated ones and the others; both empty if it has no letter."""
     import numpy as np
 
     points = np.frombuffer("\n\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.concatenate([[0], np.cumsum(lengths + 2)])[:-1]
     s = symbol_table()[points]
+    none = np.zeros(0, np.int64)
     for a, n in zip(starts, lengths):
         own = s[a : a + n]
         if not own.any():
-            yield own[:0]
+            yield none, none
             continue
         own = np.concatenate([[0], own, [0]])
         own = own[np.concatenate([[True], (own[1:] != 0) | (own[:-1] != 0)])]
-        yield (own[:-2] * SYMBOLS + own[1:-1]) * SYMBOLS + own[2:] if len(own) > 2 else own[:0]
+        if len(own) < 3:
+            yield none, none
+            continue
+        if own.max() < SYMBOLS:
+            yield (own[:-2] * SYMBOLS + own[1:-1]) * SYMBOLS + own[2:], none
+            continue
+        own = own.astype(np.int64)
+        x, y, z = own[:-2], own[1:-1], own[2:]
+        plain = np.maximum(np.maximum(x, y), z) < SYMBOLS
+        yield ((x * SYMBOLS + y) * SYMBOLS + z)[plain], (((x << BITS) + y << BITS) + z)[~plain]
 
 
 def _partial_profiles(text_col: str, lang_col: str):
@@ -71,15 +117,20 @@ def _partial_profiles(text_col: str, lang_col: str):
         import numpy as np
         import pyarrow as pa
 
-        counts = {}
+        counts, sums = {}, {}
         for b in small_batches(batches, text_col):
-            for lang, codes in zip(b.column(lang_col).to_pylist(), trigrams(texts_of(b, text_col))):
+            others = {}
+            for lang, (codes, more) in zip(b.column(lang_col).to_pylist(), trigrams(texts_of(b, text_col))):
                 if lang not in counts:
-                    counts[lang] = np.zeros(SYMBOLS**3, np.int64)
+                    counts[lang], sums[lang] = np.zeros(SYMBOLS**3, np.int64), np.zeros(DIMENSIONS)
                 np.add(counts[lang], np.bincount(codes, minlength=SYMBOLS**3), out=counts[lang])
+                if len(more):
+                    others.setdefault(lang, []).append(more)
+            for lang, found in others.items():
+                sums[lang] += bundled(np.concatenate(found))
         for lang, n in counts.items():
             used = np.flatnonzero(n)
-            vec = n[used].astype(np.float64) @ trigram_vectors()[used].astype(np.float32)
+            vec = n[used].astype(np.float64) @ trigram_vectors()[used].astype(np.float32) + sums[lang]
             yield pa.RecordBatch.from_pydict({"lang": [lang], "part": [_partition()], "vec": [vec.astype("<f8").tobytes()]})
 
     return run
@@ -130,14 +181,16 @@ def identify(docs: DataFrame, profiles: dict, text_col: str = "text", pass_cols:
             protos = np.stack([profiles[x] / np.linalg.norm(profiles[x]) for x in langs]).astype(np.float32)
         for b in small_batches(batches, "__text"):
             pred, score = [], []
-            for codes in trigrams(texts_of(b, "__text")):
-                if not len(codes) or not langs:
+            for codes, more in trigrams(texts_of(b, "__text")):
+                if not len(codes) + len(more) or not langs:
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     continue
                 n = np.bincount(codes, minlength=len(table))
                 used = np.flatnonzero(n)
                 vec = n[used].astype(np.float32) @ table[used].astype(np.float32)
+                if len(more):
+                    vec = vec + bundled(more).astype(np.float32)
                 cos = protos @ vec / max(float(np.linalg.norm(vec)), 1e-12)
                 k = int(np.argmax(cos))
                 pred.append(langs[k])

@@ -315,3 +315,29 @@ def test_training_beats_the_base_on_held_out_texts(spark, data):
     docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
     s, b = lm_score.score_corpus(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).head()
     assert s > 1.15 * b  # both are negative; on larger corpora the model wins
+
+
+def test_letters_of_any_script_have_vectors_of_their_own():
+    greek, cyrillic = "αβγδ", "абвг"
+    vectors = {x: langid.letter_vector(langid.SYMBOLS + ord(x)) for x in greek + cyrillic}
+    for x in vectors:
+        for y in vectors:
+            assert (x == y) == bool((vectors[x] == vectors[y]).all())
+    for text in ("Straße über Öl", "αβγ абв", "日本語の文", "a", "É", "aé" * 3000):
+        (plain, others), naive = next(langid.trigrams([text])), np.zeros(langid.DIMENSIONS)
+        table = langid.trigram_vectors()
+        marks = "".join(x.lower()[0] if x.isalpha() else " " for x in text)
+        marks = " " + " ".join(marks.split()) + " "
+        own = [langid.letter_vector(0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else langid.SYMBOLS + ord(x)).astype(float) for x in marks]
+        for x, y, z in zip(own, own[1:], own[2:]):
+            naive += np.roll(x, 2) * np.roll(y, 1) * z
+        assert (table[plain].astype(float).sum(axis=0) + langid.bundled(others) == naive).all()
+
+
+def test_languages_of_other_scripts_are_told_apart(spark):
+    rng = np.random.default_rng(5)
+    lexicon = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(60)] for lang, letters in {"el": "αβγδεζηθικλμνξο", "ru": "абвгдежзиклмноп", "uk": "абвгдеіїєклмноп", "fr": "aeéèçnrstul"}.items()}
+    rows = [(i, " ".join(rng.choice(lexicon[lang], 40)), lang) for i, lang in enumerate(list(lexicon) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict_languages(docs).join(docs, "doc_id").filter("held_out")
+    assert got.count() > 20 and got.filter("lang_pred <> lang").count() == 0
