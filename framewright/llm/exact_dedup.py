@@ -18,6 +18,10 @@ from .common import materialize, whole_row, without_white
 FILTER_BITS = 1 << 27
 
 
+#: Texts that occur more than once, as their hash, id and length; more are joined by a shuffle instead of a broadcast of some 10 MB.
+BROADCAST_GROUPS = 100_000
+
+
 def text_key(text: Column) -> Column:
     return F.sha2(without_white(F.coalesce(text, F.lit(""))), 256)
 
@@ -74,18 +78,30 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """docs without the rows that exact_duplicates() does not keep; all columns stay. Rows that the filter clears are never shuffled.
+    """docs without the rows that exact_duplicates() does not keep; all columns stay. Rows that the filter clears are never shuffled,
+    nor are others while the texts that occur twice are few enough to broadcast.
 
     Null counts as empty, a null id loses against any other. Of rows with equal id and text just one stays, whichever
     comes first, whatever other columns hold. Texts are read whole; an empty table gives an empty result; columns other
     than the two named play no part, whatever their names.
     """
     keyed = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"), text_key(F.col(text_col)).alias("text_sha256"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"))
-    base = materialize(keyed.select("_id", "text_sha256", "_n", F.monotonically_increasing_id().alias("_row")), "exact-hashes")
+    base = materialize(keyed.select("_id", "text_sha256", "_n"), "exact-hashes")
     words = materialize(repeated_words(base, filter_bits), "exact-filter")
-    best = _groups(mark_repeated(base, words, filter_bits).filter("maybe"))
-    stay = materialize(best.select(F.col("text_sha256").alias("k"), (-F.col("_best.i")).alias("i"), F.col("_best._n").alias("m")), "exact-stay")
-    marked = mark_repeated(keyed, words, filter_bits)
-    some = marked.filter("maybe").join(stay, (F.col("text_sha256") == F.col("k")) & F.col("_id").eqNullSafe(F.col("i")) & (F.col("_n") == F.col("m")), "left_semi")
-    some = some.dropDuplicates(["text_sha256", "_id", "_n"])
-    return marked.filter("not maybe").select("_row").unionByName(some.select("_row")).select("_row.*")
+    # rows that agree in all three are counted first, so that however many they are they never meet in one group
+    equal = mark_repeated(base, words, filter_bits).filter("maybe").groupBy("text_sha256", "_id", "_n").agg(F.count("*").alias("rows"))
+    equal = materialize(equal, "exact-equal")
+    best = equal.groupBy("text_sha256").agg(F.max(F.struct("_n", (-F.col("_id")).alias("i"), "rows")).alias("b"), F.sum("rows").alias("size"))
+    groups = materialize(best.filter("size > 1").select(F.col("text_sha256").alias("k"), (-F.col("b.i")).alias("i"), F.col("b._n").alias("m"), (F.col("b.rows") > 1).alias("again")), "exact-stay")
+    won, again = F.col("_id").eqNullSafe(F.col("i")) & (F.col("_n") == F.col("m")), F.col("again")
+    if groups.count() <= BROADCAST_GROUPS:  # one pass, in which no text is shuffled
+        held = keyed.join(F.broadcast(groups), F.col("text_sha256") == F.col("k"), "left")
+        kept = held.filter(F.col("k").isNull() | (won & ~again))
+    else:
+        marked = mark_repeated(keyed, words, filter_bits)
+        held = marked.filter("maybe").join(groups, F.col("text_sha256") == F.col("k"), "left")
+        kept = marked.filter("not maybe").select("_row").unionByName(held.filter(F.col("k").isNull() | (won & ~again)).select("_row"))
+    kept = kept.select("_row")
+    if not groups.filter("again").isEmpty():
+        kept = kept.unionByName(held.filter(F.col("k").isNotNull() & won & again).dropDuplicates(["text_sha256", "_id", "_n"]).select("_row"))
+    return kept.select("_row.*")

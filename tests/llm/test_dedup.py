@@ -49,6 +49,21 @@ def test_exact_edges_even_with_a_full_filter(spark, bits):
     assert left.columns == docs(spark, []).columns and left.count() == len(texts)
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_dropping_keeps_one_row_of_each_text(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", most)
+    rows = [(i, t, f"{i}-{n}") for n, (i, t) in enumerate(EDGES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_sha256 string").repartition(4)
+    left = exact_dedup.drop_exact_duplicates(df)
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((i, t))
+    best = [min(g, key=lambda m: (-len(m[1] or ""), m[0] is None, m[0] or 0)) for g in groups.values()]
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in left.collect()), key=str) == sorted(((i, t or "") for i, t in best), key=str)
+    assert all(tuple(r) in set(rows) for r in left.collect())
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert exact_dedup.exact_duplicates(none).count() == exact_dedup.drop_exact_duplicates(none).count() == simhash.near_duplicates(none).count() == simhash.keep_one_of_each_group(none).count() == substring.repeated_passages(none).count() == 0
