@@ -151,16 +151,22 @@ def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = _mixed(_sizes(docs, id_col, text_col, source_col), params.get("weights", WEIGHTS), params.get("share", 1.5), params.get("limit", 2.0))
     taken = materialize(mixed.filter("_c > 0").select(F.col("_id").alias("_i"), F.col("_h").alias("_x"), F.col("source").alias("_s"), "_c", "_m"), "mix-taken")
     own = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(source_col).cast("string").alias("_source"))
-    rows = own.join(taken, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_x")) & F.col("_source").eqNullSafe(F.col("_s")))
-    once = rows.filter("_m = 1").withColumn("_j", F.lit(1).cast("long"))
-    # equal rows are numbered in parts, so that no task has to see all of them
-    more = rows.filter("_m > 1").withColumn("_part", F.spark_partition_id())
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_x")) & F.col("_source").eqNullSafe(F.col("_s"))
+    share = F.expr(f"cast({SHARE} as int)")
+    kept = own.join(taken.filter("_m = 1"), same).select("_row", "_c", "_m", F.lit(1).cast("long").alias("_j"))
+    again = taken.filter("_m > 1")
+    if n_again := again.count():
+        kept = kept.unionByName(_numbered(own.join(_small(again, n_again), same)))
+    return kept.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), share))).select("_row.*")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Equal rows with their number _j among all that are equal, found in parts, so that no task has to see all of them."""
+    more = rows.withColumn("_part", F.spark_partition_id())
     number = F.row_number().over(Window.partitionBy("_i", "_x", "_s", "_part").orderBy(F.lit(0)))
     more = materialize(more.withColumn("_n", number), "mix-equal")
     ends = more.groupBy("_i", "_x", "_s", "_part").agg(F.count("*").alias("_k"))
     before = F.coalesce(F.sum("_k").over(Window.partitionBy("_i", "_x", "_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = ends.select(F.col("_i").alias("_i2"), F.col("_x").alias("_x2"), F.col("_s").alias("_s2"), F.col("_part").alias("_p2"), before.alias("_before"))
     more = more.join(ends, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_x") == F.col("_x2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_part") == F.col("_p2")))
-    more = more.select("_row", "_c", "_m", (F.col("_n") + F.col("_before")).alias("_j"))
-    share = F.expr(f"cast({SHARE} as int)")
-    return once.select("_row", "_c", "_m", "_j").unionByName(more).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), share))).select("_row.*")
+    return more.select("_row", "_c", "_m", (F.col("_n") + F.col("_before")).alias("_j"))
