@@ -24,6 +24,8 @@ SEED = 20240229
 UNKNOWN = "und"
 #: Four deviations of the cosine of unlike vectors.
 NOISE = 4 / DIMENSIONS**0.5
+#: Quantiles of cosines are read off a histogram of so many steps, which is the same in whatever order it is counted.
+STEPS = 1000
 
 
 @lru_cache(1)
@@ -223,8 +225,16 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     profiles = learn_profiles(docs, text_col, lang_col)
     rows = docs.select(whole_row(docs).alias("_row"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_t"))
     scored = materialize(identify(rows, profiles, "_t", ("_row", "_lang")).filter(F.col("lang_pred") != UNKNOWN), "langid-scored")
-    low = scored.filter("lang_pred = _lang").groupBy("lang_pred").agg(F.percentile_approx("score", quantile, 1000).alias("low")).collect()  # a row a language
+    bins = scored.filter("lang_pred = _lang").groupBy("lang_pred", F.floor(F.col("score") * STEPS).alias("b")).agg(F.count("*").alias("n"))
+    per: dict = {}
+    for r in bins.collect():  # STEPS + 1 rows a language at most
+        per.setdefault(r["lang_pred"], []).append((r["b"], r["n"]))
     least = F.lit(NOISE)
-    for r in low:
-        least = F.when(F.col("lang_pred") == r["lang_pred"], max(NOISE, r["low"] / 2)).otherwise(least)
+    for lang, counts in sorted(per.items()):
+        upto, low, total = 0, 0.0, sum(n for _, n in counts)
+        for at, n in sorted(counts):
+            upto, low = upto + n, at / STEPS
+            if upto >= quantile * total:
+                break
+        least = F.when(F.col("lang_pred") == lang, max(NOISE, low / 2)).otherwise(least)
     return scored.filter(F.col("score") >= least).select("_row.*")
