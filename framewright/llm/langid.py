@@ -22,10 +22,12 @@ BITS, BLOCK = 21, 4096
 DIMENSIONS = 1024
 SEED = 20240229
 UNKNOWN = "und"
-#: Four deviations of the cosine of unlike vectors.
-NOISE = 4 / DIMENSIONS**0.5
+#: Three deviations of the cosine of unlike vectors.
+NOISE = 3 / DIMENSIONS**0.5
 #: Quantiles of cosines are read off a histogram of so many steps, which is the same in whatever order it is counted.
 STEPS = 1000
+#: Binary digits of the number of distinct trigrams.
+LENGTH = "length(bin(trigrams))"
 
 
 @lru_cache(1)
@@ -166,13 +168,13 @@ def learn_profiles(rows: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def identify(docs: DataFrame, profiles: dict, text_col: str = "text", pass_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """pass_cols, lang_pred, score (the cosine, 0 if negative).
+    """pass_cols, lang_pred, score (the cosine, 0 if negative), trigrams (how many distinct ones the text has).
 
     Null or empty texts, and texts without a letter, are UNKNOWN with score 0, and so is everything if no language was
     learned. Equal cosines go to the first language by code point.
     """
     langs = list(profiles)
-    schema = T.StructType([*docs.select(*pass_cols).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.select(*pass_cols).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("trigrams", T.LongType())])
 
     def run(batches):
         import numpy as np
@@ -182,11 +184,12 @@ def identify(docs: DataFrame, profiles: dict, text_col: str = "text", pass_cols:
         if langs:
             protos = np.stack([profiles[x] / np.linalg.norm(profiles[x]) for x in langs]).astype(np.float32)
         for b in small_batches(batches, "__text"):
-            pred, score = [], []
+            pred, score, distinct = [], [], []
             for codes, more in trigrams(texts_of(b, "__text")):
                 if not len(codes) + len(more) or not langs:
                     pred.append(UNKNOWN)
                     score.append(0.0)
+                    distinct.append(0)
                     continue
                 n = np.bincount(codes, minlength=len(table))
                 used = np.flatnonzero(n)
@@ -197,7 +200,9 @@ def identify(docs: DataFrame, profiles: dict, text_col: str = "text", pass_cols:
                 k = int(np.argmax(cos))
                 pred.append(langs[k])
                 score.append(float(min(1.0, max(0.0, cos[k]))))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in pass_cols] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*pass_cols, "lang_pred", "score"])
+                distinct.append(len(used) + len(np.unique(more)))
+            own = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(distinct, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in pass_cols] + own, names=[*pass_cols, "lang_pred", "score", "trigrams"])
 
     return map_texts(docs.select(*pass_cols, F.col(text_col).alias("__text")), run, schema)
 
@@ -212,29 +217,38 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     profiles = learn_profiles(docs.filter(crc_mod(id_col, mod) != held), text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("_id"), (crc_mod(id_col, mod) == held).alias("held_out"), F.col(text_col).alias("_text"))
-    return identify(rows, profiles, "_text", ("_id", "held_out")).withColumnRenamed("_id", id_col)
+    return identify(rows, profiles, "_text", ("_id", "held_out")).drop("trigrams").withColumnRenamed("_id", id_col)
+
+
+def low_cosine(bins: dict[int, int], quantile: float) -> float:
+    """The lower end of the step of a histogram of cosines in which the quantile lies."""
+    upto, total = 0, sum(bins.values())
+    for at in sorted(bins):
+        upto += bins[at]
+        if upto >= quantile * total:
+            break
+    return at / STEPS
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", quantile: float = 0.01) -> DataFrame:
     """docs without the rows whose text is in none of the learned languages: no letters, or a cosine below that language's threshold. All columns stay.
 
-    The threshold is half the low quantile of the cosines of a language's own labelled texts, and NOISE at least. Null and
-    empty texts go; rows without a language are judged like any other; repeated rows stay or go together. An empty table
-    gives an empty result; columns other than the two named play no part, whatever their names.
+    The threshold is half the low quantile of the cosines of a language's own labelled texts, of all of them or of those
+    with about as many distinct trigrams (the same power of two), whichever is less, as the cosines of short texts
+    scatter more; and NOISE at least, which is all where no such text is labelled. Null and empty texts go; rows without
+    a language are judged like any other; repeated rows stay or go together. An empty table gives an empty result;
+    columns other than the two named play no part, whatever their names.
     """
     profiles = learn_profiles(docs, text_col, lang_col)
     rows = docs.select(whole_row(docs).alias("_row"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_t"))
     scored = materialize(identify(rows, profiles, "_t", ("_row", "_lang")).filter(F.col("lang_pred") != UNKNOWN), "langid-scored")
-    bins = scored.filter("lang_pred = _lang").groupBy("lang_pred", F.floor(F.col("score") * STEPS).alias("b")).agg(F.count("*").alias("n"))
-    per: dict = {}
-    for r in bins.collect():  # STEPS + 1 rows a language at most
-        per.setdefault(r["lang_pred"], []).append((r["b"], r["n"]))
-    least = F.lit(NOISE)
-    for lang, counts in sorted(per.items()):
-        upto, low, total = 0, 0.0, sum(n for _, n in counts)
-        for at, n in sorted(counts):
-            upto, low = upto + n, at / STEPS
-            if upto >= quantile * total:
-                break
-        least = F.when(F.col("lang_pred") == lang, max(NOISE, low / 2)).otherwise(least)
-    return scored.filter(F.col("score") >= least).select("_row.*")
+    own = scored.filter("lang_pred = _lang").groupBy("lang_pred", F.expr(LENGTH).alias("length"), F.floor(F.col("score") * STEPS).alias("b")).agg(F.count("*").alias("n"))
+    all_, some = {}, {}
+    for r in own.collect():  # for each language STEPS + 1 rows for each power of two at most
+        for per, key in ((all_, r["lang_pred"]), (some, (r["lang_pred"], r["length"]))):
+            bins = per.setdefault(key, {})
+            bins[r["b"]] = bins.get(r["b"], 0) + r["n"]
+    rows = [(lang, length, min(low_cosine(all_[lang], quantile), low_cosine(bins, quantile)) / 2) for (lang, length), bins in sorted(some.items())]
+    least = docs.sparkSession.createDataFrame(rows, "_of string, _length int, _least double")  # a row for each power of two and language, each of which the driver holds a profile of
+    judged = scored.join(F.broadcast(least), (F.col("lang_pred") == F.col("_of")) & (F.expr(LENGTH) == F.col("_length")), "left")
+    return judged.filter(F.col("score") >= F.greatest(F.lit(NOISE), F.coalesce("_least", F.lit(NOISE)))).select("_row.*")

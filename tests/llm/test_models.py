@@ -129,6 +129,24 @@ def test_unlearned_languages_are_rejected(spark, data):
     assert clean.join(left, "doc_id", "left_anti").count() == 0
 
 
+def test_short_texts_of_learned_languages_stay(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "lang").filter("lang is not null")
+    odd = [(-1, "By to of inan is ingerat of was.", "en"), (-2, "Se rr osci asarmi.", "es"), (-3, "Êai ierenê, pas é.", "fr"), (-4, "1 2 3", "fr")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    gone = docs.join(langid.keep_identified(docs), "doc_id", "left_anti").filter("text rlike '[a-zA-Z]'")
+    assert [tuple(r) for r in gone.collect()] == []
+
+
+def test_low_cosines():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 99, 1000):
+        x = rng.random(n)
+        bins = collections.Counter((x * langid.STEPS).astype(int).tolist())
+        for quantile in (0.01, 0.5, 1.0):
+            want = np.sort(x)[max(0, math.ceil(quantile * n) - 1)]
+            assert langid.low_cosine(bins, quantile) == pytest.approx(math.floor(want * langid.STEPS) / langid.STEPS)
+
+
 def test_trigram_vectors_bind_permuted_letters():
     v = langid.trigram_vectors()
     rng = np.random.default_rng(langid.SEED)
