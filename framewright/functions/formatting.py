@@ -52,6 +52,18 @@ def pcm_duration_ms(size: Column, rate: Column, channels: Column, bits: Column)
     return F.floor(size.cast("long") * 1000 / F.when(per_second > 0, per_second)).cast("long")
 
 
+def fixed(x: Column, places: int = 2) -> Column:
+    """x with so many places as C's printf writes it: rounded by the exact binary value, exact ties to the even digit (format_string() rounds decimal digits, ties up). For |x| * 10 ** places below 2 ** 53."""
+    scale = 10**places
+    a = F.abs(x.cast("double"))
+    n = F.floor(a * F.lit(float(scale)))
+    split = a * F.lit(134217729.0)
+    high = split - (split - a)  # the upper 26 bits: products of either half with scale are exact, so the sign of `over` is too
+    over = (high * F.lit(float(scale)) - (n + F.lit(0.5))) + (a - high) * F.lit(float(scale))
+    n = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0"))
+
+
 def bitrate_info(bps: Column) -> Column:
     return F.when(bps > 0, F.concat(F.floor(bps / 1000).cast("string"), F.lit(" kb/s"))).otherwise("")
 

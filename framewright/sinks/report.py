@@ -83,9 +83,10 @@ def summaries(stats: DataFrame) -> DataFrame:
 def texts(stats: DataFrame) -> DataFrame:
     """(media_id, report): what text() says of each row, as one expression."""
     from ..functions.formatting import clock as clock_column
+    from ..functions.formatting import fixed
 
     c = F.col
-    fps = lambda x: F.concat(F.format_string("%.2f", F.coalesce(x, F.lit(0.0))), F.lit(" fps"))
+    fps = lambda x: F.concat(fixed(F.coalesce(x, F.lit(0.0))), F.lit(" fps"))
     unit = lambda x, name: F.concat(c(x).cast("string"), F.lit(name))
     groups = {
         "Totals": {"Packets": c("total_packets"), "Bytes": F.concat(F.floor(c("total_bytes") / 1024).cast("string"), F.lit(" KB")), "Video packets": c("video_packets"), "Audio packets": c("audio_packets")},

@@ -181,3 +181,22 @@ def test_gates_and_headers(spark):
     heads = spark.createDataFrame([(1, 4, bytearray(b"\x67"))], "media_id long, stream_index int, header binary")
     got = [r["data"].hex() for r in packets.annex_b(data, headers=heads).orderBy("idx").collect()]
     assert got[0] == "670000000165" and set(got[1:]) == {"0000000165"}
+
+
+#: Statistics of a media as the reports take them; rates and durations are added.
+FACTS = {"total_packets": 8, "total_bytes": 4096, "video_packets": 5, "audio_packets": 3, "current_bitrate_bps": 1, "avg_bitrate_bps": 1, "peak_bitrate_bps": 1, "gop_size": 1, "max_gop_size": 1, "key_frame_count": 1, "avg_packet_size": 1, "max_packet_size": 1, "min_packet_size": 1}
+#: Exact ties in binary, decimals that only look like ties, their neighbours, and long ones.
+AWKWARD = [0.0, 0.125, 0.375, 0.425, 0.625, 0.285, 0.575, 1.005, 1.015, 9.995, 0.005, math.nextafter(0.125, 1), math.nextafter(0.125, 0), 12345678.125, 123456789.005]
+
+
+def facts(spark):
+    from pyspark.sql import Row
+
+    return spark.createDataFrame([Row(media_id=i, current_fps=x, avg_fps=x, duration_seconds=x, **FACTS) for i, x in enumerate(AWKWARD)])
+
+
+def test_texts_round_rates_as_printf_does(spark):
+    from framewright.sinks import report
+
+    got = [r["report"] for r in report.texts(facts(spark)).orderBy("media_id").collect()]
+    assert got == [report.text({**FACTS, "current_fps": x, "avg_fps": x, "duration_seconds": x}) for x in AWKWARD]
