@@ -74,9 +74,10 @@ def rate_column(bps: Column) -> Column:
 def summaries(stats: DataFrame) -> DataFrame:
     """(media_id, summary): what summary() says of each row, as one expression."""
     from ..functions.formatting import clock as clock_column
+    from ..functions.formatting import fixed
 
     c = F.col
-    text_ = F.concat(c("total_packets").cast("string"), F.lit(" packets, "), F.format_string("%.2f", F.coalesce("avg_fps", F.lit(0.0))), F.lit(" fps, "), rate_column(c("avg_bitrate_bps")), F.lit(", "), clock_column(F.coalesce("duration_seconds", F.lit(0.0))))
+    text_ = F.concat(c("total_packets").cast("string"), F.lit(" packets, "), fixed(F.coalesce("avg_fps", F.lit(0.0))), F.lit(" fps, "), rate_column(c("avg_bitrate_bps")), F.lit(", "), clock_column(F.coalesce("duration_seconds", F.lit(0.0))))
     return stats.select("media_id", text_.alias("summary"))
 
 

@@ -195,6 +195,13 @@ def facts(spark):
     return spark.createDataFrame([Row(media_id=i, current_fps=x, avg_fps=x, duration_seconds=x, **FACTS) for i, x in enumerate(AWKWARD)])
 
 
+def test_summaries_round_rates_as_printf_does(spark):
+    from framewright.sinks import report
+
+    got = [r["summary"] for r in report.summaries(facts(spark)).orderBy("media_id").collect()]
+    assert got == [report.summary({**FACTS, "avg_fps": x, "duration_seconds": x}) for x in AWKWARD]
+
+
 def test_texts_round_rates_as_printf_does(spark):
     from framewright.sinks import report
 
