@@ -64,6 +64,13 @@ def fixed(x: Column, places: int = 2) -> Column:
     return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0"))
 
 
+def rounded_number(x: Column) -> Column:
+    """x rounded to two places as DuckDB's round() does, by its product with 100 in double precision, ties away from zero; as a JSON number without an exponent. For |x| below 2 ** 53 / 100."""
+    n = F.round(F.abs(x.cast("double")) * F.lit(100.0), 0).cast("long")
+    places = F.regexp_replace(F.lpad((n % 100).cast("string"), 2, "0"), "0$", "")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."), F.when(places == "", "0").otherwise(places))
+
+
 def bitrate_info(bps: Column) -> Column:
     return F.when(bps > 0, F.concat(F.floor(bps / 1000).cast("string"), F.lit(" kb/s"))).otherwise("")
 

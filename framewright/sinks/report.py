@@ -57,8 +57,12 @@ def stats_series(packets: DataFrame) -> DataFrame:
 
 def to_json(stats: DataFrame) -> DataFrame:
     """(media_id, report): the statistics as a JSON text."""
-    own = F.struct(*[F.round(F.col(c), 2).alias(c) if c in ("current_fps", "avg_fps", "duration_seconds") else F.col(c) for c in JSON_FIELDS])
-    return stats.select("media_id", F.to_json(F.struct(F.col("media_id").cast("string").alias("video_file"), own.alias("statistics"))).alias("report"))
+    from ..functions.formatting import rounded_number
+
+    value = lambda c: rounded_number(F.col(c)) if c in ("current_fps", "avg_fps", "duration_seconds") else F.col(c).cast("string")
+    own = F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.coalesce(value(c), F.lit("null"))) for c in JSON_FIELDS])
+    file = F.to_json(F.struct(F.col("media_id").cast("string").alias("video_file")), {"ignoreNullFields": "false"})
+    return stats.select("media_id", F.concat(F.regexp_replace(file, "}$", ""), F.lit(',"statistics":{'), own, F.lit("}}")).alias("report"))
 
 
 def series_csv(history: DataFrame) -> DataFrame:

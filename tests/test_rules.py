@@ -207,3 +207,16 @@ def test_texts_round_rates_as_printf_does(spark):
 
     got = [r["report"] for r in report.texts(facts(spark)).orderBy("media_id").collect()]
     assert got == [report.text({**FACTS, "current_fps": x, "avg_fps": x, "duration_seconds": x}) for x in AWKWARD]
+
+
+def test_json_numbers_are_those_of_duckdb(spark):
+    import duckdb
+
+    from framewright.sinks import report
+
+    con = duckdb.connect()
+    rows = report.to_json(facts(spark).withColumn("max_gop_size", F.when(F.col("media_id") > 0, F.col("max_gop_size")))).orderBy("media_id").collect()
+    for i, (x, r) in enumerate(zip(AWKWARD, rows)):
+        values = {**FACTS, "max_gop_size": 1 if i else None, "current_fps": x, "avg_fps": x, "duration_seconds": x}
+        fields = ", ".join(f"'{c}', " + (f"round({values[c]!r}::double, 2)" if isinstance(values[c], float) else "null" if values[c] is None else str(values[c])) for c in report.JSON_FIELDS)
+        assert r["report"] == con.execute(f"select cast(json_object('video_file', '{i}', 'statistics', json_object({fields})) as varchar)").fetchone()[0]
