@@ -300,6 +300,35 @@ def test_keys_of_crowded_seeds_are_shared():
         assert 0 < g <= substring.APART[1]
 
 
+def test_pairs_among_crowds_that_lack_their_passage(spark):
+    """A pair shares 50 words of which one crowd quotes the first 48 and another the last 48, so that every seed and longer key is crowded and its first and last document share too little with either."""
+    rnd = random.Random(11)
+    rows, pairs = [], set()
+    own = lambda: [f"w{rnd.randrange(10**9)}" for _ in range(40)]
+    for g in range(8):
+        passage = [f"p{g}x{i}" for i in range(50)]
+        at = len(rows)
+        parts = [passage[:48]] * 30 + [passage[2:]] * 30
+        parts[20:20], parts[40:40] = [passage], [passage]
+        rows += [(at + i, " ".join(own() + part + own())) for i, part in enumerate(parts)]
+        pairs.add((at + 20, at + 40))
+    got = {tuple(sorted((r["doc_id"], r["ref_doc_id"]))) for r in substring.repeated_passages(docs(spark, rows)).collect()}
+    assert got == pairs
+
+
+def test_rows_that_no_passage_links_all_meet():
+    r, at = np.repeat(np.arange(10, 22), 1), np.arange(12) << 8 | 30
+    linked = r.copy()
+    linked[[3, 4, 5]] = 10, 13, 14  # 15 to 14 to 13 to 10: one class with it
+    linked[[7, 8]] = 5  # a document without the key
+    for most in (5, 10**6):
+        found = [np.concatenate(x) for x in zip(*substring.apart(r, at, linked, most))]
+        want = {(y, x) for x in r.tolist() for y in r.tolist() if x < y and not {x, y} <= {10, 13, 14, 15} and {x, y} != {17, 18}}
+        assert sorted(zip(found[0].tolist(), found[1].tolist())) == sorted(want)
+        assert all((p >> 32, p & 0xFFFFFFFF, g) == (d - 10, c - 10, 30 << 8 | 30) for d, c, p, g in zip(*(x.tolist() for x in found)))
+    assert not list(substring.apart(r, at, np.full(12, 10)))
+
+
 def test_meetings_lose_no_document():
     rng = np.random.default_rng(5)
     key = np.repeat([1, 2, 3, 4], [2, 8, 9, 500]).astype(np.int64)
