@@ -329,6 +329,60 @@ def test_rows_that_no_passage_links_all_meet():
     assert not list(substring.apart(r, at, np.full(12, 10)))
 
 
+def test_rows_of_a_crowded_key_without_a_passage_do_not_meet(spark, monkeypatch):
+    """Runs of one word, too short for a passage and in different surroundings: matches in proportion to the documents, and the few passages over them found."""
+    rnd, made = random.Random(4), {}
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(own(30) + ["at"] * rnd.randint(29, 48) + own(30))) for i in range(200)]
+    tail, pairs = own(25), set()
+    for k in range(3):  # 30 of the run and 25 words behind it, which others have too
+        rows.insert(40 * k + 7, (1000 + k, " ".join(own(30) + ["at"] * 30 + tail + own(30))))
+    keep = substring.materialize
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(substring, "materialize", counted)
+    got = {tuple(sorted((r["doc_id"], r["ref_doc_id"]))) for r in substring.repeated_passages(docs(spark, rows)).collect()}
+    assert brute_components([1000, 1001, 1002], list(got)) == dict.fromkeys([1000, 1001, 1002], 1000)
+    assert all(x >= 1000 for pair in got for x in pair)
+    assert made.get("substring-rest", 0) < 50
+
+
+def test_words_around_a_key_lose_no_link():
+    """Against all pairs of rows, aligned outwards from the key."""
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        n, span = int(rng.integers(5, 60)), 28
+        base = rng.integers(0, 3 if seed % 2 else 10**6, 200)
+        if seed % 3 == 0:
+            base[60:150] = 7
+        texts, lead = [], []
+        for _ in range(n):
+            before, behind = rng.integers(0, 50, 2)
+            t = np.concatenate([rng.integers(10**7, 10**8, 64), base[64 - before : 64 + span + behind], rng.integers(10**7, 10**8, 64)])
+            t[64:][rng.random(len(t) - 64) < (0, 0.03, 0.1)[seed % 3]] = rng.integers(10**7, 10**8)
+            t[64 + before : 64 + before + span] = base[64 : 64 + span]
+            texts.append(t[before:][: 128 + span])
+            lead.append(64)
+        words, cuts = np.concatenate(texts).astype("<u4"), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        r, spans, lead = np.sort(rng.integers(0, 10**9, n)), np.full(n, span), np.array(lead)
+        i, j = np.tril_indices(n, -1)
+        true = substring.reaches(words, cuts, lead, spans, i, j, 50)
+        want = brute_components(range(n), list(zip(i[true].tolist(), j[true].tolist())))
+        a, b, root = substring.same_words(words, cuts, lead, 51 - spans, r, np.arange(n), 50)
+        found = set(zip(a.tolist(), b.tolist()))
+        assert found <= set(zip(i[true].tolist(), j[true].tolist())) and len(found) < n
+        for x, y in substring.could_share(*substring.adjacent(words, cuts, lead, spans), 51 - spans, r, root, 50):
+            found |= set(zip(x.tolist(), y.tolist()))
+        real = {p for p in found if true[p[0] * (p[0] - 1) // 2 + p[1]]}
+        assert brute_components(range(n), list(real)) == want
+        every = {(x, y) for x, y in zip(i[true].tolist(), j[true].tolist()) if root[x] != root[y]}
+        assert every <= real
+
+
 def test_meetings_lose_no_document():
     rng = np.random.default_rng(5)
     key = np.repeat([1, 2, 3, 4], [2, 8, 9, 500]).astype(np.int64)
