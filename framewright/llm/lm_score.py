@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts, materialize, small_batches
+from .common import crc_mod, keep_memory, map_texts, materialize, small_batches
 from .tokens import coded_words, default_path, shared_tokenizer, word_keys
 
 HEAD = 1 << 19
@@ -31,6 +31,10 @@ SINGLE = CLASSES - BANDS
 ROWS = 4096
 DIM = 32
 WINDOW, STRIDE = 24, 16
+#: Targets of one group of classes that are computed together.
+BLOCK = 64
+#: Windows that are computed together, so that what belongs to them stays near the processor.
+NEAR = 64
 #: Exponents up to this size need no maximum taken out.
 TOP = 60.0
 #: Ids of a shard of training documents, about; beyond MANY shards their number grows with the square root of all ids.
@@ -114,64 +118,106 @@ def lower(z, hidden=None):
         np.minimum(z, 0, out=z)
 
 
-def log_probabilities(tables: dict, x, t, cls, share, most: int = 2048):
+def log_probabilities(tables: dict, x, t, cls, share, most: int = 512):
     """Natural log of each target's probability; 0 where there is none."""
     import numpy as np
 
     distance, later = _geometry()
     bias, earlier = tables["b"][distance], (~later).astype(np.float32)
     out, ones = np.zeros(t.shape, np.float32), np.ones(WINDOW, np.float32)
+    hidden = np.empty((min(most, len(x)), STRIDE, DIM), tables["qu"].dtype)
     for a in range(0, len(x), most):
-        xb, tb = x[a : a + most], t[a : a + most]
-        s = np.matmul(tables["q"][xb[:, WINDOW - STRIDE :]], tables["k"][xb].transpose(0, 2, 1))
-        s += bias
-        lower(s, later)
-        np.exp(s, out=s)
-        s *= earlier
-        h = np.matmul(s, tables["v"][xb])
-        h /= (s @ ones)[..., None]
-        h += tables["u"][xb[:, WINDOW - STRIDE :]]
-        np.tanh(h, out=h)
-        real = np.flatnonzero(tb.ravel() >= 0)
-        group, member = np.divmod(cls[tb.ravel()[real]], MEMBERS)
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        group, member = group[order], member[order]
-        h = h.reshape(-1, DIM)[real[order]]
-        own = np.zeros(tb.size, np.float32)
-        lp = _log_softmax_at(h @ tables["g"] + tables["gb"], group)
-        edges = np.searchsorted(group, np.arange(GROUPS + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            z = slice(edges[k], edges[k + 1])
-            lp[z] += _log_softmax_at(h[z] @ tables["o"][k] + tables["c"][k], member[z])
-        own[real[order]] = lp
-        own[real] += share[tb.ravel()[real]]
-        out[a : a + most] = own.reshape(tb.shape)
+        goals = t[a : a + most].ravel()
+        for at in range(a, min(a + most, len(x)), NEAR):
+            xb = x[at : min(at + NEAR, a + most)]
+            qu, kv = tables["qu"].take(xb[:, WINDOW - STRIDE :], 0), tables["kv"].take(xb, 0)
+            s = np.matmul(qu[..., :DIM], kv[..., :DIM].transpose(0, 2, 1))
+            s += bias
+            lower(s, later)
+            np.exp(s, out=s)
+            s *= earlier
+            h = hidden[at - a : at - a + len(xb)]
+            np.matmul(s, kv[..., DIM:], out=h)
+            h /= (s.reshape(-1, WINDOW) @ ones).reshape(-1, STRIDE, 1)
+            h += qu[..., DIM:]
+            np.tanh(h, out=h)
+        real = np.flatnonzero(goals >= 0)
+        group, member = np.divmod(cls[goals[real]], MEMBERS)
+        order, owner, place = blocks_of_groups(group)
+        real, group, member = real[order], group[order], member[order]
+        flat = in_blocks(hidden, real, owner, place)
+        own = np.zeros(len(goals), np.float32)
+        lp = share[goals[real]]
+        for z, at in ((flat @ tables["g"] + tables["gb"], group), (member_logits(flat, tables["o"], tables["c"], owner), member)):
+            lower(z)
+            lp += z.ravel()[place * z.shape[1] + at]
+            np.exp(z, out=z)
+            lp -= np.log(z @ np.ones(z.shape[1], np.float32))[place]
+        own[real] = lp
+        out[a : a + most] = own.reshape(-1, STRIDE)
     return out
 
 
-def _log_softmax_at(z, at):
+def blocks_of_groups(group):
+    """Targets dealt to blocks of BLOCK rows that are of one group each: an order of the targets, the group of each block, and the row of each target in that order."""
     import numpy as np
 
-    lower(z)
-    mine = z[np.arange(len(at)), at]
-    np.exp(z, out=z)
-    return mine - np.log(z @ np.ones(z.shape[1], np.float32))
+    order, count = np.argsort(group.astype(np.uint8), kind="stable"), np.bincount(group, minlength=GROUPS)
+    blocks = -(-count // BLOCK)
+    ahead = (np.cumsum(blocks) - blocks) * BLOCK - (np.cumsum(count) - count)
+    return order, np.repeat(np.arange(GROUPS), blocks), np.arange(len(group)) + np.repeat(ahead, count)
+
+
+def in_blocks(h, real, owner, place):
+    """The rows of h of those targets in their blocks; rows without a target hold any row."""
+    import numpy as np
+
+    source = np.zeros(len(owner) * BLOCK, np.int64)
+    source[place] = real
+    return h.reshape(-1, DIM).take(source, 0)
+
+
+def member_logits(flat, o, c, owner):
+    """Of rows in blocks of one group each: the logits of that group's members."""
+    import numpy as np
+
+    z = np.matmul(flat.reshape(-1, BLOCK, DIM), o.take(owner, 0))
+    z += c.take(owner, 0)[:, None]
+    return z.reshape(-1, MEMBERS)
 
 
 def score_tables(w: dict) -> dict:
-    """Queries, keys, values and direct terms of every embedding row."""
-    scale = DIM**-0.5
-    return {"q": w["e"] @ w["q"] * scale, "k": w["e"] @ w["k"], "v": w["e"] @ w["v"], "u": w["e"] @ w["u"], "b": w["b"]} | {k: w[k] for k in ("g", "gb", "o", "c")}
+    """Of every embedding row: its query and direct term, its key and value."""
+    import numpy as np
+
+    return {"qu": w["e"] @ np.concatenate([w["q"] * np.float32(DIM**-0.5), w["u"]], 1), "kv": w["e"] @ np.concatenate([w["k"], w["v"]], 1)} | {k: w[k] for k in ("b", "g", "gb", "o", "c")}
 
 
-def _sums_by_row(values, inverse, n: int):
-    """Sums of the rows of values (last axis kept) by their number below n, each of which occurs."""
+def _sums_by_row(values, inverse, n: int, many: int = 32):
+    """Sums of the rows of values (last axis kept) by their number below n, each of which occurs: numbers of more than `many` rows one by one, the others in pairs, pairs of pairs and so on, each level at once."""
     import numpy as np
 
     flat = inverse.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    values, place = values.reshape(-1, values.shape[-1]), np.argsort(flat.astype(np.uint16), kind="stable")
     count = np.bincount(flat, minlength=n)
-    return np.add.reduceat(values.reshape(-1, values.shape[-1])[order], np.cumsum(count) - count, axis=0)
+    out, few = np.empty((n, values.shape[1]), values.dtype), count <= many
+    start, ones = np.cumsum(count) - count, np.ones(count.max(initial=0), values.dtype)
+    for r in np.flatnonzero(~few).tolist():
+        np.matmul(ones[: count[r]], values.take(place[start[r] : start[r] + count[r]], 0), out=out[r])
+    place, count = place[np.repeat(few, count)], count[few]
+    while count.max(initial=0) > 1:
+        half = (count + 1) >> 1
+        one = 2 * np.arange(int(half.sum()))  # the first of each pair, and then its second; the last of a number may have none
+        odd = np.cumsum(half)[count & 1 == 1] - 1
+        one -= np.repeat(np.cumsum(count & 1) - (count & 1), half)
+        two = one + 1
+        two[odd] = one[odd]
+        both = values.take(two if place is None else place[two], 0)
+        both[odd] = 0
+        both += values.take(one if place is None else place[one], 0)
+        values, place, count = both, None, half
+    out[few] = values if place is None else values.take(place, 0)
+    return out
 
 
 def _numbered(x, n: int = N_ROWS):
@@ -184,93 +230,121 @@ def _numbered(x, n: int = N_ROWS):
 
 
 def gradients(w: dict, x, t, cls) -> tuple[float, dict]:
-    """Mean cross entropy of the targets' classes and its gradient. What depends on an embedding row alone is computed once a row."""
+    """Mean cross entropy of the targets' classes and its gradient. What depends on an embedding row alone is computed once a row, and so is what follows from the errors at its places: they are added up first."""
     import numpy as np
 
     distance, later = _geometry()
     scale = np.float32(DIM**-0.5)
     rows, inverse = _numbered(x)
     asking = inverse[:, WINDOW - STRIDE :]
-    own_rows, own = _numbered(asking, len(rows))
     e = w["e"][rows]
-    ea = e[own_rows]
-    q, k, v = (ea @ (w["q"] * scale))[own], (e @ w["k"])[inverse], (e @ w["v"])[inverse]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s += w["b"][distance]
-    lower(s, later)
-    a = np.exp(s, out=s)
-    a *= ~later
-    a /= np.matmul(a, np.ones((WINDOW, 1), a.dtype))
-    h = np.matmul(a, v)
-    h += (ea @ w["u"])[own]
-    np.tanh(h, out=h)
-    real = np.flatnonzero(t.ravel() >= 0)
-    group, member = np.divmod(cls[t.ravel()[real]], MEMBERS)
-    order = np.argsort(group.astype(np.uint8), kind="stable")
+    ask, answer = np.concatenate([w["q"] * scale, w["u"]], 1), np.concatenate([w["k"], w["v"]], 1)
+    ask_rows, answer_rows, bias, earlier = e @ ask, e @ answer, w["b"][distance], (~later).astype(e.dtype)
+    att, h = np.empty((len(x), STRIDE, WINDOW), e.dtype), np.empty((len(x), STRIDE, DIM), e.dtype)
+    parts = [slice(at, at + NEAR) for at in range(0, len(x), NEAR)]
+    for own in parts:
+        qu, kv, a = ask_rows.take(asking[own], 0), answer_rows.take(inverse[own], 0), att[own]
+        np.matmul(qu[..., :DIM], kv[..., :DIM].transpose(0, 2, 1), out=a)
+        a += bias
+        lower(a, later)
+        np.exp(a, out=a)
+        a *= earlier
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(-1, STRIDE, 1)
+        np.matmul(a, kv[..., DIM:], out=h[own])
+        h[own] += qu[..., DIM:]
+        np.tanh(h[own], out=h[own])
+    goals = t.ravel()
+    real = np.flatnonzero(goals >= 0)
+    group, member = np.divmod(cls[goals[real]], MEMBERS)
+    order, owner, place = blocks_of_groups(group)
     group, member, real = group[order], member[order], real[order]
-    flat = h.reshape(-1, DIM)[real]
     n = max(1, len(group))
+    flat = in_blocks(h, real, owner, place)
 
     def softmax_error(z, at):
+        """The loss, and the gradient in z, where rows without a target have none."""
         lower(z)
         np.exp(z, out=z)
-        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-        each = np.arange(len(at))
-        loss = -np.log(np.maximum(z[each, at], 1e-30)).sum()
-        z[each, at] -= 1
-        z /= n
-        return loss, z
+        share, own = np.zeros(len(z), z.dtype), place * z.shape[1] + at
+        share[place] = 1 / (z @ np.ones(z.shape[1], z.dtype))[place]
+        p = z.ravel()[own] * share[place]
+        z *= (share / n)[:, None]
+        z.ravel()[own] -= z.dtype.type(1 / n)
+        return -np.log(np.maximum(p, 1e-30)).sum(), z
 
     loss, p = softmax_error(flat @ w["g"] + w["gb"], group)
-    g = {"g": flat.T @ p, "gb": p.sum(0), "o": np.zeros_like(w["o"]), "c": np.zeros_like(w["c"])}
-    dflat = p @ w["g"].T
-    edges = np.searchsorted(group, np.arange(GROUPS + 1))
-    for c in np.flatnonzero(np.diff(edges)):
-        z = slice(edges[c], edges[c + 1])
-        more, p = softmax_error(flat[z] @ w["o"][c] + w["c"][c], member[z])
-        loss += more
-        g["o"][c], g["c"][c] = flat[z].T @ p, p.sum(0)
-        dflat[z] += p @ w["o"][c].T
-    loss = float(loss / n)
-    dz = np.zeros((h.size // DIM, DIM), h.dtype)
-    dz[real] = dflat * (1 - flat**2)
-    dz = dz.reshape(h.shape)
-    ds = np.matmul(dz, v.transpose(0, 2, 1))
-    ds -= np.matmul(ds * a, np.ones((WINDOW, 1), ds.dtype))
-    ds *= a  # 0 for later keys, as a is
-    g["b"] = np.bincount(distance.ravel(), np.where(later, 0, ds.sum(0)).ravel(), WINDOW).astype(np.float32)
-    flat2 = lambda v: v.reshape(-1, DIM)
-    dq, dk, dv = np.matmul(ds, k), flat2(np.matmul(ds.transpose(0, 2, 1), q)), flat2(np.matmul(a.transpose(0, 2, 1), dz))
-    every, asked = e[inverse], flat2(ea[own])
-    dq, dz = flat2(dq) * scale, flat2(dz)
-    g["q"], g["u"], g["k"], g["v"] = asked.T @ dq, asked.T @ dz, flat2(every).T @ dk, flat2(every).T @ dv
-    de = (dk @ w["k"].T + dv @ w["v"].T).reshape(every.shape)
-    de[:, WINDOW - STRIDE :] += (dq @ w["q"].T + dz @ w["u"].T).reshape(q.shape)
-    g["e"] = (rows, _sums_by_row(de, inverse, len(rows)))
-    return loss, g
+    more, pm = softmax_error(member_logits(flat, w["o"], w["c"], owner), member)
+    loss = (loss + more) / n
+    pm = pm.reshape(-1, BLOCK, MEMBERS)
+    of_group = (owner == np.arange(GROUPS)[:, None]).astype(h.dtype)
+    g = {"g": flat.T @ p, "gb": np.ones(len(p), p.dtype) @ p, "c": of_group @ np.matmul(np.ones(BLOCK, pm.dtype), pm)}
+    g["o"] = (of_group @ np.matmul(flat.reshape(-1, BLOCK, DIM).transpose(0, 2, 1), pm).reshape(len(owner), DIM * MEMBERS)).reshape(w["o"].shape)
+    dflat = np.matmul(pm, w["o"].transpose(0, 2, 1).copy().take(owner, 0)).reshape(-1, DIM)
+    dflat += p @ w["g"].T
+    flat *= flat
+    np.subtract(1, flat, out=flat)
+    dflat *= flat
+    dqu, dkv, db = np.empty((len(x), STRIDE, 2 * DIM), h.dtype), np.empty((len(x), WINDOW, 2 * DIM), h.dtype), 0
+    dqu.reshape(-1, 2 * DIM)[real, DIM:] = dflat.take(place, 0)
+    dqu.reshape(-1, 2 * DIM)[goals < 0, DIM:] = 0
+    for own in parts:
+        q, kv, a, d = ask_rows.take(asking[own], 0)[..., :DIM], answer_rows.take(inverse[own], 0), att[own], dqu[own, :, DIM:]
+        ds = np.matmul(d, kv[..., DIM:].transpose(0, 2, 1))
+        ds -= np.einsum("nij,nij->ni", ds, a)[..., None]
+        ds *= a  # 0 for later keys, as a is
+        db = db + np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)
+        np.matmul(ds, kv[..., :DIM], out=dqu[own, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[own, :, :DIM])
+        np.matmul(a.transpose(0, 2, 1), d, out=dkv[own, :, DIM:])
+    g["b"] = np.bincount(distance.ravel(), db, WINDOW).astype(np.float32)
+    asked, own = _numbered(asking, len(rows))
+    dqu, dkv = _sums_by_row(dqu, own, len(asked)), _sums_by_row(dkv, inverse, len(rows))
+    of_ask, of_answer = e[asked].T @ dqu, e.T @ dkv
+    g["q"], g["u"], g["k"], g["v"] = of_ask[:, :DIM] * scale, of_ask[:, DIM:], of_answer[:, :DIM], of_answer[:, DIM:]
+    de = dkv @ answer.T
+    de[asked] += dqu @ ask.T
+    g["e"] = (rows, de)
+    return float(loss), g
 
 
 def train(w: dict, x, t, cls, rate: float, seed: int, batch: int = 512, epochs: int = 1) -> dict:
     """Adam over shuffled windows; embedding rows are updated only when met."""
     import numpy as np
 
-    w = {k: v.copy() for k, v in w.items()}
-    m, u = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    names = [k for k in SHAPES if k != "e"]
+    every, e = np.concatenate([w[k].ravel() for k in names]), w["e"].copy()  # all weights but the rows are one array to Adam
+    cuts = np.cumsum([0] + [w[k].size for k in names])
+    w = {k: every[a:z].reshape(w[k].shape) for k, a, z in zip(names, cuts[:-1], cuts[1:])} | {"e": e}
+    (m, u), (me, ue) = ([np.zeros_like(v), np.zeros_like(v)] for v in (every, e))
     rng = np.random.default_rng(seed)
     steps, step = epochs * -(-len(x) // batch), 0
+
+    def move(m, u, g, now):
+        m *= 0.9
+        m += 0.1 * g
+        u *= 0.98
+        g *= g
+        g *= 0.02
+        u += g
+        by = np.sqrt(u / (1 - 0.98**step))
+        by += 1e-8
+        np.divide(m, by, out=by)
+        by *= now / (1 - 0.9**step)
+        return by
+
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             own = order[at : at + batch]
-            _, g = gradients(w, x[own], t[own], cls)
+            _, g = gradients(w, x.take(own, 0), t.take(own, 0), cls)
             now = rate * (1 - step / steps) + rate / 50
             step += 1
-            for name, grad in g.items():
-                rows, grad = grad if name == "e" else (slice(None), grad)
-                m[name][rows] = 0.9 * m[name][rows] + 0.1 * grad
-                u[name][rows] = 0.98 * u[name][rows] + 0.02 * grad**2
-                w[name][rows] -= now * (m[name][rows] / (1 - 0.9**step)) / (np.sqrt(u[name][rows] / (1 - 0.98**step)) + 1e-8)
-    return w
+            rows, grad = g["e"]
+            mr, ur = me[rows], ue[rows]
+            e[rows] -= move(mr, ur, grad, now)
+            me[rows], ue[rows] = mr, ur
+            every -= move(m, u, np.concatenate([g[k].ravel() for k in names]), now)
+    return {k: w[k].copy() for k in SHAPES}
 
 
 def pack_weights(w: dict) -> bytes:
@@ -298,6 +372,7 @@ def _first_pass(path: str, vocabulary: int, end: int):
         import numpy as np
         import pyarrow as pa
 
+        keep_memory()
         coder, seen = shared_tokenizer(path), np.zeros(vocabulary, np.int64)
         held: list = []
         for b in small_batches(batches, "text", 5 << 20):
@@ -397,6 +472,7 @@ def _shard_training(weights: dict, row, cls, end: int, kind: str):
     def run(rows):
         import pyarrow as pa
 
+        keep_memory()
         w, n = _trained(weights, rows, row, cls, end, kind, 0.002)
         return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "data": pa.array([pack_weights(w)], pa.binary())})
 
@@ -438,6 +514,7 @@ def _second_pass(weights: dict, row, cls, share, head_h, head_n, end: int, kind:
         import numpy as np
         import pyarrow as pa
 
+        keep_memory()
         for b in small_batches(batches, "text", 5 << 20):
             n = b.num_rows
             ids, cuts = joined_ids(b.column("ids"), kind)
