@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, keep_memory, map_texts, materialize, small_batches
-from .tokens import coded_words, default_path, shared_tokenizer, word_keys
+from .tokens import coded_words, default_path, shared_tokenizer, word_hashes
 
 HEAD = 1 << 19
 #: The most frequent ids are dealt to GROUPS groups of MEMBERS; the last members of the last group stand for bands of rare ids.
@@ -378,7 +378,7 @@ def _first_pass(path: str, vocabulary: int, end: int):
         for b in small_batches(batches, "text", 5 << 20):
             train = np.asarray(b.column("train").to_numpy(zero_copy_only=False), bool)
             unique, codes, offsets = coded_words(b.column("text"))
-            lower, h = word_keys(unique)
+            lower, h = word_hashes(unique)
             ids, cuts = coder.encode(b.column("text"), end, (unique, codes, offsets, lower, h))
             used = np.repeat(train, np.diff(cuts))
             seen += np.bincount(ids[used], minlength=vocabulary)
@@ -521,7 +521,7 @@ def _second_pass(weights: dict, row, cls, share, head_h, head_n, end: int, kind:
             x, t, text = windows(ids, cuts, row, end)
             score = np.bincount(text, log_probabilities(tables, x, t, cls, share).sum(1, dtype=np.float64), n) / np.log(10)
             unique, codes, offsets = coded_words(b.column("text"))
-            h = word_keys(unique)[1].view(np.int64)
+            h = word_hashes(unique)[1].view(np.int64)
             at = np.minimum(np.searchsorted(head_h, h), max(len(head_h) - 1, 0))
             known = head_h[at] == h if len(head_h) else np.zeros(len(h), bool)
             c = np.where(known, head_n[at], 0) if len(head_h) else np.zeros(len(h), np.int64)

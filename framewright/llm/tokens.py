@@ -54,6 +54,47 @@ def word_keys(unique):
     return lower, np.fromiter(map(xxh64_intdigest, lower), np.uint64, len(lower))
 
 
+#: Bytes of a word up to which words are hashed together.
+SHORT = 64
+
+
+def word_hashes(unique):
+    """The words of a pyarrow array with A-Z lower-cased, as such an array, and a 64-bit hash of each: eight bytes of all words at once, longer words than SHORT one by one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from xxhash import xxh64_intdigest
+
+    lower = pc.ascii_lower(unique).cast(pa.large_string())  # in this order: a slice that was cast is lower-cased wrongly
+    _, offsets, data = lower.buffers()
+    if not len(lower):
+        return lower, np.zeros(0, np.uint64)
+    offsets = np.frombuffer(offsets, np.int64)[lower.offset : lower.offset + len(lower) + 1]
+    data = np.concatenate([np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    length = np.diff(offsets)
+    h = _mixed(length.astype(np.uint64))
+    kept = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    at = np.flatnonzero((length > 0) & (length <= SHORT))
+    for done in range(0, SHORT, 8):
+        own = data[(offsets[at] + done)[:, None] + np.arange(8)].view("<u8").ravel()
+        h[at] = _mixed(h[at] ^ (own & kept[np.minimum(length[at] - done, 8)]))
+        at = at[length[at] > done + 8]
+        if not len(at):
+            break
+    for i in np.flatnonzero(length > SHORT).tolist():
+        h[i] = xxh64_intdigest(lower[i].as_py())
+    return lower, h
+
+
+def _mixed(h):
+    """A permutation of the 64-bit numbers."""
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 class WordTokenizer:
     """path: a file of the tokenizers library: byte-level byte-pair encoding with word ends, lower case, white space dropped."""
 
@@ -106,8 +147,8 @@ class WordTokenizer:
         cuts = cuts[np.concatenate([[0], np.cumsum(1 + (mark >= 0))])]
         return flat, np.diff(cuts)
 
-    def _look_up(self, unique, lower: list[str], keys):
-        """Where the ids of each word lie in self.ids, and how many there are."""
+    def _look_up(self, unique, lower, keys):
+        """Where the ids of each word lie in self.ids, and how many there are. lower: a list or a pyarrow array."""
         import numpy as np
         import pyarrow.compute as pc
         from xxhash import xxh64_intdigest
@@ -117,16 +158,19 @@ class WordTokenizer:
             self.length[:] = -1
         # special ids are in lower case, and a letter may join a mark behind it in one case only: such words stand as they are
         exact = pc.match_substring_regex(unique, r"<\||[^\x{0}-\x{2FF}]").to_numpy(zero_copy_only=False)
-        if exact.any():
-            lower, keys = list(lower), keys.copy()
-            for i in np.flatnonzero(exact):
-                lower[i] = unique[int(i)].as_py()
-                keys[i] = xxh64_intdigest(lower[i], seed=1)
+        as_is = {i: unique[i].as_py() for i in np.flatnonzero(exact).tolist()}
+        if as_is:
+            keys = keys.copy()
+            for i, w in as_is.items():
+                keys[i] = xxh64_intdigest(w, seed=1)
         slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
         start, length = self.start[slot], self.length[slot]
         new = np.flatnonzero((self.key[slot] != keys) | (length < 0))
         if len(new):
-            flat, own = self._fresh([lower[i] for i in new.tolist()])
+            fresh = [lower[i] for i in new.tolist()] if isinstance(lower, list) else lower.take(new).to_pylist()
+            if as_is:
+                fresh = [as_is.get(i, w) for i, w in zip(new.tolist(), fresh)]
+            flat, own = self._fresh(fresh)
             start[new] = len(self.ids) + np.cumsum(own) - own
             length[new] = own
             self.ids = np.concatenate([self.ids, flat])
@@ -135,7 +179,7 @@ class WordTokenizer:
         return start, length
 
     def encode(self, texts, end: int | None = None, coded=None):
-        """ids of all texts of a pyarrow array one after another, and each text's offsets among them; `end` closes each text if given. coded: what coded_words(texts) and word_keys of it gave, where the caller needs them too."""
+        """ids of all texts of a pyarrow array one after another, and each text's offsets among them; `end` closes each text if given. coded: what coded_words(texts) and word_keys or word_hashes of it gave, where the caller needs them too."""
         import numpy as np
 
         unique, code, offsets, lower, keys = coded or ((c := coded_words(texts)) + word_keys(c[0]))

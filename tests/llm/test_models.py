@@ -8,10 +8,13 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
-from framewright.llm import html_extract, langid, lm_score, quality
+from framewright.llm import html_extract, langid, lm_score, quality, tokens
 
 from .test_dedup import CLASH, words
 
@@ -350,6 +353,26 @@ def test_windows_without_targets_have_no_gradient():
     assert (lm_score.log_probabilities(lm_score.score_tables(w), x, t, cls, share) == 0).all()
 
 
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(4)
+    some = {"".join(rng.choice("abcXYZ.é0") for _ in range(rng.randrange(1, n))) for n in (3, 9, 10, 18, 64, 65, 66, 67, 200) for _ in range(400)} | {"a" * n for n in range(1, 140)} | {"\0" * n for n in range(1, 20)}
+    texts = sorted(some)
+    lower, keys = tokens.word_hashes(pa.array(["x", *texts, "ABC"])[1:-1])
+    want = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in texts]
+    assert lower.to_pylist() == want and len(set(keys.tolist())) == len(set(want)) == len(set(zip(want, keys.tolist())))
+    assert [tokens.word_hashes(pa.array([w]))[1][0] for w in texts[:50]] == keys[:50].tolist()  # whatever stands beside them
+    assert len(tokens.word_hashes(pa.array([], pa.string()))[1]) == 0
+
+
+def test_ids_by_word_hashes(data):
+    texts = pq.read_table(f"{data}/documents.parquet")["text"].combine_chunks().to_pylist()[:200] + [None, "", "<|endoftext|> <|ENDOFTEXT|> Ⅷ. İx, K! é. É.", "x" * 100 + " " + "X" * 100 + ".", "don't a-b 12,5 A."]
+    column, path = pa.array(texts), tokens.default_path()
+    coded = tokens.coded_words(column)
+    ids, cuts = tokens.WordTokenizer(path).encode(column, 5, coded + tokens.word_hashes(coded[0]))
+    whole = tokenizers.Tokenizer.from_file(path)
+    assert [ids[a:z].tolist() for a, z in zip(cuts[:-1], cuts[1:])] == [[*whole.encode(t or "", add_special_tokens=False).ids, 5] for t in texts]
+
+
 def test_training_reuses_its_memory():
     """Pages that the system clears anew for arrays just freed cost a quarter of the time: thousands a step, unless a worker keeps its memory."""
     script = """
