@@ -494,7 +494,7 @@ def _average(rows):
 def learn_weights(documents: DataFrame, n_ids: int, row, cls, end: int, kind: str) -> dict:
     """Weights from (id, ids) of all training documents: the start from the first shard, then the average of what all shards learn from it."""
     number = n_shards(n_ids)
-    dealt = materialize(shards(documents, number, kind), "lm-shards")
+    dealt = shards(documents, number, kind)  # dealt twice from a written table, which costs less than to write it again
     first = dealt.filter("shard = 0").select("key", "ids").toArrow()  # about 2 * SHARD_IDS ids at most, or a square root's share of all
     w = start_weights()
     if first.num_rows:

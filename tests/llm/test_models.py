@@ -319,6 +319,13 @@ def test_every_training_document_is_in_one_shard(spark):
     assert lm_score.n_shards(10) == 1 and lm_score.n_shards(100 << 20) == 100 and lm_score.n_shards(1 << 44) == 262144
 
 
+def test_shards_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lm_score, "materialize", lambda df, tag, real=lm_score.materialize: written.append(tag) or real(df, tag))
+    lm_score.score_corpus(spark.createDataFrame([(i, "some words " * i) for i in range(20)], "doc_id long, text string")).count()
+    assert written == ["lm-first", "lm-words", "lm-weights", "lm-second"]  # the disk holds the ids once beside their shuffle
+
+
 def test_gradients():
     w, row, cls, share = model()
     rng = np.random.default_rng(0)
